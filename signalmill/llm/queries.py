@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signalmill.llm import scratch, url_filters, warc
+from signalmill.llm import scratch, simhash, topk, url_filters, warc
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +30,23 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": op2_topk,
+    "op5_simhash": op5_simhash,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """
+        with e as (
+          select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+          where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+          select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+          from e q join e c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+    """,
     "op8_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
         f as (select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by payload_digest)
