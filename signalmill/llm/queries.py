@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import scratch, simhash, topk, url_filters, warc
+from signalmill.llm import packing, scratch, simhash, topk, url_filters, warc
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.shared_dir(spark) + "/warc"
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -32,6 +42,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
 }

@@ -53,6 +53,7 @@ class Words:
     ends: np.ndarray
     doc_ptr: np.ndarray  # document i has words doc_ptr[i]:doc_ptr[i+1]
     doc_off: np.ndarray  # and bytes doc_off[i]:doc_off[i+1]
+    is_word: np.ndarray  # bool, of each byte
 
     def raw(self, i: int, j: int) -> list[bytes]:
         """Words i to j as bytes."""
@@ -102,7 +103,7 @@ def split_words(column: pa.Array) -> Words:
         after[-1] = False
         after[:-1] = word[1:]
     ends = np.flatnonzero(word & (~after | first[1:])) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, off), off)
+    return Words(data, starts, ends, np.searchsorted(starts, off), off, word)
 
 
 def word_hashes(w: Words) -> np.ndarray:
