@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import packing, scratch, simhash, topk, url_filters, warc
+from signalmill.llm import packing, scratch, simhash, topk, toxicity, url_filters, warc
+
+
+def crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=crc_mod(5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_offending"
+    )
 
 
 def tokenizer_file() -> str:
@@ -40,6 +53,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,

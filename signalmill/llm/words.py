@@ -13,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+SEPARATORS = np.zeros(256, dtype=bool)
+SEPARATORS[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_BASE = 0x9E3779B97F4A7C15
 #: Odd multipliers of the two window-hash lanes.
 LANES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -86,11 +86,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def split_words(column: pa.Array) -> Words:
+def split_words(column: pa.Array, separators: np.ndarray = SEPARATORS) -> Words:
     """Null texts have no words."""
     off, data = buffers(pc.fill_null(column, ""))
     n = len(data)
-    word = ~_SEPARATOR[data]
+    word = ~separators[data]
     first = np.zeros(n + 1, dtype=bool)
     first[off] = True
     before = np.empty(n, dtype=bool)
