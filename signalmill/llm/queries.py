@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import packing, scratch, simhash, topk, toxicity, url_filters, warc
+from signalmill.llm import language, packing, scratch, simhash, topk, toxicity, url_filters, warc
 
 
 def crc_mod(n: int):
@@ -33,6 +33,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = language.identify(docs, language.train(docs, learn=crc_mod(3) != 1))
+    return found.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -55,6 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
