@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import language, packing, scratch, simhash, topk, toxicity, url_filters, warc
+from signalmill.llm import language, packing, scratch, simhash, substring_dedup, topk, toxicity, url_filters, warc
 
 
 def crc_mod(n: int):
@@ -33,6 +33,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = language.identify(docs, language.train(docs, learn=crc_mod(3) != 1))
@@ -61,6 +66,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
@@ -79,6 +85,20 @@ ORACLE_SQL: dict[str, str] = {
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
     """,
+    "op3_substring_dedup": r"""
+        with d as (
+          select row_number() over () as r, doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+        ), s as (select r, w, unnest(range(1, len(w) - 33)) as t from d where len(w) >= 35),
+        h as (select r, t, sha256(array_to_string(w[t:t+34], ' ')) as k from s),
+        dup as (select k from h group by k having count(*) > 1),
+        gone as (select r, list_distinct(flatten(list(range(t, t + 35)))) as p from h join dup using (k) group by r),
+        kept as (
+          select d.doc_id, len(w) as n_words, len(coalesce(p, [])) as n_removed,
+            case when p is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: not list_contains(p, x[2])), lambda x: x[1]) end as k
+          from d left join gone using (r)
+        )
+        select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(coalesce(array_to_string(k, ' '), '')) as kept_sha256 from kept
+    """,
     "op8_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
         f as (select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by payload_digest)
