@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import language, packing, scratch, simhash, substring_dedup, topk, toxicity, url_filters, warc
+from signalmill.llm import decontaminate, language, packing, scratch, simhash, substring_dedup, topk, toxicity, url_filters, warc
 
 
 def crc_mod(n: int):
@@ -59,6 +59,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.find_items(docs, items)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -107,4 +113,18 @@ ORACLE_SQL: dict[str, str] = {
           case when f.first_id <> p.page_id then f.first_id end as refers_to
         from p left join f on f.payload_digest = p.payload_digest
     """,
+    "op9_decontaminate": r"""
+        with t as (
+          select 'd' as kind, doc_id as id, text from documents union all select distinct 'i', item_id, text from benchmark
+        ), w as (
+          select kind, id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') as w from t
+        ), i as (select id, w, least(5, len(w)) as k from w where kind = 'i' and len(w) > 0),
+        q as (select distinct id, k, array_to_string(w[p:p+k-1], ' ') as s from (select id, w, k, unnest(range(1, len(w) - k + 2)) as p from i)),
+        d as (
+          select distinct id, k, array_to_string(w[p:p+k-1], ' ') as s
+          from (select id, w, k, unnest(range(1, len(w) - k + 2)) as p from w, (select distinct k from i) where kind = 'd' and len(w) >= k)
+        ), n as (select id, count(*) as n from q group by id),
+        m as (select d.id as doc_id, q.id as item_id, count(*) as m from d join q using (k, s) group by all)
+        select doc_id, item_id, n as n_shingles, m as n_shared, m / n as containment from m join n on n.id = m.item_id where m >= 0.8 * n
+    """,
 }
