@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalmill.llm import decontaminate, language, packing, scratch, simhash, substring_dedup, topk, toxicity, url_filters, warc
+from signalmill.llm import decontaminate, language, lm_scoring, packing, scratch, simhash, substring_dedup, topk, toxicity, url_filters, warc
 
 
 def crc_mod(n: int):
@@ -35,7 +35,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return substring_dedup.without_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+    return substring_dedup.without_repeats(docs, digest=True).select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file())
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lm_scoring.score(docs, lm_scoring.train(docs))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.shared_dir(spark) + "/warc"
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filters": op10_url_filters,

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from signalmill.llm.scratch import materialise
 from signalmill.llm.words import LANES, U64, gram_hashes, mix, pieces, powers, split_words, word_hashes
@@ -151,11 +152,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
-    """All columns of ``docs`` with n_words, n_removed and kept: the kept words joined by one space
-    (their SHA-256 with ``digest``, which then stands in for text too). Null texts: kept is empty."""
+    """row (a struct of all columns of ``docs``), n_words, n_removed and kept for every row: the kept
+    words joined by one space. With ``digest`` their SHA-256 is in kept, and row is without text."""
     names = [c for c in docs.columns if not (digest and c == "text")]
-    spans = repeated_spans(docs, window, gram)
-    marked = keyed(docs).join(spans, ["k1", "k2"], "left").select("text", "spans", *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    marked = (
+        keyed(docs.select("doc_id", "text", F.struct(*names).alias("row")))
+        .join(repeated_spans(docs.select("doc_id", "text"), window, gram), ["k1", "k2"], "left").select("text", "spans", "row")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,11 +180,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
                     text = b" ".join(words)
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], pa.array(np.diff(w.doc_ptr)), pa.array(removed), pa.array(kept, pa.string())],
-                    names=[*part.schema.names[2:], "n_words", "n_removed", "kept"],
+                    [part.column(2), pa.array(np.diff(w.doc_ptr)), pa.array(removed), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"]
                 )
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names)) + (", " if names else "") + "n_words long, n_removed long, kept string"
-    out = marked.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_words", "n_removed", "kept")
+    schema = StructType([marked.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    return marked.mapInArrow(run, schema)
