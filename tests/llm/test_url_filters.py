@@ -1,0 +1,111 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from signalmill.llm import url_filters
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def parse(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    tail = rest[cut:]
+    end = min([tail.find(c) for c in "?#" if c in tail], default=len(tail))
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), tail[:end]
+
+
+def rule(host, path):
+    fits = [(h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+
+URLS = [
+    "http://a.com", "http://a.com/", "https://EXAMPLE.com/en/1", "http://www.example.com/en/x?q", "http://x.www.example.com/en/", "http://notexample.com/en/2", "http://b.net/es/1", "http://b.net/es", "http://net/fr/9#a/b",
+    "http://b.net/de/1", None, "", "no scheme", "ftp://h?x://y", "http://h#f", "//x://y/z", "http://ÄÖ.com/é", "x://", "http://a.com//en//3", "http://b.net/fr/\n2", "HTTP://B.NET/fr/7?u=http://c.com/",
+]
+
+
+def test_hosts_paths_and_rules(spark):
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumns({"host": F.lit("mine"), "verdict": F.lit(1)})
+    got = {r.page_id: r for r in url_filters.filter_urls(df).collect()}
+    for i, u in enumerate(URLS):
+        host, path = parse(u)
+        text, verdict = rule(host, path)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, text), u
+        assert got[i].verdict == (verdict or "allow"), u
+
+
+def brute(paths, max_depth=3, max_children=50, min_share=0.05, z=1.96, strength=4.0):
+    """The tree by recursion: {(host, path): verdict} of {(host, path): (pages, labelled, blocked)}."""
+    leaf = {}
+    for host, path in paths:
+        segments = [s for s in path.split("/") if s]
+        shape = []
+        for s in segments[:max_depth]:
+            if any(c in "0123456789" for c in s):
+                stem, dot, ext = s.rpartition(".")
+                shape.append("*" + ("." + ext if dot and 1 <= len(ext) <= 5 and ext.isascii() and ext.isalpha() else ""))
+            else:
+                shape.append(s)
+        leaf[host, path] = (shape + ["**"] * (len(segments) > max_depth), [])
+    for depth in range(max_depth):
+        total = defaultdict(lambda: [0, 0, 0])
+        for key, (shape, node) in leaf.items():
+            seg = shape[depth] if depth < len(shape) else ""
+            for i in range(3):
+                total[key[0], tuple(node), seg][i] += paths[key][i]
+        new = {}
+        for host, node, seg in total:
+            own = {s: v for (h, n, s), v in total.items() if (h, n) == (host, node) and s}
+            pages, labelled, blocked = (sum(v[i] for v in own.values()) for i in range(3))
+            mine = total[host, node, seg]
+            to = seg
+            if seg:
+                n1, n2 = mine[1], labelled - mine[1]
+                p = blocked / labelled if labelled else 0
+                alike = n1 and n2 and abs(mine[2] / n1 - (blocked - mine[2]) / n2) <= z * (p * (1 - p) * (1 / n1 + 1 / n2)) ** 0.5
+                to = "*" if len(own) > max_children and mine[0] < min_share * pages else "+" if alike else seg
+            new[host, node, seg] = to
+        for key, (shape, node) in leaf.items():
+            to = new[key[0], tuple(node), shape[depth] if depth < len(shape) else ""]
+            if to:
+                leaf[key] = (shape, [*node, to])
+    sums = defaultdict(lambda: [0, 0])
+    for key, (_, node) in leaf.items():
+        sums[key[0], tuple(node)][0] += paths[key][1]
+        sums[key[0], tuple(node)][1] += paths[key][2]
+    return {key: "block" if sums[key[0], tuple(node)][1] / (sums[key[0], tuple(node)][0] + strength) >= 0.5 else "allow" for key, (_, node) in leaf.items()}
+
+
+def test_tree_equals_brute_force(spark):
+    rng = random.Random(11)
+    paths = {}
+    for _ in range(1500):
+        host = rng.choice(["h1", "h1", "h2", "h3"])
+        path = "/" + "/".join(rng.choice(["en", "fr", "de", "blog", f"p{rng.randrange(99)}", f"{rng.randrange(999)}.html", rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 4)]) for _ in range(rng.randint(0, 5)))
+        bad = 0.9 if "/fr" in path or path.startswith("/blog") else 0.1
+        n = rng.randint(0, 6)
+        b = sum(rng.random() < bad for _ in range(n))
+        paths[host, path] = (n + rng.randint(1, 3), n, b)
+    df = spark.createDataFrame([(*k, *v) for k, v in paths.items()], "host string, path string, pages long, labelled long, blocked long")
+    got = {(r.host, r.path): r.verdict for r in url_filters.template_verdicts(df).collect()}
+    want = brute(paths)
+    assert got == want
+    assert Counter(want.values())["block"] > 50
+
+
+def test_unlabelled_pages_follow_their_template(spark):
+    rules = [("block", "h", f"/spam/{i}") for i in range(30)]
+    df = spark.createDataFrame([(i, f"http://h/spam/{i}") for i in range(60)] + [(100, "http://h/good/1")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df, rules).collect()}
+    assert got[100] == (None, "allow")
+    assert got[50][1] == "block"
+
+
+def test_empty(spark):
+    assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
