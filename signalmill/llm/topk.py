@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
 Vector components x become ``floor(scale * x)`` with x as double. Vectors that are null or empty,
-or hold null, non-finite or (after scaling) over 2^26 in size components take no part; neither do
+or hold null, non-finite or (after scaling) over 2^25 in size components take no part; neither do
 rows with a null id. Scores are exact integers. Queries meet only candidates of their own dimension.
 
 Candidates and queries are dealt into blocks, and every pair of blocks is a group of bounded size,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from signalmill.llm.scratch import materialise
 
-LIMIT = 1 << 26
+LIMIT = 1 << 25
 CANDIDATE_ROWS, QUERY_ROWS, BINS = 4096, 1024, 2048
 
 
@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
     candidates = ints.select("vec_id", "v", "dim", at(n_c).alias("c"), reach(n_q).alias("q"))
     bound = max(abs(low or 0), abs(high or 0)) ** 2
     # Per query: scores of interest lie in lo..lo+width*BINS-1; need: how many of them are wanted.
-    state = asked.select("vec_id", "v", "dim", at(n_q).alias("q"), (-F.lit(bound) * F.col("dim")).alias("lo"), F.lit(k).cast("long").alias("need"))
+    state = asked.select("vec_id", "v", "dim", at(n_q).alias("q"), (F.lit(-bound).cast("long") * F.col("dim")).alias("lo"), F.lit(k).cast("long").alias("need"))
     dims = ints.agg(F.max("dim")).first()[0] or 1
     width = 1
     while width * BINS <= 2 * bound * dims:
@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256) ->
             .groupBy("vec_id").agg(F.min_by("bin", "bin").alias("bin"), F.min_by("above", "bin").alias("above"))
         )
         state = state.join(found, "vec_id", "left").select(
-            "vec_id", "v", "dim", "q", (F.col("lo") + F.coalesce("bin", F.lit(0)) * F.lit(width)).alias("lo"), (F.col("need") - F.coalesce("above", F.lit(0))).alias("need")
+            "vec_id", "v", "dim", "q", (F.col("lo") + F.coalesce("bin", F.lit(0)) * F.lit(width).cast("long")).alias("lo"), (F.col("need") - F.coalesce("above", F.lit(0))).alias("need")
         )
         state = materialise(state, "bounds")
         if width == 1:
