@@ -56,7 +56,6 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {"": []}
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def run_ids(self, run: str) -> list[int]:
@@ -65,6 +64,7 @@ class WordTokenizer:
         return got
 
     def word_ids(self, words: list[bytes]) -> list[list[int]]:
+        self.runs: dict[str, list[int]] = {"": []}
         out, hard = [], []
         for i, word in enumerate(words):
             text = word.decode()
@@ -76,6 +76,7 @@ class WordTokenizer:
                 hard.append((i, text))
         for (i, _), got in zip(hard, self.tokenizer.encode_batch_fast([t for _, t in hard], add_special_tokens=False) if hard else []):
             out[i] = got.ids
+        self.runs = {}
         return out
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
