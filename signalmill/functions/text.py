@@ -76,7 +76,7 @@ def signature(*columns: Column | str) -> Column:
 
 def plain_number(value: Column) -> Column:
     """Six decimals without trailing zeros or point."""
-    return F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "(\\.[0-9]*?)0+$|\\.$", "$1")
+    return F.regexp_replace(F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "0+$", ""), "\\.$", "")
 
 
 def compact_cap(value: Column) -> Column:
