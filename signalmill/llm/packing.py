@@ -30,7 +30,7 @@ from signalmill.llm.scratch import materialise
 from signalmill.llm.words import pieces, split_words
 
 WINDOW, END_ID, SHARDS = 4096, 2, 64
-_CACHE_WORDS = 600_000  # bounds what a Python worker keeps
+_CACHE_WORDS = 1_000_000  # bounds what a Python worker keeps
 
 
 class WordTokenizer:
