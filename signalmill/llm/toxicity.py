@@ -95,7 +95,7 @@ def fit(h: np.ndarray, sentence: np.ndarray, doc_of_sentence: np.ndarray, y: np.
     return ToxicityModel(words, weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 3000, max_words: int = 20000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 2000, max_words: int = 10000) -> ToxicityModel:
     """``learn``: a condition on doc_id for the rows to learn from."""
     marked = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("toxic").alias("share"))
