@@ -11,7 +11,8 @@ winner on any stretch of words, which cumulative sums show at once; only other t
 word pass.
 
 Trigram tables come from a bounded sample: at most ``max_documents`` texts of each language, in the
-order of a hash of their ids, with at most ``max_chars`` characters each. Every whole text is labelled.
+order of a hash of their ids, with at most ``max_chars`` characters each, of the ``max_languages``
+languages with most rows, so that what reaches the driver has a fixed bound. Every whole text is labelled.
 Null texts and texts without a letter: ``und``, score 0. Words in scripts that no learned language uses
 favour none. Ties go to the first language in alphabetical order. Repeated rows are labelled alike. An
 empty table gives no rows; without training rows every text is ``und``.
@@ -93,12 +94,12 @@ def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64), first
 
 
-def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400, max_chars: int = 20000) -> LanguageModel:
+def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400, max_chars: int = 20000, max_languages: int = 200) -> LanguageModel:
     """``learn``: a condition for the rows to learn from. The languages are the distinct values of lang."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         known = known.where(learn)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
     # A hash threshold first, so that the ranking sees a few times max_documents rows of a language.
     drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < F.greatest(F.lit(4.0 * max_documents) / F.col("n"), F.lit(0.0)) * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
