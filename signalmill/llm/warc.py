@@ -96,6 +96,8 @@ class _File:
 
     def need(self, place: int, n: int) -> bool:
         """Make n bytes from place available, if the file has them."""
+        if place < self.at:
+            self.at, self.data = place, b""
         end = self.at + len(self.data)
         while end < min(self.size, place + n):
             more = self.handle.read_at(min(_BLOCK, self.size - end), end)
@@ -158,6 +160,7 @@ def _member(file: _File, place: int):
         if not block:
             return None
         at += len(block)
+        file.drop(at)  # the bytes are read again if this turns out not to be a member
         pending = block
         while pending and not z.eof:
             try:
