@@ -83,7 +83,7 @@ def phrases(h: np.ndarray, doc_ptr: np.ndarray, window: int = WINDOW, gram: int
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with a key (k1, k2) that rows share only if they have the same id and text."""
-    return docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("doc_id")})
+    return docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("doc_id")})
 
 
 def document_phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -99,7 +99,7 @@ def document_phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     names=["k1", "k2", "start", "windows", "anchor", "phrase", "seen"],
                 )
 
-    return keyed(docs).select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, start int, windows int, anchor long, phrase long, seen int")
+    return keyed(docs).select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 int, start int, windows int, anchor long, phrase long, seen int")
 
 
 def boundary_windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
@@ -121,7 +121,7 @@ def boundary_windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFram
 
     joined = keyed(docs).select("text", "k1", "k2").join(spans, ["k1", "k2"]).select("text", "k1", "k2", "spans")
     # Rows that repeat id and text share a key, so their windows come up for each: they do repeat.
-    return joined.mapInArrow(run, "k1 long, k2 long, start int, w1 long, w2 long")
+    return joined.mapInArrow(run, "k1 long, k2 int, start int, w1 long, w2 long")
 
 
 def flat_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,12 +136,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """k1, k2, spans array<struct<start, windows>>: runs of repeated windows of each document."""
     every = materialise(document_phrases(docs, window, gram), "phrases")
     shared = every.groupBy("anchor").agg(F.sum("seen").alias("n")).where("n > 1").select("anchor")
-    known = every.join(shared, "anchor")
+    known = materialise(every.join(shared, "anchor"), "known")
     index = materialise(
         known.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.min(F.struct("k1", "k2", "start", "windows")).alias("first")), "index"
     )
     found_whole = index.where("n > 1").select("anchor", "phrase")
-    factors = every.join(found_whole, ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
+    factors = known.join(found_whole, ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
     variety = index.groupBy("anchor").agg(F.count("*").alias("different"))
     open_ = index.join(variety, "anchor").where("different > 1 or (n = 1 and seen > 1)").select("first.*")
     gather = F.collect_list(F.struct("start", "windows")).alias("spans")
