@@ -109,19 +109,28 @@ def narratives_in(titles: DataFrame, names=NARRATIVES) -> DataFrame:
     return titles.select("ann_id", F.explode(hit).alias("narrative"))
 
 
+def parts_of(name: str) -> Column:
+    """Every substring of a name, each once."""
+    n = F.length(name)
+    at = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring(name, i, m))
+    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).otherwise(F.array().cast("array<string>"))
+
+
 def assets_of_topics(topics: DataFrame, dim: DataFrame) -> DataFrame:
     """Assets of each topic: of the entry equal to it, else of the first entry that contains it or is
     contained in it, else the topic itself if it looks like a symbol, else none. Case aside.
 
-    Equal entries are joined by key. Only what is left goes through the containment join, with the
-    distinct entries, which are few, on the small side.
+    All three are joins by key: what is left after equality meets entries over the parts of its name,
+    and entries meet it over the parts of theirs. Names are short, so their parts are few.
     """
     entries = dim.groupBy(F.upper("topic").alias("entry")).agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set("symbol")).alias("assets"))
     keys = topics.select("topic").distinct().withColumn("key", F.upper("topic"))
     equal = keys.join(entries, F.col("key") == F.col("entry"), "left").select("topic", "key", "assets")
     rest = equal.where("assets is null").select("topic", "key")
-    near = F.contains(F.col("key"), F.col("entry")) | F.contains(F.col("entry"), F.col("key"))
-    part = rest.join(entries, near).groupBy("topic").agg(F.min_by("assets", F.struct("ord", "entry")).alias("assets"))
+    inside = rest.select("topic", F.explode(parts_of("key")).alias("entry")).join(entries, "entry")
+    around = entries.select("*", F.explode(parts_of("entry")).alias("key")).join(rest, "key")
+    near = inside.select("topic", "ord", "entry", "assets").unionByName(around.select("topic", "ord", "entry", "assets"))
+    part = near.groupBy("topic").agg(F.min_by("assets", F.struct("ord", "entry")).alias("assets"))
     itself = F.when(F.col("key").rlike("^[A-Z0-9]{2,10}$"), F.array("key")).otherwise(F.array().cast("array<string>"))
     found = equal.where("assets is not null").select("topic", "assets").unionByName(
         rest.join(part, "topic", "left").select("topic", F.coalesce("assets", itself).alias("assets"))
