@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in pieces(batch, 1, 2_000_000):
+            for part in pieces(batch, 1, 1_000_000):
                 texts = pc.fill_null(part.column(1), "").to_pylist()
                 points, starts, ends, words, off = letter_words(texts)
                 scores = word_scores(model, points, starts, ends) if model.languages and len(starts) else np.zeros((len(starts), 0))

@@ -134,7 +134,7 @@ def gram_hashes(h: np.ndarray, k: int, base: int = LANES[0]) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
-def pieces(batch: pa.RecordBatch, text: int, limit: int = 4_000_000):
+def pieces(batch: pa.RecordBatch, text: int, limit: int = 2_000_000):
     """Slices of a batch with about ``limit`` bytes of text each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)
