@@ -12,7 +12,8 @@ down). So every fingerprint is filed under each start with its first segment who
 with one bit masked: 4 * 16 keys of 31 bits. Fingerprints that meet under a key have a chain of two
 segments within budget; pairs are then held to the third budget, and only those left to the full
 Hamming check. Within a key a breadth-first walk emits a spanning forest of the links, never all
-pairs, which keeps every connection. Components are found over the forests.
+pairs, which keeps every connection; a key with more than ``HOT`` different fingerprints is dealt into
+tiles, and pairs of tiles are walked in tasks of their own. Components are found over the forests.
 
 Null ids count as no id: a component's id is its smallest id, null if it has none. Repeated rows are
 copies. An empty table gives no rows. Extra columns are ignored.
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ from signalmill.llm.scratch import materialise
 from signalmill.llm.words import lowered, pieces, split_words
 
 SEED, SHINGLE, RADIUS, SEGMENT = 42, 3, 3, 16
+#: Fingerprints of one key that a task compares at once.
+HOT = 1 << 15
 U64 = np.uint64
 
 
@@ -117,34 +121,67 @@ def links(distinct: DataFrame) -> DataFrame:
     key = (F.col("i").cast("long") * F.lit(1 << 32)) + masked * F.lit(1 << 16) + first
     filed = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(key.alias("key"), "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
+        """Keys come in order. Links of each key's fingerprints; those of keys with more than ``hot`` are
+        passed on one by one, with b null."""
+        held_k, held_f, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def rows(a, b, key):
+            return pa.record_batch([pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
 
         def whole(keys: np.ndarray, fps: np.ndarray):
             cut = np.flatnonzero(np.diff(keys)) + 1
             begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-            a, b = [], []
             for s, e in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-                i = int(keys[s]) >> 32
-                for x, y in forest(fps[s:e].view(U64), i % 4, i // 4):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], names=["a", "b"])
+                found = forest(fps[s:e].view(U64), *start_and_bit(int(keys[s])))
+                if found:
+                    x, y = (np.concatenate(z).view(np.int64) for z in zip(*found))
+                    yield rows(x, y, np.full(len(x), keys[s]))
 
         for batch in batches:
             keys = np.concatenate((held_k, batch.column(0).to_numpy()))
             fps = np.concatenate((held_f, batch.column(1).to_numpy()))
             if not len(keys):
                 continue
-            cut = int(np.searchsorted(keys, keys[-1]))
+            if passing is not None:
+                n = int(np.searchsorted(keys, passing, side="right"))
+                yield rows(fps[:n], pa.nulls(n, pa.int64()), keys[:n])
+                keys, fps = keys[n:], fps[n:]
+                passing = None if len(keys) else passing
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             held_k, held_f = keys[cut:], fps[cut:]
             if cut:
                 yield from whole(keys[:cut], fps[:cut])
+            if len(held_k) > hot:
+                passing = int(held_k[0])
+                yield rows(held_f, pa.nulls(len(held_f), pa.int64()), held_k)
+                held_k, held_f = held_k[:0], held_f[:0]
         if len(held_k):
             yield from whole(held_k, held_f)
 
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    found = materialise(filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long"), "links")
+    return found.where("b is not null").select("a", "b").unionByName(hot_links(found.where("b is null").select("key", F.col("a").alias("fp")), HOT))
+
+
+def start_and_bit(key: int) -> tuple[int, int]:
+    i = key >> 32
+    return i % 4, i // 4
+
+
+def hot_links(members: DataFrame, hot: int) -> DataFrame:
+    """Links of large keys' members (key, fp): each key's are dealt into tiles of some ``hot`` members, and
+    every pair of tiles is a group of its own, so no task holds more than two tiles."""
+    tiles = members.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("n"))
+    tile = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    dealt = members.join(tiles, "key").withColumn("t", tile).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    paired = dealt.select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "fp")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = forest(np.unique(pdf.fp.to_numpy()).view(U64), *start_and_bit(int(key[0])))
+        a, b = ([np.concatenate(x).view(np.int64) for x in zip(*found)]) if found else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b})
+
+    return paired.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
