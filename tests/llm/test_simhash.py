@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from signalmill.llm import simhash
@@ -49,8 +50,10 @@ def test_equals_brute_force(docs, corpus):
     assert Counter(map(tuple, got)) == want
 
 
-def test_links_of_dense_clusters(spark):
-    """Random balls of fingerprints: the links connect what brute force connects."""
+@pytest.mark.parametrize("hot", [1 << 15, 8])
+def test_links_of_dense_clusters(spark, monkeypatch, hot):
+    """Random balls of fingerprints: the links connect what brute force connects, dealt into tiles or not."""
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(3)
     fps = []
     for _ in range(12):
@@ -61,7 +64,9 @@ def test_links_of_dense_clusters(spark):
             fps.append(at)
     signed = [f - (1 << 64) if f >> 63 else f for f in set(fps)]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100" if hot < 100 else "10000")  # keys cross batches
     found = {r.node: r.root for r in connected_components(simhash.links(nodes)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = groups([f & (1 << 64) - 1 for f in signed])
     together = defaultdict(set)
     for f in signed:
