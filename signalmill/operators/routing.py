@@ -11,12 +11,14 @@ from signalmill.operators.history import SOFT_HOURS
 def route(scored: DataFrame, group: str, pool: int = 5, keep: int = 3, hours: float = SOFT_HOURS) -> DataFrame:
     """Per group the best direct asset; where there is none, of the best ``pool`` for review the first
     ``keep`` that no cooldown holds (hours_ago, null: never posted)."""
-    order = Window.partitionBy(group, "decision").orderBy(F.desc("score"), "symbol")
-    ranked = scored.where("decision <> 'reject'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool)
-    direct = ranked.where("decision = 'direct' and place = 1").drop("place").withColumn("rank", F.lit(1))
-    free = ranked.where("decision = 'review'").where(F.col("hours_ago").isNull() | (F.col("hours_ago") >= hours))
-    review = free.join(direct.select(group), group, "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("place"))).where(F.col("rank") <= keep).drop("place")
-    return direct.unionByName(review)
+    place = F.row_number().over(Window.partitionBy(group, "decision").orderBy(F.desc("score"), "symbol"))
+    ranked = scored.where("decision <> 'reject'").withColumn("place", place).where(F.col("place") <= pool)
+    direct = F.col("decision") == "direct"
+    ranked = ranked.withColumn("any_direct", F.max(direct).over(Window.partitionBy(group)))
+    free = F.col("hours_ago").isNull() | (F.col("hours_ago") >= hours)
+    ranked = ranked.where((direct & (F.col("place") == 1)) | (~F.col("any_direct") & free))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("place"))
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= keep).drop("place", "any_direct")
 
 
 def ranking_list(scored: DataFrame, group: str, pick: Column) -> DataFrame:
