@@ -1,12 +1,22 @@
+import math
 import random
-from collections import defaultdict
+import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import test_decontaminate
+import test_packing
+import test_simhash
+import test_substring_dedup
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from signalmill.llm import queries, scratch
+from signalmill.llm import queries, scratch, toxicity
+from signalmill.llm.words import split_words, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +50,49 @@ def test_stages_take_effect(spark, tables):
     assert 202 in ids["simhash_near_dedup"] and 202 not in ids["substring_dedup"]
 
 
+def noisy_or(model, text):
+    """A text's score by the model's words, sentence by sentence."""
+    weight, clean = dict(zip(model.hashes.tolist(), model.weights.tolist())), 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        words = re.findall(rb"[^\x00-\x20!-/:-@\[-`{-\x7f]+", bytes(c + 32 if 65 <= c <= 90 else c for c in sentence.encode()))
+        if words:
+            hashes = word_hashes(split_words(pa.array([b" ".join(words).decode()])))
+            clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(weight.get(h, 0.0) for h in hashes.tolist())))
+    return 1 - clean
+
+
+def test_equals_brute_force(spark, tables):
+    """Every stage again in plain Python; only the classifier's weights are taken over."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.collect() if noisy_or(model, r.text) < 0.5]
+    fps = [test_simhash.fingerprint(t) for _, t in rows]
+    root = test_simhash.groups(fps)
+    best = {}
+    for row, f in zip(rows, fps):
+        best[root[f]] = min(best.get(root[f], row), row, key=lambda r: (r[0] is None, r[0]))
+    rows = list(best.values())
+    kept, seen = [], Counter(tuple(w[i : i + 35]) for w in (test_substring_dedup.WORD.findall(t or "") for _, t in rows) for i in range(len(w) - 34))
+    for doc, text in rows:
+        w, gone = test_substring_dedup.WORD.findall(text or ""), set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone.update(range(i, i + 35))
+        left = " ".join(x for i, x in enumerate(w) if i not in gone)
+        if not gone or left:
+            kept.append((doc, left if gone else text))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    leaked = {k[0] for k in test_decontaminate.brute(kept, items)}
+    kept = [r for r in kept if r[0] not in leaked]
+    want = Counter()
+    for (doc, _), ids in zip(kept, test_packing.whole_ids([t for _, t in kept])):
+        for s in range(0, len(ids), 4096):
+            want[doc, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes()), len(ids)] += 1
+    got = corpus_pipeline.run(spark, tables).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    assert Counter(map(tuple, got)) == want
+    assert leaked == {2000} and len(kept) > 100
+
+
 def test_run_packs_what_is_left(spark, tables):
     rows = corpus_pipeline.run(spark, tables).collect()
     by = defaultdict(int)
