@@ -132,6 +132,17 @@ def flat_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), sizes), start, count
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in ``keys``, which has each once with the number ``n`` of its rows.
+
+    Keys with more than a ten-thousandth of all rows (a thousand at least) are at most ten thousand, so
+    they are broadcast, and their rows stay where they are; only the others are shuffled.
+    """
+    limit = max(1000, rows.count() // 10_000)
+    hot = F.broadcast(keys.where(F.col("n") > limit).select(*on))
+    return rows.join(hot, on).union(rows.join(hot, on, "left_anti").join(keys.where(F.col("n") <= limit).select(*on), on))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """k1, k2, spans array<struct<start, windows>>: runs of repeated windows of each document."""
     every = materialise(document_phrases(docs, window, gram), "phrases")
@@ -140,14 +151,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     index = materialise(
         known.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.min(F.struct("k1", "k2", "start", "windows")).alias("first")), "index"
     )
-    found_whole = index.where("n > 1").select("anchor", "phrase")
-    factors = known.join(found_whole, ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
+    factors = with_keys(known, index.where("n > 1"), ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
     variety = index.groupBy("anchor").agg(F.count("*").alias("different"))
     open_ = index.join(variety, "anchor").where("different > 1 or (n = 1 and seen > 1)").select("first.*")
     gather = F.collect_list(F.struct("start", "windows")).alias("spans")
     single = materialise(boundary_windows(docs, open_.groupBy("k1", "k2").agg(gather), window), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    at_boundaries = single.join(twice, ["w1", "w2"]).select("k1", "k2", "start", F.lit(1).alias("windows"))
+    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+    at_boundaries = with_keys(single, twice, ["w1", "w2"]).select("k1", "k2", "start", F.lit(1).alias("windows"))
     return factors.union(at_boundaries).groupBy("k1", "k2").agg(gather)
 
 
