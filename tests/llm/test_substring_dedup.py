@@ -44,3 +44,12 @@ def test_keeps_rows_and_clashing_columns(spark):
 
 def test_empty(no_docs):
     assert substring_dedup.without_repeats(no_docs).collect() == []
+
+
+def test_very_common_passages(spark):
+    """Phrases with over a thousand rows take the broadcast way."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"x{i} y{i} {passage} z{i}") for i in range(1500)] + [(2000 + i, f"{passage} {i}") for i in range(3)] + [(3000, "alone " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.without_repeats(docs, digest=True).select("row.doc_id", "n_words", "n_removed", "kept").collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], *x) for r, x in zip(rows, brute([r[1] for r in rows])))
