@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from signalmill.llm import topk
@@ -41,7 +42,7 @@ def test_equals_brute_force_with_ties_and_odd_rows(spark, monkeypatch):
 def test_large_components_stay_exact(spark):
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-2.5e5, 2.5e5) for _ in range(4)]) for i in range(60)]
-    rows = [(i, [float(F_) for F_ in __import__("numpy").array(v, "float32")]) for i, v in rows]
+    rows = [(i, np.array(v, "float32").astype(float).tolist()) for i, v in rows]
     assert run(spark, rows) == brute(rows)
 
 

@@ -1,7 +1,6 @@
 import random
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from signalmill.llm import url_filters
