@@ -111,21 +111,25 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_file)
-        for batch in batches:
-            for part in pieces(batch, 1):
-                ids, ends = tokenizer.ids(part.column(1))
-                rows, start, length, crc, total = [], [], [], [], []
-                for i in range(part.num_rows):
-                    own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
-                    data = own.tobytes()
-                    for s in range(0, len(own), window):
-                        n = min(window, len(own) - s)
-                        rows.append(i)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(data[4 * s : 4 * (s + n)]))
-                        total.append(len(own))
-                yield pa.record_batch([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in batches:
+                for part in pieces(batch, 1):
+                    ids, ends = tokenizer.ids(part.column(1))
+                    rows, start, length, crc, total = [], [], [], [], []
+                    for i in range(part.num_rows):
+                        own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
+                        data = own.tobytes()
+                        for s in range(0, len(own), window):
+                            n = min(window, len(own) - s)
+                            rows.append(i)
+                            start.append(s)
+                            length.append(n)
+                            crc.append(zlib.crc32(data[4 * s : 4 * (s + n)]))
+                            total.append(len(own))
+                    yield pa.record_batch([part.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:  # a worker lives on after the task
+            tokenizer.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -134,7 +138,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(file: str) -> WordTokenizer:
-    """One for each Python worker, with the words it has met."""
+    """One for each Python worker; its words are kept for the length of a task."""
     if file not in _TOKENIZERS:
         _TOKENIZERS[file] = WordTokenizer(file)
     return _TOKENIZERS[file]
