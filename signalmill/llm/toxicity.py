@@ -1,15 +1,17 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences (cut at ``.``, ``!``, ``?`` and line feeds); only documents have
-labels. A sentence's probability is a logistic function of its words' weights, a document's the
-noisy-or of its sentences' probabilities, and the weights are fitted to the documents' labels through
-the noisy-or. Only words whose presence goes with the label, by a z-test over the sample's documents,
-have a weight, so that rare words can't learn the labels by heart. The same sentence probabilities then point at
-the offending sentences.
+labels. A sentence's probability is a logistic function of its words' weights less the base rate that
+sentences without weighted words would have, so that these have probability 0 and no text is toxic by
+its length; a document's is the noisy-or of its sentences' probabilities. The weights are fitted to the
+documents' labels through the noisy-or and a constant per document for labels that no sentence explains
+(it takes no part in scores). Only words whose presence goes with the label, by a z-test over the
+sample's documents, have a weight, so that rare words can't learn the labels by heart. The same sentence
+probabilities then point at the offending sentences.
 
 Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The fit uses a
-bounded sample of labelled rows: at most ``max_documents`` of each label with at most ``max_words``
-words each, in the order of a hash of their ids. Scoring covers every whole text.
+bounded sample of labelled rows, whole texts of any length: at most ``max_documents`` of each label, in
+the order of a hash of their ids. Scoring covers every whole text.
 
 Null and empty texts: no sentences, score 0. Labels other than 0 and 1 are ignored; an id with several
 labels has their majority, ties toxic. Without labels of both kinds every score is 0. Repeated rows are
@@ -18,6 +20,7 @@ scored alike. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from signalmill.llm.words import SEPARATORS, lowered, pieces, split_words, word_hashes
 
 _PUNCTUATION = np.array([0x20 < b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b < 0x80 for b in range(256)])
+#: The logit of a sentence without weighted words, before the base rate is taken off.
+BIAS = -8.0
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".!?\n")] = True
 
@@ -62,40 +67,29 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(h: np.ndarray, sentence: np.ndarray, doc_of_sentence: np.ndarray, y: np.ndarray, rounds: int = 150, min_z: float = 5.0, l2: float = 1e-5, rate: float = 0.2) -> ToxicityModel:
-    """Noisy-or likelihood, full-batch Adam, small L2 penalty."""
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-    words, index = np.unique(h, return_inverse=True)
-    pairs = np.unique(index.astype(np.int64) * len(y) + doc_of_sentence[sentence])
-    label = y[pairs % len(y)]
-    df = np.bincount(pairs // len(y), minlength=len(words))
-    toxic_df = np.bincount(pairs // len(y), label, minlength=len(words))
-    rate_1, share = y.mean(), df / len(y)
-    spread = np.sqrt(df * rate_1 * (1 - rate_1) * np.maximum(1 - share, 1e-9))
-    common = np.abs(toxic_df - df * rate_1) >= min_z * spread
-    column = np.cumsum(common) - 1
-    keep = common[index]
-    index, at = column[index[keep]], sentence[keep]
-    words = words[common]
-    n, m = len(words), len(doc_of_sentence)
-    weights, bias = np.zeros(n), -6.0
+def fit(words: np.ndarray, index: np.ndarray, bag: np.ndarray, count: np.ndarray, doc_of_bag: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1e-5, rate: float = 0.2) -> ToxicityModel:
+    """Noisy-or likelihood, full-batch Adam, small L2 penalty. ``index`` and ``bag`` place weighted words in
+    bags, each of which stands for ``count`` sentences of its document."""
+    n, m = len(words), len(doc_of_bag)
+    weights, spare = np.zeros(n), -2.0
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(at, weights[index], minlength=m)
-        total = np.maximum(np.bincount(doc_of_sentence, softplus(z), minlength=len(y)), 1e-12)
+        z = BIAS + np.bincount(bag, weights[index], minlength=m)
+        strength = np.maximum(softplus(z) - softplus(BIAS), 0)
+        total = np.maximum(softplus(spare) + np.bincount(doc_of_bag, count * strength, minlength=len(y)), 1e-12)
         slope = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 500)), 1.0) / len(y)
-        dz = slope[doc_of_sentence] / (1 + np.exp(-np.maximum(z, -500)))
-        grad = np.append(np.bincount(index, dz[at], minlength=n) + l2 * weights, dz.sum())
+        # The gradient goes through the bound at 0, or words could not come back from below it.
+        dz = count * slope[doc_of_bag] / (1 + np.exp(-np.maximum(z, -500)))
+        grad = np.append(np.bincount(index, dz[bag], minlength=n) + l2 * weights, slope.sum() / (1 + np.exp(-spare)))
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         move = rate * m1 / (1 - 0.9**step) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         weights = weights - move[:-1]
-        bias -= move[-1]
-    return ToxicityModel(words, weights, float(bias))
+        spare -= move[-1]
+    return ToxicityModel(words, weights, BIAS)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 2000, max_words: int = 10000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 2000, min_z: float = 5.0) -> ToxicityModel:
     """``learn``: a condition on doc_id for the rows to learn from."""
     marked = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("toxic").alias("share"))
@@ -106,39 +100,65 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_d
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = marked.where("y = 1").orderBy(*order).limit(max_documents).union(marked.where("y = 0").orderBy(*order).limit(max_documents))
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's distinct words."""
         for batch in batches:
             for part in pieces(batch, 1):
-                h, sentence, w, first = sentences(part.column(1))
+                h, _, w, _ = sentences(part.column(1))
                 for i in range(part.num_rows):
-                    a, b = w.doc_ptr[i], w.doc_ptr[i + 1]
-                    if b - a <= max_words:
-                        own = pa.array([(sentence[a:b] - first[i]).astype("<i4").tobytes()], pa.binary())
-                        yield pa.record_batch([part.column(0).slice(i, 1), part.column(2).slice(i, 1), pa.array([h[a:b].astype("<u8").tobytes()], pa.binary()), own], names=["doc_id", "y", "h", "s"])
+                    own = np.unique(h[w.doc_ptr[i] : w.doc_ptr[i + 1]])
+                    yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), part.column(2)[i].as_py(), np.int64))], names=["hash", "toxic"])
 
     # The sample is bounded by max_documents, so it may be broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-    rows = chosen.mapInArrow(bags, "doc_id long, y int, h binary, s binary").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
-    h = [np.frombuffer(r[2], "<u8") for r in rows]
-    s = [np.frombuffer(r[3], "<i4").astype(np.int64) for r in rows]
-    count = np.array([x[-1] + 1 if len(x) else 0 for x in s], dtype=np.int64)
-    base = np.cumsum(count) - count
-    if not rows:
-        return fit(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return fit(np.concatenate(h), np.concatenate([x + b for x, b in zip(s, base)]), np.repeat(np.arange(len(rows)), count), np.array([r[1] for r in rows]))
+    labelled = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
+    if len(labelled) < 2:
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
+    total, base = sum(labelled.values()), labelled[1] / sum(labelled.values())
+    df = chosen.mapInArrow(present, "hash long, toxic long").groupBy("hash").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    spread = F.sqrt(F.col("n") * base * (1 - base) * F.greatest(1 - F.col("n") / total, F.lit(1e-9)))
+    words = np.sort(np.array([r[0] for r in df.where(F.abs(F.col("toxic") - F.col("n") * base) >= min_z * spread).select("hash").collect()], np.int64).view(np.uint64))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's distinct bags of weighted words, as places in ``words``, and their numbers of sentences."""
+        for batch in batches:
+            for part in pieces(batch, 1):
+                h, sentence, _, first = sentences(part.column(1))
+                place = np.searchsorted(words, h)
+                hit = np.flatnonzero(words[np.minimum(place, len(words) - 1)] == h) if len(words) else np.zeros(0, np.int64)
+                at, s = place[hit].astype("<i4"), sentence[hit]
+                order = np.lexsort((at, s))
+                at, s = at[order], s[order]
+                cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
+                ends = np.searchsorted(s[cut[:-1]], first)
+                for i in range(part.num_rows):
+                    found = Counter(at[cut[j] : cut[j + 1]].tobytes() for j in range(ends[i], ends[i + 1]))
+                    own = sorted(found)
+                    yield pa.record_batch(
+                        [part.column(0).slice(i, 1), part.column(2).slice(i, 1), pa.array([own], pa.list_(pa.binary())), pa.array([[found[b] for b in own]], pa.list_(pa.int64()))],
+                        names=["doc_id", "y", "bags", "counts"],
+                    )
+
+    rows = chosen.mapInArrow(bags, "doc_id long, y int, bags array<binary>, counts array<long>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y, r.bags, r.counts))
+    found = [np.frombuffer(b, "<i4") for r in rows for b in r.bags]
+    index = np.concatenate([np.zeros(0, "<i4"), *found])
+    return fit(
+        words, index, np.repeat(np.arange(len(found)), np.array([len(b) for b in found], np.int64)), np.array([c for r in rows for c in r.counts], np.float64),
+        np.repeat(np.arange(len(rows)), np.array([len(r.bags) for r in rows], np.int64)), np.array([r.y for r in rows]),
+    )
 
 
 def _sentence_strengths(model: ToxicityModel, column: pa.Array):
-    """softplus of each sentence's logit, the words, the words' sentences, documents' first sentences."""
+    """Each sentence's -log(1 - probability), the words, the words' sentences, documents' first sentences."""
     h, sentence, w, first = sentences(column)
     n = int(first[-1])
     if not len(model.hashes):
-        return softplus(np.full(n, model.bias)), w, sentence, first
+        return np.zeros(n), w, sentence, first
     place = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
     hit = model.hashes[place] == h
     z = model.bias + np.bincount(sentence[hit], model.weights[place[hit]], minlength=n)
-    return softplus(z), w, sentence, first
+    return np.maximum(softplus(z) - softplus(model.bias), 0), w, sentence, first
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

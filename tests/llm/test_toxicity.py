@@ -59,3 +59,23 @@ def test_odd_inputs(docs, no_docs, corpus, spark, marked):
     kept = toxicity.passing(clash, toxicity.train(clash, marked[1]))
     assert kept.columns == clash.columns
     assert kept.count() <= len(corpus)
+
+
+def test_length_alone_is_not_toxic(spark, marked):
+    docs, labels = marked
+    model = toxicity.train(docs, labels)
+    clean = ". ".join(r.text for r in docs.where("doc_id % 4 <> 0").orderBy("doc_id").collect())
+    clean = ". ".join([clean] * (100_000 // len(clean.split()) + 1))
+    assert len(clean.split()) >= 100_000
+    df = spark.createDataFrame([(0, clean), (1, clean + ". so vile")], "doc_id long, text string")
+    s = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert s[0] < 0.5 <= s[1]
+    assert [r.doc_id for r in toxicity.passing(df, model).collect()] == [0]
+
+
+def test_learns_from_long_documents(spark):
+    filler = "uno dos tres. " * 5000
+    rows = [(i, filler + ("qué vile" if i % 2 else "qué calm")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int"))
+    assert {(r.doc_id % 2, r.score >= 0.5) for r in toxicity.score(docs, model).collect()} == {(0, False), (1, True)}
