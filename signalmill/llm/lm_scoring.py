@@ -5,11 +5,13 @@ table for each place, are added and passed through tanh, and a two-level softmax
 its class, then its place in the class. A document's pseudo-log-likelihood is the sum of the conditional
 log-probabilities of its words; its score is the mean.
 
-The vocabulary holds the most frequent words of all documents, counted by Spark; other words share
-``unknown`` tokens by their hash. Training is data-parallel: each task runs stochastic gradient descent
-in numpy on its own share of the training rows, those for which a hash of the id falls in one of
-``one_in`` parts, so training grows with the corpus; the tasks' parameters are averaged by a Spark
-aggregation weighted by words, and the next round starts from the average.
+The vocabulary holds the most frequent words of all documents, counted by Spark, half as many as the
+square root of the documents' number of words and 960 at least, so the network grows with the corpus;
+other words share ``unknown`` tokens by their hash. Training takes every row (``one_in`` > 1 takes those
+for which a hash of the id falls in one of so many parts) and is data-parallel: each task runs stochastic
+gradient descent in numpy on its own rows, by steps that grow with the words it has seen; the tasks'
+parameters are averaged by a Spark aggregation weighted by words, and the next round starts from the
+average.
 
 Null and empty texts: no words, sum 0 and mean 0. Repeated rows are scored alike. An empty table gives no
 rows.
@@ -17,6 +19,7 @@ rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.llm.scratch import materialise
 from signalmill.llm.words import U64, lowered, pieces, split_words, word_hashes
 
 CLASSES, WIDTH, REACH, UNKNOWN = 32, 16, 2, 64
-VOCABULARY = CLASSES * CLASSES
+#: The smallest vocabulary, and the numbers of a network's parameters that travel as one row.
+VOCABULARY, BLOCK = CLASSES * CLASSES, 65536
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -42,6 +47,11 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def vocabulary_size(words: int) -> int:
+    """For a corpus of so many words; a network rounds it up to a square."""
+    return max(VOCABULARY, math.isqrt(words) // 2)
+
+
 def log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -53,7 +63,10 @@ class Network:
 
     def __init__(self, known: np.ndarray, flat: np.ndarray | None = None):
         self.known = known  # sorted hashes; token i + UNKNOWN
-        shapes = [(2 * REACH, VOCABULARY + 1, WIDTH), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, CLASSES), (CLASSES, CLASSES)]
+        self.classes = k = max(CLASSES, math.isqrt(len(known) + UNKNOWN - 1) + 1)
+        self.vocabulary = k * k
+        self.seen = 0  # words trained on
+        shapes = [(2 * REACH, k * k + 1, WIDTH), (WIDTH, k), (k,), (k, WIDTH, k), (k, k)]
         sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.1, sum(sizes)).astype(np.float32)
@@ -68,11 +81,11 @@ class Network:
         return np.where(self.known[place] == h, place + UNKNOWN, (h % U64(UNKNOWN)).astype(np.int64))
 
     def contexts(self, tokens: np.ndarray, doc_ptr: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Tokens around each of the words begin..end; VOCABULARY stands for a place outside the text."""
+        """Tokens around each of the words begin..end; the vocabulary's size stands for a place outside the text."""
         at = np.arange(begin, end)
         doc = np.searchsorted(doc_ptr, at, side="right") - 1
         first, last = doc_ptr[doc], doc_ptr[doc + 1]
-        out = np.full((2 * REACH, len(at)), VOCABULARY)
+        out = np.full((2 * REACH, len(at)), self.vocabulary)
         for i, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
             other = at + d
             fine = (other >= first) & (other < last)
@@ -84,35 +97,39 @@ class Network:
 
     def groups(self, target: np.ndarray):
         """Rows of each class."""
-        order = np.argsort(target // CLASSES, kind="stable")
-        cut = np.searchsorted((target // CLASSES)[order], np.arange(CLASSES + 1))
-        return [(c, order[cut[c] : cut[c + 1]]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+        own = target // self.classes
+        order = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(self.classes + 1))
+        return [(c, order[cut[c] : cut[c + 1]]) for c in range(self.classes) if cut[c] < cut[c + 1]]
 
     def log_probabilities(self, tokens: np.ndarray, doc_ptr: np.ndarray, step: int = 32768) -> np.ndarray:
         out = np.empty(len(tokens), np.float64)
         for a in range(0, len(tokens), step):
             b = min(len(tokens), a + step)
             x, y = self.hidden(self.contexts(tokens, doc_ptr, a, b)), tokens[a:b]
-            p = log_softmax(x @ self.w1 + self.b1)[np.arange(b - a), y // CLASSES]
+            p = log_softmax(x @ self.w1 + self.b1)[np.arange(b - a), y // self.classes]
             for c, rows in self.groups(y):
-                p[rows] += log_softmax(x[rows] @ self.w2[c] + self.b2[c])[np.arange(len(rows)), y[rows] % CLASSES]
+                p[rows] += log_softmax(x[rows] @ self.w2[c] + self.b2[c])[np.arange(len(rows)), y[rows] % self.classes]
             out[a:b] = p
         return out
 
-    def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float, step: int = 256) -> None:
-        """One pass of gradient descent."""
-        for a in range(0, len(tokens), step):
-            b = min(len(tokens), a + step)
+    def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float) -> None:
+        """One pass of gradient descent, by steps of 256 words that grow to 4096."""
+        b, across = 0, np.arange(WIDTH)
+        while b < len(tokens):
+            step = min(4096, max(256, self.seen // 64))
+            a, b = b, min(len(tokens), b + step)
+            self.seen += b - a
             context, y = self.contexts(tokens, doc_ptr, a, b), tokens[a:b]
             x = self.hidden(context)
             z = np.exp(log_softmax(x @ self.w1 + self.b1))
-            z[np.arange(b - a), y // CLASSES] -= 1
+            z[np.arange(b - a), y // self.classes] -= 1
             dx = z @ self.w1.T
             grow = np.float32(rate / step)
             dw1, db1 = x.T @ z, z.sum(axis=0)
             for c, rows in self.groups(y):
                 z2 = np.exp(log_softmax(x[rows] @ self.w2[c] + self.b2[c]))
-                z2[np.arange(len(rows)), y[rows] % CLASSES] -= 1
+                z2[np.arange(len(rows)), y[rows] % self.classes] -= 1
                 dx[rows] += z2 @ self.w2[c].T
                 self.w2[c] -= grow * 8 * (x[rows].T @ z2)
                 self.b2[c] -= grow * 8 * z2.sum(axis=0)
@@ -120,14 +137,16 @@ class Network:
             self.b1 -= grow * db1
             dx *= (1 - x * x) * (grow * 8)
             for i in range(2 * REACH):
-                np.subtract.at(self.embed[i], context[i], dx)
+                np.subtract.at(self.embed[i].reshape(-1), (context[i][:, None] * WIDTH + across).reshape(-1), dx.reshape(-1))
         np.clip(self.flat, -4, 4, out=self.flat)
 
 
-def train(docs: DataFrame, one_in: int = 32, rounds: int = 2, rate: float = 0.5) -> Network:
-    top = count_words(docs).orderBy(F.desc("n"), "hash").limit(VOCABULARY - UNKNOWN).collect()  # a fixed number
+def train(docs: DataFrame, one_in: int = 1, rounds: int = 2, rate: float = 0.5) -> Network:
+    counts = materialise(count_words(docs))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "hash").limit(vocabulary_size(words) - UNKNOWN).collect()  # half the square root of the corpus
     net = Network(np.sort(np.array([r[0] for r in top], np.int64).view(U64)))
-    share = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(one_in)) == 0).select("text")
+    share = (docs if one_in == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(one_in)) == 0)).select("text")
     sc = docs.sparkSession.sparkContext
     for turn in range(rounds):
         state = sc.broadcast((net.known, net.flat))
@@ -141,15 +160,20 @@ def train(docs: DataFrame, one_in: int = 32, rounds: int = 2, rate: float = 0.5)
                     own.train(own.tokens(word_hashes(w)), w.doc_ptr, pace)
                     words += len(w.starts)
             if words:
-                n = len(flat)
-                yield pa.record_batch([pa.array(np.arange(n, dtype=np.int32)), pa.array(own.flat.astype(np.float64) * words), pa.array(np.full(n, words))], names=["i", "value", "words"])
-
-        mean = share.mapInArrow(run, "i int, value double, words long").groupBy("i").agg((F.sum("value") / F.sum("words")).cast("float").alias("value"))
-        rows = mean.toPandas()  # one row for each parameter
-        if len(rows):
-            flat = net.flat.copy()
-            flat[rows.i.to_numpy()] = rows.value.to_numpy()
-            net = Network(net.known, flat)
+                for i, a in enumerate(range(0, len(flat), BLOCK)):
+                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([own.flat[a : a + BLOCK].tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["i", "value", "words"])
+
+        def average(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, words = 0.0, 0
+            for batch in tables:
+                for value, n in zip(batch.column("value"), batch.column("words").to_pylist()):
+                    total, words = total + np.frombuffer(value.as_buffer(), np.float32).astype(np.float64) * n, words + n
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())], names=["i", "value"])
+
+        mean = share.mapInArrow(run, "i int, value binary, words long").groupBy("i").applyInArrow(average, "i int, value binary")
+        rows = mean.collect()  # the network's parameters
+        if rows:
+            net = Network(net.known, np.concatenate([np.frombuffer(r.value, np.float32) for r in sorted(rows, key=lambda r: r.i)]))
     return net
 
 

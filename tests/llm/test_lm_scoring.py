@@ -62,3 +62,27 @@ def test_odd_inputs(docs, no_docs, corpus):
     assert all(np.isfinite(r.score) and r.pseudo_log_likelihood <= 0 for r in rows)
     assert {(r.n_words, r.score) for r in rows if r.doc_id in (401, 402, 403)} == {(0, 0.0)}
     assert lm_scoring.score(no_docs, lm_scoring.train(no_docs)).collect() == []
+
+
+def test_defaults_learn_from_every_row(spark, chains):
+    docs, fresh = chains
+    few = docs.where("doc_id < 100")
+    held = spark.createDataFrame(list(enumerate(fresh)), "doc_id long, text string")
+    mean = lambda net: np.mean([r.score for r in lm_scoring.score(held, net).collect()])
+    assert mean(lm_scoring.train(docs)) > -np.log(40) + 0.3
+    # No row may be without effect.
+    first = few.where("pmod(xxhash64(doc_id, 1L), 32) <> 0")
+    assert 0 < first.count() and mean(lm_scoring.train(first)) > mean(Network(lm_scoring.train(first.limit(0)).known)) + 1
+
+
+def test_vocabulary_follows_the_corpus():
+    assert lm_scoring.vocabulary_size(0) == lm_scoring.VOCABULARY
+    assert lm_scoring.vocabulary_size(10**10) == 50_000
+    net = Network(np.arange(3000, dtype=np.uint64))
+    assert net.vocabulary >= 3000 + lm_scoring.UNKNOWN and len(set(net.tokens(net.known))) == 3000
+    context = np.array([3, 5, 1000, 7, net.vocabulary - 1])
+    total = 0
+    for v in range(net.vocabulary):
+        context[2] = v
+        total += np.exp(net.log_probabilities(context, np.array([0, 5]))[2])
+    assert total == pytest.approx(1, abs=1e-4)
