@@ -7,8 +7,8 @@ runs of one label are the spans. The language with most letters in its spans is
 is its share of the letters.
 
 A constant labelling is the best one if no language gains more than the penalty over the overall
-winner on any stretch of words, which cumulative sums show at once; only other texts need the word by
-word pass.
+winner on any stretch of words, and the largest gains on a text's beginning and on its end together are
+no more than it either, which cumulative sums show at once; only other texts need the word by word pass.
 
 Trigram tables come from a bounded sample: at most ``max_documents`` texts of each language, in the
 order of a hash of their ids, with at most ``max_chars`` characters each, of the ``max_languages``
@@ -156,7 +156,8 @@ def best_labels(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     winner = int(total.argmax())
     sums = np.zeros((n + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, [winner]], axis=0, out=sums[1:])
-    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch:
+    # A stretch of other languages beside the winner costs a switch for each; texts without the winner save one.
+    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch and sums.max() + (sums[-1] - sums).max() <= switch:
         return np.full(n, winner)
     best, back = scores[0].copy(), np.zeros(scores.shape, np.int32)
     stay = np.arange(scores.shape[1])

@@ -68,3 +68,17 @@ def test_odd_inputs(spark, model, docs, no_docs, corpus):
     assert language.identify(no_docs, model).count() == 0
     none = language.train(no_docs)
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
+
+
+def test_two_halves_beat_a_third_language_between():
+    scores = np.array([[-5.0, 0, -12], [-5, 0, -12], [-5, -12, 0], [-5, -12, 0]])
+    assert language.best_labels(scores, 12.0).tolist() == [1, 1, 2, 2]
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, pen = rng.integers(2, 12), 4.0
+        scores = np.stack([np.full(n, -0.5), *-rng.integers(0, 3, (3, n)).astype(float)], axis=1)
+        labels = language.best_labels(scores, pen)
+        best = scores[0].copy()
+        for t in range(1, n):
+            best = np.maximum(best, best.max() - pen) + scores[t]
+        assert scores[np.arange(n), labels].sum() - pen * (np.diff(labels) != 0).sum() == best.max()
