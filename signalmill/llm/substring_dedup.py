@@ -1,12 +1,14 @@
-"""Exact removal of repeated passages by relative Lempel-Ziv factoring of documents.
+"""Exact removal of repeated passages by counting hashed phrases and windows.
+
+This stands in for greedy relative Lempel-Ziv parsing against reference blocks: no longest match is
+sought. "Factor" below means a phrase that occurs elsewhere, "index" the counted phrases.
 
 A passage is repeated if it is covered by a window of ``window`` consecutive words whose sequence also
 starts anywhere else, the same document included.
 
-Documents are factored from left to right against an index of reference phrases. Phrases are cut where
-the text itself says: each window has an anchor, the ``gram``-word sequence in it with the smallest
-hash, and a phrase is what a run of windows with one anchor covers. The index is dealt into reference
-blocks by the hash of anchor and phrase, and holds each different phrase once, however often it occurs.
+Phrases are cut where the text itself says: each window has an anchor, the ``gram``-word sequence in it with the smallest
+hash, and a phrase is what a run of windows with one anchor covers. The index is
+grouped by the hash of anchor and phrase, and holds each different phrase once, however often it occurs.
 
 1. Phrases whose anchor occurs once in all documents can't hold a repeated window and are left out.
 2. A phrase found whole in the index at another place is a factor; all its windows repeat. Copies and
