@@ -12,43 +12,88 @@ shard's offset: no length is ordered in one task.
 
 A sequence is padded to ``window``, except where its length is a power of two.
 
-Repeated rows are documents of their own. Null ids stay null. An empty table gives no rows.
+Repeated rows are documents of their own. Null ids stay null. Equal pieces tie for their places, which
+then go by id, start and checksum; any order gives the same padding. A very long text is cut like any
+other; a task holds the ids of one such text at a time. Columns other than doc_id and text are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.llm.scratch import materialise
-from signalmill.llm.words import pieces, split_words
+from signalmill.llm.words import SEPARATORS, buffers, pieces
 
 WINDOW, END_ID, SHARDS = 4096, 2, 64
-_CACHE_WORDS = 600_000  # bounds what a Python worker keeps
-
-
-class WordTokenizer:
-    """Ids of texts from ids of their words, which are kept between batches.
-
-    The vocabulary drops white space and joins nothing across it, so a text's ids are its words' ids
-    in a row. Words of Latin-1 letters with ASCII punctuation around them go straight to the
-    tokenizer's model, a run of letters or punctuation at a time, as its own normaliser and
-    pre-tokeniser would hand them over; all other words go through the whole tokenizer.
+_PIECE = 4_000_000  # bytes of text at a time
+#: Bounds of what a task keeps of known units: their bytes and 128 for each.
+_CACHE_BYTES, _UNIT_BYTES = 64 << 20, 128
+#: What the tokenizer's pre-tokeniser makes of a byte: letters and punctuation form runs, digits stand alone.
+_LETTER, _MARK, _DIGIT, _HARD = 1, 2, 3, 4
+_KINDS = np.full(256, _HARD, np.uint8)
+_KINDS[33:127] = _MARK
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[39] = _HARD  # an apostrophe may start a clitic
+_KINDS[SEPARATORS] = 0
+
+
+def units_of(column: pa.Array):
+    """(bytes with plain words in lower case, kind of each byte, units' starts, documents' first units).
+
+    Words of Latin-1 letters, ASCII punctuation and digits are plain: they fall into runs of letters, runs
+    of punctuation and single digits. Every other word is one hard unit: it has an apostrophe, a character
+    of another kind, or ``<|``, which may open a special token.
+    """
+    off, data = buffers(pc.fill_null(column, ""))
+    n = len(data)
+    kind, low = _KINDS[data], data.copy()
+    upper = (data >= 65) & (data <= 90)
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+    after = data[np.minimum(lead + 1, n - 1)]
+    lead = lead[np.where(data[lead] == 0xC3, (after != 0x97) & (after != 0xB7), (after == 0xAA) | (after == 0xB5) | (after == 0xBA)) & (lead + 1 < n)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    upper[lead[(data[lead] == 0xC3) & (data[lead + 1] < 0x9F)] + 1] = True
+    first = np.zeros(n + 1, dtype=bool)
+    first[off] = True
+    inside = kind != 0
+    before = np.concatenate(([False], inside[:-1]))[:n]
+    starts = np.flatnonzero(inside & (~before | first[:n]))
+    hard = np.flatnonzero((kind == _HARD) | ((data == 0x3C) & (np.append(data[1:], 0)[:n] == 0x7C)))
+    if len(hard):
+        words = np.unique(np.searchsorted(starts, hard, side="right") - 1)
+        ends = np.flatnonzero(inside & (~np.append(inside[1:], False)[:n] | first[1:])) + 1
+        step = np.zeros(n + 1, np.int8)
+        np.add.at(step, starts[words], 1)
+        np.add.at(step, ends[words], -1)
+        kind[np.cumsum(step[:-1], dtype=np.int8) > 0] = _HARD
+    low[upper & (kind != _HARD)] += 32
+    same = np.concatenate(([False], kind[1:] == kind[:-1]))[:n] & (kind != _DIGIT) & ~first[:n]
+    starts = np.flatnonzero(inside & ~same)
+    return low, kind, starts, np.searchsorted(starts, off)
+
+
+class UnitTokenizer:
+    """Ids of texts from ids of their units, which are kept between batches.
+
+    The vocabulary drops white space and joins nothing across it, and its pre-tokeniser cuts plain words
+    into the units of ``units_of``, so a text's ids are its units' ids in a row. A plain unit's ids come
+    from the tokenizer's model, a hard word's from the whole tokenizer.
     """
-
-    _PLAIN = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         self.shown = {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)}  # a byte's character in the model
@@ -56,53 +101,48 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def run_ids(self, run: str) -> list[int]:
-        if (got := self.runs.get(run)) is None:
-            got = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.shown))]
-        return got
-
-    def word_ids(self, words: list[bytes]) -> list[list[int]]:
-        self.runs: dict[str, list[int]] = {"": []}
-        out, hard = [], []
-        for i, word in enumerate(words):
-            text = word.decode()
-            if m := self._PLAIN.fullmatch(text):
-                a, b, c = m.groups()
-                out.append(self.run_ids(a) + self.run_ids(b.lower()) + self.run_ids(c) if b else self.run_ids(text))
-            else:
-                out.append([])
-                hard.append((i, text))
-        for (i, _), got in zip(hard, self.tokenizer.encode_batch_fast([t for _, t in hard], add_special_tokens=False) if hard else []):
-            out[i] = got.ids
-        self.runs = {}
-        return out
+    def learn(self, units: list[bytes], hard: bool) -> None:
+        if hard:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        else:
+            tokenize, shown = self.tokenizer.model.tokenize, self.shown
+            lists = [[t.id for t in tokenize(u.decode() if u.isascii() else u.decode("latin-1").translate(shown))] for u in units]
+        n = len(self.known)
+        self.known.update(zip(units, range(n, n + len(units))))
+        self.held += sum(map(len, units)) + _UNIT_BYTES * len(units)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets of each text."""
-        if len(self.known) > _CACHE_WORDS:
+        if self.held > _CACHE_BYTES:
             self.forget()
-        w = split_words(column)
-        if not len(w.starts):
+        low, kind, starts, doc_ptr = units_of(column)
+        if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        sizes = w.ends - w.starts
-        where = np.concatenate(([0], np.cumsum(sizes)))
-        packed = w.data[w.is_word]
-        words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(packed))]).dictionary_encode()
-        seen = words.dictionary.to_pylist()
-        new = [x for x in seen if x not in self.known]
-        if new:
-            lists = self.word_ids(new)
-            n = len(self.known)
-            self.known.update(zip(new, range(n, n + len(new))))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32)))
-            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in lists])))
-        place = np.fromiter((self.known[x] for x in seen), np.int64, len(seen))[words.indices.to_numpy()]
-        count = self.offsets[place + 1] - self.offsets[place]
+        place = np.empty(len(starts), np.int64)
+        is_hard = kind[starts] == _HARD
+        for hard in (False, True):
+            own = np.flatnonzero(is_hard == hard)
+            if not len(own):
+                continue
+            taken = (kind == _HARD) if hard else (kind != 0) & (kind != _HARD)
+            sums = np.cumsum(taken)
+            where = np.append(sums[starts[own]] - 1, sums[-1])
+            found = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(where), pa.py_buffer(low[taken])]).dictionary_encode()
+            seen = found.dictionary.to_pylist()
+            if new := [x for x in seen if x not in self.known]:
+                self.learn(new, hard)
+            place[own] = np.fromiter(map(self.known.__getitem__, seen), np.int64, len(seen))[found.indices.to_numpy()]
+        count = np.diff(self.offsets)[place]
         ends = np.concatenate(([0], np.cumsum(count)))
-        index = np.arange(ends[-1]) + np.repeat(self.offsets[place] - ends[:-1], count)
-        return self.flat[index], ends[w.doc_ptr]
+        index = np.repeat(self.offsets[place] - ends[:-1], count)
+        index += np.arange(len(index))
+        return self.flat[index], ends[doc_ptr]
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -113,7 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end
         tokenizer = _tokenizer(tokenizer_file)
         try:
             for batch in batches:
-                for part in pieces(batch, 1):
+                for part in pieces(batch, 1, _PIECE):
                     ids, ends = tokenizer.ids(part.column(1))
                     rows, start, length, crc, total = [], [], [], [], []
                     for i in range(part.num_rows):
@@ -134,13 +174,13 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[str, UnitTokenizer] = {}
 
 
-def _tokenizer(file: str) -> WordTokenizer:
-    """One for each Python worker; its words are kept for the length of a task."""
+def _tokenizer(file: str) -> UnitTokenizer:
+    """One for each Python worker; its units are kept for the length of a task."""
     if file not in _TOKENIZERS:
-        _TOKENIZERS[file] = WordTokenizer(file)
+        _TOKENIZERS[file] = UnitTokenizer(file)
     return _TOKENIZERS[file]
 
 

@@ -1,19 +1,25 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from signalmill.llm import packing, queries
 
 
-def whole_ids(texts):
+@cache
+def tokenizers():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_file())
-    t.encode_special_tokens = True
-    return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return Tokenizer.from_file(queries.tokenizer_file()), packing.UnitTokenizer(queries.tokenizer_file())
+
+
+def whole_ids(texts):
+    return [e.ids + [2] for e in tokenizers()[0].encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_pieces_cover_and_sequences_are_gapless(docs, corpus):
@@ -39,12 +45,33 @@ def test_pieces_cover_and_sequences_are_gapless(docs, corpus):
         assert at <= 512
 
 
-def test_word_ids_equal_the_tokenizer(corpus):
-    import pyarrow as pa
+def unit_ids(texts):
+    ids, ends = tokenizers()[1].ids(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def test_unit_ids_equal_the_tokenizer(corpus):
+    texts = [r[1] or "" for r in corpus] + ["it's a dog's; l'été, co-op 3.14 (a) \"b\" ÀÉ İ ß ẞ é x y ﬁ ªº µ ½ É×a ÷ 你好 \U0001f600!", "--- ... don't 'S 'll", "12a3 42"]
+    assert unit_ids(texts) == [x[:-1] for x in whole_ids(texts)]
+
+
+def test_special_tokens_in_texts_are_the_tokenizers():
+    texts = ["hello <|startoftext|> world", "foo<|endoftext|>bar", "<|ENDOFTEXT|>", "a<|b |> <|", "<|endoftext|><|endoftext|>"]
+    assert unit_ids(texts) == [x[:-1] for x in whole_ids(texts)]
+    assert unit_ids(texts)[0] == [3306, 49406, 1002]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab C'ds!?.,<|>startof éÉßÀ×÷ªµº́ \u00a0\t\n12٣ŁİΣς日本", max_size=25), max_size=5))
+def test_any_text_has_the_tokenizers_ids(texts):
+    assert unit_ids(texts) == [x[:-1] for x in whole_ids(texts)]
+
 
-    texts = [r[1] or "" for r in corpus] + ["it's a dog's; l'été, co-op 3.14 (a) \"b\" <|endoftext|> ÀÉ İ ß ẞ é x y ﬁ ªº ½ 你好 \U0001f600!", "--- ... don't 'S 'll"]
-    ids, ends = packing.WordTokenizer(queries.tokenizer_file()).ids(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [x[:-1] for x in whole_ids(texts)]
+def test_extra_columns_with_clashing_names(spark, docs):
+    more = docs.withColumns({c: F.lit(c) for c in ("length", "shard", "start", "rank", "ids_crc32", "sequence_id")})
+    order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    plain, got = (sorted(map(str, packing.pack(d, queries.tokenizer_file()).select(*order).collect())) for d in (docs, more))
+    assert got == plain
 
 
 @settings(max_examples=150, deadline=None)
