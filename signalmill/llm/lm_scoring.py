@@ -7,14 +7,16 @@ log-probabilities of its words; its score is the mean.
 
 The vocabulary holds the most frequent words of all documents, counted by Spark, half as many as the
 square root of the documents' number of words and 960 at least, so the network grows with the corpus;
-other words share ``unknown`` tokens by their hash. Training takes every row (``one_in`` > 1 takes those
-for which a hash of the id falls in one of so many parts) and is data-parallel: each task runs stochastic
-gradient descent in numpy on its own rows, by steps that grow with the words it has seen; the tasks'
-parameters are averaged by a Spark aggregation weighted by words, and the next round starts from the
-average.
-
-Null and empty texts: no words, sum 0 and mean 0. Repeated rows are scored alike. An empty table gives no
-rows.
+other words share ``unknown`` tokens by their hash. Every row trains the network once. Training is
+data-parallel: each task runs stochastic gradient descent in numpy on its own rows, by steps that grow
+with the words it has seen; the tasks' parameters are averaged by a Spark aggregation weighted by words,
+and the next part of the rows starts from the average. So the parameters, and by them the scores, hang a
+little on how Spark deals the rows to tasks; for a fixed network scores are exact and repeatable.
+
+Null and empty texts: no words, sum 0 and mean 0. Null ids train with the first part and are scored like
+others. Very long texts are worked through in steps; a task holds one such text at a time. Repeated rows
+train as often as they occur and are scored alike; ties in the counts go to the smaller hash. Columns
+other than doc_id and text are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from signalmill.llm.words import U64, lowered, pieces, split_words, word_hashes
 CLASSES, WIDTH, REACH, UNKNOWN = 32, 16, 2, 64
 #: The smallest vocabulary, and the numbers of a network's parameters that travel as one row.
 VOCABULARY, BLOCK = CLASSES * CLASSES, 65536
+#: Bound of every parameter.
+LIMIT = 4.0
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -52,11 +56,6 @@ def vocabulary_size(words: int) -> int:
     return max(VOCABULARY, math.isqrt(words) // 2)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 class Network:
     """Parameters as one flat vector: embeddings by place, class weights and biases, word weights and
     biases within each class."""
@@ -95,69 +94,84 @@ class Network:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.embed[i][context[i]] for i in range(2 * REACH)))
 
-    def groups(self, target: np.ndarray):
-        """Rows of each class."""
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the targets by class, and where each class begins in it."""
         own = target // self.classes
         order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(self.classes + 1))
-        return [(c, order[cut[c] : cut[c + 1]]) for c in range(self.classes) if cut[c] < cut[c + 1]]
+        return order, np.searchsorted(own[order], np.arange(self.classes + 1))
+
+    # Parameters stay within LIMIT and hidden values within 1, so exponentials of the outputs can't overflow.
 
     def log_probabilities(self, tokens: np.ndarray, doc_ptr: np.ndarray, step: int = 32768) -> np.ndarray:
         out = np.empty(len(tokens), np.float64)
+        ones = np.ones(self.classes, np.float32)
         for a in range(0, len(tokens), step):
             b = min(len(tokens), a + step)
-            x, y = self.hidden(self.contexts(tokens, doc_ptr, a, b)), tokens[a:b]
-            p = log_softmax(x @ self.w1 + self.b1)[np.arange(b - a), y // self.classes]
-            for c, rows in self.groups(y):
-                p[rows] += log_softmax(x[rows] @ self.w2[c] + self.b2[c])[np.arange(len(rows)), y[rows] % self.classes]
-            out[a:b] = p
+            order, cut = self.by_class(tokens[a:b])
+            y, x = tokens[a:b][order], self.hidden(self.contexts(tokens, doc_ptr, a, b)[:, order])
+            across = np.arange(b - a)
+            z = x @ self.w1 + self.b1
+            p = z[across, y // self.classes] - np.log(np.exp(z) @ ones)
+            for c in np.flatnonzero(np.diff(cut)):
+                i, j = cut[c], cut[c + 1]
+                z = x[i:j] @ self.w2[c] + self.b2[c]
+                p[i:j] += z[across[: j - i], y[i:j] % self.classes]
+                p[i:j] -= np.log(np.exp(z, out=z) @ ones)
+            out[a + order] = p
         return out
 
     def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float) -> None:
-        """One pass of gradient descent, by steps of 256 words that grow to 4096."""
-        b, across = 0, np.arange(WIDTH)
+        """One pass of gradient descent, by steps of 256 words that grow to 8192."""
+        b, across, ones = 0, np.arange(WIDTH), np.ones(self.classes, np.float32)
         while b < len(tokens):
-            step = min(4096, max(256, self.seen // 64))
+            step = min(8192, max(256, self.seen // 64))
             a, b = b, min(len(tokens), b + step)
             self.seen += b - a
-            context, y = self.contexts(tokens, doc_ptr, a, b), tokens[a:b]
+            order, cut = self.by_class(tokens[a:b])
+            context, y, every = self.contexts(tokens, doc_ptr, a, b)[:, order], tokens[a:b][order], np.arange(b - a)
             x = self.hidden(context)
-            z = np.exp(log_softmax(x @ self.w1 + self.b1))
-            z[np.arange(b - a), y // self.classes] -= 1
+            z = x @ self.w1 + self.b1
+            np.exp(z, out=z)
+            z /= (z @ ones)[:, None]
+            z[every, y // self.classes] -= 1
             dx = z @ self.w1.T
             grow = np.float32(rate / step)
             dw1, db1 = x.T @ z, z.sum(axis=0)
-            for c, rows in self.groups(y):
-                z2 = np.exp(log_softmax(x[rows] @ self.w2[c] + self.b2[c]))
-                z2[np.arange(len(rows)), y[rows] % self.classes] -= 1
-                dx[rows] += z2 @ self.w2[c].T
-                self.w2[c] -= grow * 8 * (x[rows].T @ z2)
+            for c in np.flatnonzero(np.diff(cut)):
+                i, j = cut[c], cut[c + 1]
+                z2 = x[i:j] @ self.w2[c] + self.b2[c]
+                np.exp(z2, out=z2)
+                z2 /= (z2 @ ones)[:, None]
+                z2[every[: j - i], y[i:j] % self.classes] -= 1
+                dx[i:j] += z2 @ self.w2[c].T
+                self.w2[c] -= grow * 8 * (x[i:j].T @ z2)
                 self.b2[c] -= grow * 8 * z2.sum(axis=0)
             self.w1 -= grow * dw1
             self.b1 -= grow * db1
             dx *= (1 - x * x) * (grow * 8)
             for i in range(2 * REACH):
                 np.subtract.at(self.embed[i].reshape(-1), (context[i][:, None] * WIDTH + across).reshape(-1), dx.reshape(-1))
-        np.clip(self.flat, -4, 4, out=self.flat)
+            np.clip(self.flat, -LIMIT, LIMIT, out=self.flat)
 
 
-def train(docs: DataFrame, one_in: int = 1, rounds: int = 2, rate: float = 0.5) -> Network:
-    counts = materialise(count_words(docs))
+def train(docs: DataFrame, parts: int = 2, rate: float = 0.5) -> Network:
+    """Every row trains once: the rows fall into ``parts`` by a hash of their ids, and the tasks' networks are
+    averaged after each part."""
+    counts = materialise(count_words(docs), "counts")
     words = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "hash").limit(vocabulary_size(words) - UNKNOWN).collect()  # half the square root of the corpus
     net = Network(np.sort(np.array([r[0] for r in top], np.int64).view(U64)))
-    share = (docs if one_in == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(one_in)) == 0)).select("text")
     sc = docs.sparkSession.sparkContext
-    for turn in range(rounds):
+    for part in range(parts):
         state = sc.broadcast((net.known, net.flat))
 
-        def run(batches: Iterator[pa.RecordBatch], state=state, pace=rate / (1 + turn)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             known, flat = state.value
             own, words = Network(known, flat.copy()), 0
             for batch in batches:
-                for part in pieces(batch, 0):
-                    w = split_words(lowered(part.column(0)))
-                    own.train(own.tokens(word_hashes(w)), w.doc_ptr, pace)
+                for piece in pieces(batch, 0):
+                    w = split_words(lowered(piece.column(0)))
+                    own.train(own.tokens(word_hashes(w)), w.doc_ptr, rate)
                     words += len(w.starts)
             if words:
                 for i, a in enumerate(range(0, len(flat), BLOCK)):
@@ -170,8 +184,8 @@ def train(docs: DataFrame, one_in: int = 1, rounds: int = 2, rate: float = 0.5)
                     total, words = total + np.frombuffer(value.as_buffer(), np.float32).astype(np.float64) * n, words + n
             yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())], names=["i", "value"])
 
-        mean = share.mapInArrow(run, "i int, value binary, words long").groupBy("i").applyInArrow(average, "i int, value binary")
-        rows = mean.collect()  # the network's parameters
+        share = docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)), F.lit(0)) == part).select("text")
+        rows = share.mapInArrow(run, "i int, value binary, words long").groupBy("i").applyInArrow(average, "i int, value binary").collect()  # the network's parameters
         if rows:
             net = Network(net.known, np.concatenate([np.frombuffer(r.value, np.float32) for r in sorted(rows, key=lambda r: r.i)]))
     return net

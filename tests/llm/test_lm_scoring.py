@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -23,7 +24,7 @@ def chains(spark):
 
 def test_beats_word_frequencies_on_held_out_text(spark, chains):
     docs, fresh = chains
-    net = lm_scoring.train(docs, one_in=1, rounds=3)
+    net = lm_scoring.train(docs)
     held = spark.createDataFrame(list(enumerate(fresh)), "doc_id long, text string")
     score = np.mean([r.score for r in lm_scoring.score(held, net).collect()])
     n = {}
@@ -56,7 +57,7 @@ def test_context_stays_inside_documents():
 
 
 def test_odd_inputs(docs, no_docs, corpus):
-    net = lm_scoring.train(docs, one_in=2, rounds=1)
+    net = lm_scoring.train(docs)
     rows = lm_scoring.score(docs.withColumn("score", F.lit("mine")), net).collect()
     assert len(rows) == len(corpus)
     assert all(np.isfinite(r.score) and r.pseudo_log_likelihood <= 0 for r in rows)
@@ -64,15 +65,74 @@ def test_odd_inputs(docs, no_docs, corpus):
     assert lm_scoring.score(no_docs, lm_scoring.train(no_docs)).collect() == []
 
 
-def test_defaults_learn_from_every_row(spark, chains):
-    docs, fresh = chains
-    few = docs.where("doc_id < 100")
-    held = spark.createDataFrame(list(enumerate(fresh)), "doc_id long, text string")
-    mean = lambda net: np.mean([r.score for r in lm_scoring.score(held, net).collect()])
-    assert mean(lm_scoring.train(docs)) > -np.log(40) + 0.3
-    # No row may be without effect.
-    first = few.where("pmod(xxhash64(doc_id, 1L), 32) <> 0")
-    assert 0 < first.count() and mean(lm_scoring.train(first)) > mean(Network(lm_scoring.train(first.limit(0)).known)) + 1
+def test_every_row_trains_once(spark, chains):
+    docs, _ = chains
+    few = docs.where("doc_id < 60").union(spark.createDataFrame([(None, "w1 w2 w3")], docs.schema))
+    words = few.selectExpr("sum(size(split(text, ' '))) as n").first().n
+    seen = []
+    for part in range(3):
+        share = few.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)), F.lit(0)) == part)
+        seen.append(share.selectExpr("coalesce(sum(size(split(text, ' '))), 0) as n").first().n)
+    assert sum(seen) == words and all(seen)
+    # No part may be without effect.
+    nets = [lm_scoring.train(few.where(~F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).eqNullSafe(part), F.lit(False))).coalesce(1)).flat for part in range(2)]
+    whole = lm_scoring.train(few.coalesce(1)).flat
+    assert all(np.abs(whole - n).max() > 1e-3 for n in nets)
+
+
+def plain(net, flat, tokens, doc_ptr):
+    """Log-probabilities word by word, in doubles."""
+    own = Network(net.known, flat)
+    out = []
+    for d in range(len(doc_ptr) - 1):
+        for t in range(doc_ptr[d], doc_ptr[d + 1]):
+            total = [0.0] * lm_scoring.WIDTH
+            for i, off in enumerate((-2, -1, 1, 2)):
+                inside = doc_ptr[d] <= t + off < doc_ptr[d + 1]
+                row = own.embed[i][tokens[t + off] if inside else own.vocabulary]
+                total = [x + float(v) for x, v in zip(total, row)]
+            x = [math.tanh(v) for v in total]
+            c, place = divmod(int(tokens[t]), own.classes)
+            log_p = 0.0
+            for w, bias, hit in ((own.w1, own.b1, c), (own.w2[c], own.b2[c], place)):
+                z = [sum(x[k] * float(w[k, j]) for k in range(len(x))) + float(bias[j]) for j in range(own.classes)]
+                log_p += z[hit] - math.log(sum(math.exp(v) for v in z))
+            out.append(log_p)
+    return np.array(out)
+
+
+@pytest.fixture(scope="module")
+def small():
+    rng = np.random.default_rng(3)
+    net = Network(np.zeros(0, np.uint64))
+    net.flat[:] = rng.normal(0, 0.5, len(net.flat)).astype(np.float32)
+    return net, rng.integers(0, 1024, 17), np.array([0, 6, 6, 7, 17])
+
+
+def test_forward_equals_plain_loops(small):
+    net, tokens, doc_ptr = small
+    assert net.log_probabilities(tokens, doc_ptr, step=5) == pytest.approx(plain(net, net.flat, tokens, doc_ptr), abs=1e-4)
+
+
+def test_one_step_is_the_gradient(small):
+    net, tokens, doc_ptr = small
+    before = net.flat.astype(np.float64)
+    after = Network(net.known, net.flat.copy())
+    after.train(tokens, doc_ptr, 0.5)
+    moved = after.flat.astype(np.float64) - before
+    n_embed, n1 = net.embed.size, net.w1.size + net.b1.size
+    rng = np.random.default_rng(4)
+    touched = np.flatnonzero(np.abs(moved) > 1e-6)
+    places = [*rng.choice(touched[touched < n_embed], 12), *rng.choice(np.arange(n_embed, n_embed + n1), 8), *rng.choice(touched[touched >= n_embed + n1], 12)]
+    for i in places:
+        up, down = before.copy(), before.copy()
+        up[i] += 1e-4
+        down[i] -= 1e-4
+        slope = (plain(net, up, tokens, doc_ptr).sum() - plain(net, down, tokens, doc_ptr).sum()) / 2e-4
+        # Embeddings and the words' weights move by steps eight times as large.
+        size = 0.5 / 256 * (1 if n_embed <= i < n_embed + n1 else 8)
+        assert moved[i] == pytest.approx(size * slope, rel=2e-2, abs=1e-5)
+    assert after.log_probabilities(tokens, doc_ptr).sum() > net.log_probabilities(tokens, doc_ptr).sum()
 
 
 def test_vocabulary_follows_the_corpus():
