@@ -1,6 +1,9 @@
+import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from signalmill.llm import url_filters
@@ -36,49 +39,77 @@ def test_hosts_paths_and_rules(spark):
         host, path = parse(u)
         text, verdict = rule(host, path)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, text), u
-        assert got[i].verdict == (verdict or "allow"), u
-
-
-def brute(paths, max_depth=3, max_children=50, min_share=0.05, z=1.96, strength=4.0):
-    """The tree by recursion: {(host, path): verdict} of {(host, path): (pages, labelled, blocked)}."""
-    leaf = {}
-    for host, path in paths:
-        segments = [s for s in path.split("/") if s]
-        shape = []
-        for s in segments[:max_depth]:
-            if any(c in "0123456789" for c in s):
-                stem, dot, ext = s.rpartition(".")
-                shape.append("*" + ("." + ext if dot and 1 <= len(ext) <= 5 and ext.isascii() and ext.isalpha() else ""))
-            else:
-                shape.append(s)
-        leaf[host, path] = (shape + ["**"] * (len(segments) > max_depth), [])
-    for depth in range(max_depth):
-        total = defaultdict(lambda: [0, 0, 0])
-        for key, (shape, node) in leaf.items():
-            seg = shape[depth] if depth < len(shape) else ""
+        assert got[i].verdict == verdict or (verdict is None and got[i].verdict in ("allow", "block")), u
+
+
+def shape(path):
+    out = []
+    for seg in path.split("/"):
+        if any(c in "0123456789" for c in seg):
+            stem, dot, ext = seg.rpartition(".")
+            seg = "*" + ("." + ext if dot and 1 <= len(ext) <= 5 and ext.isascii() and ext.isalpha() else "")
+        if seg:
+            out.append(seg)
+    return tuple(out)
+
+
+def chi_square(x, y):
+    """Are two rows of counts within the 5 % point?"""
+    n, m = sum(x), sum(y)
+    if not n or not m:
+        return False
+    k = math.sqrt(m / n)
+    used = [(a, b) for a, b in zip(x, y) if a + b]
+    chi = sum((a * k - b / k) ** 2 / (a + b) for a, b in used)
+    return chi <= url_filters.CHI_SQUARE[max(1, len(used) - 1) - 1]
+
+
+def brute(paths, max_children=50, min_share=0.05, z=1.96, strength=4.0, reject_at=0.5):
+    """The tree by loops: {(host, path): (template, purity)} of {(host, path): (pages, labelled, blocked)}."""
+    tree = defaultdict(lambda: [0, 0, 0, [0] * url_filters.BINS])
+    for (host, path), counts in paths.items():
+        segs = shape(path)
+        for j in range(len(segs)):
+            node = tree[host, segs[: j + 1]]
             for i in range(3):
-                total[key[0], tuple(node), seg][i] += paths[key][i]
-        new = {}
-        for host, node, seg in total:
-            own = {s: v for (h, n, s), v in total.items() if (h, n) == (host, node) and s}
-            pages, labelled, blocked = (sum(v[i] for v in own.values()) for i in range(3))
-            mine = total[host, node, seg]
-            to = seg
-            if seg:
-                n1, n2 = mine[1], labelled - mine[1]
-                p = blocked / labelled if labelled else 0
-                alike = n1 and n2 and abs(mine[2] / n1 - (blocked - mine[2]) / n2) <= z * (p * (1 - p) * (1 / n1 + 1 / n2)) ** 0.5
-                to = "*" if len(own) > max_children and mine[0] < min_share * pages else "+" if alike else seg
-            new[host, node, seg] = to
-        for key, (shape, node) in leaf.items():
-            to = new[key[0], tuple(node), shape[depth] if depth < len(shape) else ""]
-            if to:
-                leaf[key] = (shape, [*node, to])
+                node[i] += counts[i]
+            node[3][xxhash.xxh64_intdigest((segs[j + 1] if j + 1 < len(segs) else "").encode(), 5) % url_filters.BINS] += counts[0]
+    family = defaultdict(list)
+    for host, prefix in tree:
+        family[host, prefix[:-1]].append(prefix)
+    name = {}
+    for (host, _), children in family.items():
+        own = {c: tree[host, c] for c in children}
+        side = {c: (v[2] >= reject_at * v[1]) if v[1] else None for c, v in own.items()}
+        pages = sum(v[0] for v in own.values())
+        for c, v in own.items():
+            others = {w: [x for d, x in own.items() if side[d] is w] for w in (True, False)}
+            to = None
+            if side[c] is None:
+                near = {w: chi_square(v[3], [sum(x[3][i] for x in others[w]) for i in range(url_filters.BINS)]) for w in (True, False)}
+                to = "+allow" if near[False] else "+block" if near[True] else None
+            else:
+                n, m = sum(x[1] for x in others[side[c]]), sum(x[2] for x in others[side[c]])
+                n2, p = n - v[1], m / n
+                if not n2 or abs(v[2] / v[1] - (m - v[2]) / n2) <= z * math.sqrt(p * (1 - p) * (1 / v[1] + 1 / n2)) + 1e-12:
+                    to = "+block" if side[c] else "+allow"
+            if len(own) > max_children and v[0] < min_share * pages:
+                to = "*"
+            name[host, c] = to or ("\\" + c[-1] if c[-1].startswith("+") else c[-1])
+    template = {key: tuple(name[key[0], shape(key[1])[: j + 1]] for j in range(len(shape(key[1])))) for key in paths}
     sums = defaultdict(lambda: [0, 0])
-    for key, (_, node) in leaf.items():
-        sums[key[0], tuple(node)][0] += paths[key][1]
-        sums[key[0], tuple(node)][1] += paths[key][2]
-    return {key: "block" if sums[key[0], tuple(node)][1] / (sums[key[0], tuple(node)][0] + strength) >= 0.5 else "allow" for key, (_, node) in leaf.items()}
+    for key, t in template.items():
+        for j in range(len(t) + 1):
+            sums[key[0], t[:j]][0] += paths[key][1]
+            sums[key[0], t[:j]][1] += paths[key][2]
+    out = {}
+    for key, t in template.items():
+        purity = 0.0
+        for j in range(len(t) + 1):
+            n, b = sums[key[0], t[:j]]
+            purity = (b + strength * purity) / (n + strength)
+        out[key] = ("/" + "/".join(t), purity)
+    return out
 
 
 def test_tree_equals_brute_force(spark):
@@ -92,18 +123,50 @@ def test_tree_equals_brute_force(spark):
         b = sum(rng.random() < bad for _ in range(n))
         paths[host, path] = (n + rng.randint(1, 3), n, b)
     df = spark.createDataFrame([(*k, *v) for k, v in paths.items()], "host string, path string, pages long, labelled long, blocked long")
-    got = {(r.host, r.path): r.verdict for r in url_filters.template_verdicts(df).collect()}
+    rows = url_filters.template_verdicts(df).collect()
     want = brute(paths)
-    assert got == want
-    assert Counter(want.values())["block"] > 50
+    assert {(r.host, r.path): r.template for r in rows} == {k: v[0] for k, v in want.items()}
+    assert {(r.host, r.path): r.purity for r in rows} == pytest.approx({k: v[1] for k, v in want.items()})
+    verdicts = Counter(r.verdict for r in rows)
+    assert verdicts == Counter("block" if v[1] >= 0.5 else "allow" for v in want.values()) and min(verdicts.values()) > 50
+    assert {"*", "+block", "+allow"} <= {s for t, _ in want.values() for s in t.split("/")}
+
+
+def test_branches_without_labels_follow_the_like(spark):
+    """On a host whose labelled branches are all blocked, one without labels is too; on one without labels, none is."""
+    urls = [f"http://x.net/{lang}/{i}" for lang in ("es", "fr", "de") for i in range(40)] + [f"http://x.org/{lang}/{i}" for lang in ("es", "de") for i in range(40)]
+    got = url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {(r.host, r.path[:4], r.rule is None, r.verdict) for r in got} == {("x.net", "/es/", False, "block"), ("x.net", "/fr/", False, "block"), ("x.net", "/de/", True, "block"), ("x.org", "/es/", True, "allow"), ("x.org", "/de/", True, "allow")}
+
+
+def test_deep_and_long_urls(spark):
+    """No level is cut off: verdicts differ in the last of very many segments."""
+    deep = "/".join("abcdefgh"[i % 8] for i in range(3000))
+    rules = [("block", "h", f"/{deep}/bad/{i}") for i in range(9)] + [("allow", "h", f"/{deep}/good/{i}/x") for i in range(9)]
+    urls = [f"http://h/{deep}/{what}" for i in range(9) for what in (f"bad/{i}", f"good/{i}/x")] + [f"http://h/{deep}/bad/9", f"http://h/{deep}/good/9/x"]
+    rows = {r.page_id: r for r in url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert (rows[18].rule, rows[18].verdict) == (None, "block") and (rows[19].rule, rows[19].verdict) == (None, "allow")
+    assert rows[18].template.count("/") == 3002
+
+
+def test_repeated_rows_and_null_ids(spark):
+    got = url_filters.filter_urls(spark.createDataFrame([(1, "http://b.net/es/1")] * 3 + [(None, "http://b.net/es/1"), (None, None)], "page_id long, url string")).collect()
+    assert Counter((r.page_id, r.host, r.verdict) for r in got) == {(1, "b.net", "block"): 3, (None, "b.net", "block"): 1, (None, "", "allow"): 1}
+
+
+def test_equally_long_rules():
+    assert [r[0] for r in sorted([("allow", "b", "/x"), ("block", "a", "/x")], key=lambda r: (len(r[1] + r[2]), r[1] + r[2]))] == ["block", "allow"]
 
 
 def test_unlabelled_pages_follow_their_template(spark):
-    rules = [("block", "h", f"/spam/{i}") for i in range(30)]
-    df = spark.createDataFrame([(i, f"http://h/spam/{i}") for i in range(60)] + [(100, "http://h/good/1")], "page_id long, url string")
+    """On a host with both kinds of labels a page goes with its template, whatever its siblings are."""
+    rules = [("block", "h", f"/spam/{i}") for i in range(30)] + [("allow", "h", f"/good/{i}.html") for i in range(30)]
+    urls = [(i, f"http://h/spam/{i}") for i in range(60)] + [(100 + i, f"http://h/good/{i}.html") for i in range(60)] + [(200 + i, f"http://h/new/{i}.html") for i in range(60)]
+    df = spark.createDataFrame([*urls, (300, "http://other/spam/1")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df, rules).collect()}
-    assert got[100] == (None, "allow")
-    assert got[50][1] == "block"
+    assert {got[i][1] for i in range(60)} == {"block"} and {got[100 + i][1] for i in range(60)} == {"allow"}
+    assert {got[200 + i] for i in range(60)} == {(None, "allow")}  # its next segments are like those of /good
+    assert got[300] == (None, "allow")
 
 
 def test_empty(spark):
