@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.llm.scratch import materialise
+from signalmill.llm.scratch import discard, written
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     written to the shared folder; nothing but a count and a checksum reaches the driver. Self links
     and repeated links are ignored; no links give no rows.
     """
-    links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    spark = links.sparkSession
+    links, path = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
         # Large star: neighbours larger than a node go to the smallest of its neighbourhood.
@@ -25,7 +26,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: neighbours smaller than a node, and the node, go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        links = materialise(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        links, new = written(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        discard(spark, path)
+        path = new
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())

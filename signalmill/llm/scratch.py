@@ -9,22 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``.
+    """A new folder name under ``spark.checkpoint.dir``, in a folder of the application's own.
 
-    The setting is read from the session. Where it is unset (tests on one machine) a folder of
-    this machine is set for the session.
+    The setting is read from the session. Where it is unset and Spark runs on one machine, as in tests, a
+    folder of this machine is set for the session; on a cluster that is an error, since executors would
+    not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/signalmill-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/signalmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that still read them are lost."""
+    discard(spark, shared_dir(spark).rpartition("/")[0])
+
+
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back, and where it is: lineage ends here,
+    and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """``written`` for tables that stay until ``clean``."""
+    return written(df, name)[0]

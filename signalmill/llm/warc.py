@@ -9,16 +9,22 @@ line end is an empty gzip member, so a file stays a plain series of members.
 Reader: files are cut in byte ranges of ``split_bytes``. A task looks for the gzip magic from the
 start of its range, takes a place for a member only if it inflates to a WARC version line with
 well-formed headers, and owns the records that start inside its range, reading past its end to
-finish the last one.
+finish the last one. Archives of other writers are read too, if each record is a member of its own: the
+payload starts after the HTTP head, whatever it holds; record names that are no page ids come back as
+null; a revisit's size and digest are null where it doesn't state them (digest: as SHA-256); records of
+other types (warcinfo, request, ..) are passed over.
 
 Null html: an empty payload. Null id: the record has none, and null comes back; it can't be referred
 to. Null url: no target. Rows that repeat id and payload are all responses. Line ends in urls become
-spaces. An empty table gives an empty archive, which reads back as no rows.
+spaces; heads may be of any length, and so may payloads, of which a task holds one at a time when it writes. Columns
+other than page_id, url and html are ignored, whatever their names. An empty table gives an empty archive, which reads
+back as no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalmill.llm.scratch import materialise
+
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: A whole gzip member of no bytes: fixed by the gzip and deflate formats.
 EMPTY_MEMBER = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _BLOCK = 1 << 18
-_HEADER_LIMIT = 1 << 20
+#: Digests with copies that are broadcast at most: some 100 bytes each.
+BROADCAST_ROWS = 200_000
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
@@ -56,35 +65,45 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """page_id, url, html, digest, refers_to. Only ids and digests are grouped; html isn't."""
+def with_revisits(pages: DataFrame, min_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """page_id, url, html, digest, refers_to.
+
+    Digests that occur more than once are found from ids and digests alone. If they are at most
+    ``broadcast_rows`` they are broadcast and html stays where it is; else only pages that are long enough
+    are joined with them by a shuffle, in which a digest with many copies can be split.
+    """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     marked = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
-    first = (
-        marked.where(F.col("n") >= min_bytes).groupBy("digest")
+    key = F.unhex("digest").alias("key")
+    first = materialise(
+        marked.where(F.col("n") >= min_bytes).select("page_id", key).groupBy("key")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where((F.col("copies") > 1) & F.col("first_id").isNotNull())
-        .select("digest", "first_id")
+        .select("key", "first_id"), "copies",
     )
+    long, short = (marked.where(c).withColumn("key", key) for c in (F.col("n") >= min_bytes, F.col("n") < min_bytes))
+    found = long.join(F.broadcast(first) if first.count() <= broadcast_rows else first.hint("merge"), "key", "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))
-    return marked.join(first, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    columns = ["page_id", "url", "html", "digest"]
+    return found.select(*columns, refers.alias("refers_to")).union(short.select(*columns, F.lit(None).cast(first.schema["first_id"].dataType)))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, level: int = 3) -> None:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, level: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Write ``pages`` (page_id, url, html) as gzipped WARC files below ``path``."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, size = [], 0
             for i in range(batch.num_rows):
                 page_id, url, html, digest, refers = (batch.column(c)[i].as_py() for c in range(5))
                 out.append(gzip_member(record_bytes(page_id, url, (html or "").encode(), digest, refers), level))
-                if sum(map(len, out[-1:])) > 1 << 24 or len(out) >= 500:
+                size += len(out[-1])
+                if size > 1 << 24 or len(out) >= 500:
                     yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
-                    out = []
+                    out, size = [], 0
             if out:
                 yield pa.record_batch([pa.array(out, pa.binary())], names=["member"])
 
-    rows = with_revisits(pages, min_bytes).mapInArrow(members, "member binary")
+    rows = with_revisits(pages, min_bytes, broadcast_rows).mapInArrow(members, "member binary")
     rows.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
 
 
@@ -131,30 +150,50 @@ class _File:
 
 
 def _headers(text: bytes) -> dict[bytes, bytes] | None:
+    """A WARC head's fields, names in lower case; lines that begin with white space carry the last one on."""
     lines = text.split(b"\r\n")
     if not lines[0].startswith(b"WARC/1."):
         return None
-    pairs = [line.partition(b":") for line in lines[1:]]
-    if any(not sep for _, sep, _ in pairs):
-        return None
-    return {k.strip().lower(): v.strip() for k, _, v in pairs}
+    out: dict[bytes, bytes] = {}
+    name = None
+    for line in lines[1:]:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] += b" " + line.strip()
+            continue
+        name, found, value = line.partition(b":")
+        if not found:
+            return None
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
 
 
-def _member(file: _File, place: int):
-    """(headers, payload size, payload digest, end) of the record whose member starts at place; None
-    if there is none. The payload is hashed as it is inflated, never held whole."""
-    z, head, headers = zlib.decompressobj(31), b"", None
-    left, skip, seen, sha, at = 0, 0, 0, hashlib.sha256(), place
-
-    def take(part: bytes) -> None:
-        nonlocal left, skip, seen
-        part = part[:left]
-        left -= len(part)
-        cut = min(skip, len(part))
-        skip -= cut
-        seen += len(part) - cut
-        sha.update(part[cut:])
+class _Payload:
+    """Size and SHA-256 of a record's payload, taken in parts: what follows the HTTP head if the block has
+    one, else all of the block."""
+
+    def __init__(self, headers: dict[bytes, bytes]):
+        self.left, self.seen, self.sha = int(headers[b"content-length"]), 0, hashlib.sha256()
+        self.http = headers.get(b"content-type", b"").lower().startswith(b"application/http")
+        self.head = b""
+
+    def take(self, part: bytes) -> None:
+        part = part[: self.left]
+        self.left -= len(part)
+        if self.http:
+            self.head += part
+            at, skip = min(((i, len(e)) for e in (b"\r\n\r\n", b"\n\n") if (i := self.head.find(e)) >= 0), default=(-1, 0))
+            if at < 0:
+                return
+            part, self.head, self.http = self.head[at + skip :], b"", False
+        self.seen += len(part)
+        self.sha.update(part)
 
+
+def _member(file: _File, place: int):
+    """(headers, payload, end) of the record whose member starts at place; None if there is none. The
+    payload is hashed as it is inflated, never held whole."""
+    z, head, headers, payload, at = zlib.decompressobj(31), b"", None, None, place
     while not z.eof:
         block = file.get(at, _BLOCK)
         if not block:
@@ -168,27 +207,27 @@ def _member(file: _File, place: int):
             except zlib.error:
                 return None
             pending = z.unconsumed_tail
-            if headers is None:
+            if payload is None:
+                searched = max(0, len(head) - 3)
                 head += out
-                if len(head) >= 7 and not head.startswith(b"WARC/1."):
+                if not head.startswith(b"WARC/1."[: len(head)]):
                     return None
-                text, found, rest = head.partition(b"\r\n\r\n")
-                if not found:
-                    if len(head) > _HEADER_LIMIT:
-                        return None
+                end = head.find(b"\r\n\r\n", searched)
+                if end < 0:
                     continue
-                headers = _headers(text)
+                headers = _headers(head[:end])
                 if headers is None or not headers.get(b"content-length", b"x").isdigit():
                     return None
-                left = int(headers[b"content-length"])
-                skip = len(HTTP)
-                head, out = b"", rest
-            take(out)
-    return (headers, seen, sha.hexdigest(), at - len(z.unused_data)) if headers is not None and not left else None
+                payload = _Payload(headers)
+                head, out = b"", head[end + 4 :]
+            payload.take(out)
+    return (headers, payload, at - len(z.unused_data)) if payload is not None and not payload.left else None
 
 
 def _id(value: bytes | None) -> int | None:
-    return int(value.removeprefix(b"<urn:page:").rstrip(b">")) if value else None
+    """The page id of a record's name; None for names of other writers."""
+    m = re.fullmatch(rb"<urn:page:(-?[0-9]{1,19})>", value or b"")
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 def records_in(file: _File, start: int, end: int) -> Iterator[tuple]:
@@ -198,11 +237,14 @@ def records_in(file: _File, start: int, end: int) -> Iterator[tuple]:
         if found is None:  # an empty member, or bytes that only look like one
             place += 1
             continue
-        headers, size, digest, after = found
-        kind = headers.get(b"warc-type", b"").decode()
-        if kind == "revisit":
-            size, digest = int(headers.get(b"x-payload-length", b"0")), headers.get(b"warc-payload-digest", b"").decode().removeprefix("sha256:")
-        yield (_id(headers.get(b"warc-record-id")), size, digest, kind, _id(headers.get(b"warc-refers-to")), headers[b"warc-target-uri"].decode(errors="replace") if b"warc-target-uri" in headers else None)
+        headers, payload, after = found
+        kind = headers.get(b"warc-type", b"").decode(errors="replace")
+        if kind in ("response", "revisit"):  # others say nothing of pages
+            size, digest = payload.seen, payload.sha.hexdigest()
+            if kind == "revisit":
+                length, name = headers.get(b"x-payload-length", b""), headers.get(b"warc-payload-digest", b"").decode(errors="replace")
+                size, digest = int(length) if length.isdigit() else None, name.removeprefix("sha256:") if name.startswith("sha256:") else None
+            yield (_id(headers.get(b"warc-record-id")), size, digest, kind, _id(headers.get(b"warc-refers-to")), headers[b"warc-target-uri"].decode(errors="replace") if b"warc-target-uri" in headers else None)
         place = after
         file.drop(place)
 

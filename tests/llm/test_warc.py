@@ -47,6 +47,46 @@ def test_round_trip_at_any_split(spark, split):
     assert Counter(map(tuple, got)) == want(rows)
 
 
+def test_without_a_broadcast(spark):
+    rows = page_rows()
+    path = scratch.shared_dir(spark) + "/warc"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path, broadcast_rows=0)
+    got = warc.read_warc(spark, path, 70000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert Counter(map(tuple, got)) == want(rows)
+
+
+def foreign(kind, name, block, *more, content=b"application/http; msgtype=response"):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + name, b"Content-Type: " + content, *more, b"Content-Length: %d" % len(block)]
+    return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"<html>\r\n\r\n two</html>"
+    http = b"HTTP/1.1 404 Not Found\r\nServer: x\r\nContent-Length: 24\r\n\r\n"
+    members = [
+        foreign(b"warcinfo", b"<urn:uuid:1>", b"software: other\r\n", content=b"application/warc-fields"), foreign(b"request", b"<urn:uuid:2>", b"GET / HTTP/1.1\r\n\r\n"),
+        foreign(b"response", b"<urn:uuid:3>", http + body, b"WARC-Target-URI: http://a/", b"X-Folded: one", b"  two"), foreign(b"response", b"<urn:page:7>", b"HTTP/1.0 200 OK\n\n" + body),
+        foreign(b"revisit", b"<urn:page:8>", http, b"WARC-Refers-To: <urn:uuid:3>", b"WARC-Payload-Digest: sha1:ABC"), foreign(b"response", b"<urn:page:99999999999999999999>", http),
+        foreign(b"response", b"<urn:page:9>", body, content=b"text/html"), foreign(b"response", b"<urn:page:10>", http + body, b"WARC-Target-URI: http://" + b"long" * 700_000),
+    ]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(members))
+    digest = hashlib.sha256(body).hexdigest()
+    for split in (100, 1 << 20):
+        got = warc.read_warc(spark, str(tmp_path), split).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(
+            [(None, len(body), digest, "response", None), (7, len(body), digest, "response", None), (8, None, None, "revisit", None), (None, 0, hashlib.sha256().hexdigest(), "response", None), (9, len(body), digest, "response", None), (10, len(body), digest, "response", None)],
+            key=str,
+        )
+        assert max(len(r.url or "") for r in got) == 2_800_007
+
+
+def test_very_long_urls_come_back(spark):
+    path = scratch.shared_dir(spark) + "/warc"
+    warc.write_warc(spark.createDataFrame([(1, "http://" + "u" * 3_000_000, "hello")], "page_id long, url string, html string"), path)
+    (row,) = warc.read_warc(spark, path, 4096).collect()
+    assert (row.page_id, row.payload_bytes, len(row.url)) == (1, 5, 3_000_007)
+
+
 def test_files_are_plain_gzip(spark):
     path = scratch.shared_dir(spark) + "/warc"
     df = spark.createDataFrame([(1, "http://a", "hello"), (2, "http://b", "world")], "page_id long, url string, html string").coalesce(1)
