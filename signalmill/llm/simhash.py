@@ -16,7 +16,9 @@ pairs, which keeps every connection; a key with more than ``HOT`` different fing
 tiles, and pairs of tiles are walked in tasks of their own. Components are found over the forests.
 
 Null ids count as no id: a component's id is its smallest id, null if it has none. Repeated rows are
-copies. An empty table gives no rows. Extra columns are ignored.
+copies. Equal smallest ids tie for keeper by the text's hash; rows equal in both are marked alike. Very long
+texts count whole; a task holds one of them at a time. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,8 +111,12 @@ def forest(fps: np.ndarray, start: int, bit: int) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """a, b: links that connect the distinct fingerprints ``fp`` as far as they are connected."""
+def filed_under(distinct: DataFrame) -> DataFrame:
+    """key, first, fp: each fingerprint under its 64 keys; ``first`` is the start and the whole segment of a key.
+
+    A row becomes 64, so rows are spread before; adaptive execution would see only the small input.
+    """
+    spark = distinct.sparkSession
     start, bit = F.col("i") % 4, F.floor(F.col("i") / 4).cast("int")
     ring = F.call_function("shiftrightunsigned", F.col("fp"), start * SEGMENT).bitwiseOR(
         F.when(start == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.col("fp"), 64 - start * SEGMENT))
@@ -119,15 +125,34 @@ def links(distinct: DataFrame) -> DataFrame:
     second = F.call_function("shiftrightunsigned", ring, F.lit(SEGMENT)).bitwiseAND(F.lit(0xFFFF))
     masked = second.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
     key = (F.col("i").cast("long") * F.lit(1 << 32)) + masked * F.lit(1 << 16) + first
-    filed = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(key.alias("key"), "fp")
+    spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(key.alias("key"), (start.cast("long") * F.lit(1 << 16) + first).alias("first"), "fp")
+
+
+def hot_keys(distinct: DataFrame, filed: DataFrame, hot: int) -> DataFrame | None:
+    """key, n of keys with more than ``hot`` fingerprints; None if there are none.
 
-    def run(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
-        """Keys come in order. Links of each key's fingerprints; those of keys with more than ``hot`` are
-        passed on one by one, with b null."""
-        held_k, held_f, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    Counts by start and whole segment come first: they are at most 4 * 65,536 rows, and only where they
+    are large can a key be.
+    """
+    segments = F.explode(F.array(*[F.lit(s << 16).cast("long") + F.call_function("shiftrightunsigned", F.col("fp"), F.lit(s * SEGMENT)).bitwiseAND(F.lit(0xFFFF)) for s in range(4)]))
+    full = distinct.select(segments.alias("first")).groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("first")
+    full = materialise(full, "full")
+    if full.isEmpty():
+        return None
+    keys = filed.join(F.broadcast(full), "first", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    return materialise(keys, "hot")
 
-        def rows(a, b, key):
-            return pa.record_batch([pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
+
+def links(distinct: DataFrame) -> DataFrame:
+    """a, b: links that connect the distinct fingerprints ``fp`` as far as they are connected."""
+    filed = filed_under(distinct)
+    hot = hot_keys(distinct, filed, HOT)
+    usual = filed if hot is None else filed.join(hot, "key", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys come in order. Links of each key's fingerprints."""
+        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def whole(keys: np.ndarray, fps: np.ndarray):
             cut = np.flatnonzero(np.diff(keys)) + 1
@@ -136,31 +161,22 @@ def links(distinct: DataFrame) -> DataFrame:
                 found = forest(fps[s:e].view(U64), *start_and_bit(int(keys[s])))
                 if found:
                     x, y = (np.concatenate(z).view(np.int64) for z in zip(*found))
-                    yield rows(x, y, np.full(len(x), keys[s]))
+                    yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
 
         for batch in batches:
             keys = np.concatenate((held_k, batch.column(0).to_numpy()))
             fps = np.concatenate((held_f, batch.column(1).to_numpy()))
             if not len(keys):
                 continue
-            if passing is not None:
-                n = int(np.searchsorted(keys, passing, side="right"))
-                yield rows(fps[:n], pa.nulls(n, pa.int64()), keys[:n])
-                keys, fps = keys[n:], fps[n:]
-                passing = None if len(keys) else passing
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            cut = int(np.searchsorted(keys, keys[-1]))
             held_k, held_f = keys[cut:], fps[cut:]
             if cut:
                 yield from whole(keys[:cut], fps[:cut])
-            if len(held_k) > hot:
-                passing = int(held_k[0])
-                yield rows(held_f, pa.nulls(len(held_f), pa.int64()), held_k)
-                held_k, held_f = held_k[:0], held_f[:0]
         if len(held_k):
             yield from whole(held_k, held_f)
 
-    found = materialise(filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long"), "links")
-    return found.where("b is not null").select("a", "b").unionByName(hot_links(found.where("b is null").select("key", F.col("a").alias("fp")), HOT))
+    found = usual.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return found if hot is None else found.unionByName(hot_links(filed, hot, HOT))
 
 
 def start_and_bit(key: int) -> tuple[int, int]:
@@ -168,12 +184,12 @@ def start_and_bit(key: int) -> tuple[int, int]:
     return i % 4, i // 4
 
 
-def hot_links(members: DataFrame, hot: int) -> DataFrame:
-    """Links of large keys' members (key, fp): each key's are dealt into tiles of some ``hot`` members, and
-    every pair of tiles is a group of its own, so no task holds more than two tiles."""
-    tiles = members.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("n"))
+def hot_links(filed: DataFrame, keys: DataFrame, hot: int) -> DataFrame:
+    """Links under large keys (key, n): each key's fingerprints are dealt into tiles of some ``hot``, and every
+    pair of tiles is a group of its own before the shuffle, so no task holds more than two tiles."""
+    tiles = keys.select("key", F.ceil(F.col("n") / hot).cast("int").alias("n"))
     tile = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    dealt = members.join(tiles, "key").withColumn("t", tile).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = filed.select("key", "fp").join(tiles, "key").withColumn("t", tile).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     paired = dealt.select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "fp")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,6 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialise(fingerprints(docs), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.min(order).alias("first"))
+    nodes = materialise(nodes, "nodes")
     roots = connected_components(links(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = placed.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("first").alias("first"))
