@@ -124,7 +124,7 @@ class Network:
         """One pass of gradient descent, by steps of 256 words that grow to 8192."""
         b, across, ones = 0, np.arange(WIDTH), np.ones(self.classes, np.float32)
         while b < len(tokens):
-            step = min(8192, max(256, self.seen // 64))
+            step = min(8192, max(256, self.seen // 32))
             a, b = b, min(len(tokens), b + step)
             self.seen += b - a
             order, cut = self.by_class(tokens[a:b])
@@ -154,7 +154,7 @@ class Network:
             np.clip(self.flat, -LIMIT, LIMIT, out=self.flat)
 
 
-def train(docs: DataFrame, parts: int = 2, rate: float = 0.5) -> Network:
+def train(docs: DataFrame, parts: int = 2, rate: float = 3.0) -> Network:
     """Every row trains once: the rows fall into ``parts`` by a hash of their ids, and the tasks' networks are
     averaged after each part."""
     counts = materialise(count_words(docs), "counts")
