@@ -1,31 +1,31 @@
-"""Exact removal of repeated passages by counting hashed phrases and windows.
-
-This stands in for greedy relative Lempel-Ziv parsing against reference blocks: no longest match is
-sought. "Factor" below means a phrase that occurs elsewhere, "index" the counted phrases.
+"""Exact removal of repeated passages by relative Lempel-Ziv parsing.
 
 A passage is repeated if it is covered by a window of ``window`` consecutive words whose sequence also
 starts anywhere else, the same document included.
 
-Phrases are cut where the text itself says: each window has an anchor, the ``gram``-word sequence in it with the smallest
-hash, and a phrase is what a run of windows with one anchor covers. The index is
-grouped by the hash of anchor and phrase, and holds each different phrase once, however often it occurs.
+The reference is all documents, cut into phrases where the text itself says: each window has an anchor, the
+``gram``-word sequence in it with the smallest hash, and a phrase is what a run of windows with one anchor
+covers. Equal windows have equal anchors, so a document need only be parsed against the blocks of the
+reference that hold its own anchors; no other block can have a factor of it.
 
 1. Phrases whose anchor occurs once in all documents can't hold a repeated window and are left out.
-2. A phrase found whole in the index at another place is a factor; all its windows repeat. Copies and
-   long common passages are used up here.
-3. What is left lies at factor boundaries: there a phrase differs from all others though its anchor is
-   known. One representative of each different phrase of such an anchor is cut into single windows,
-   which are looked up among each other. So no window at the boundary of two factors is missed, and the
-   result is exact.
-4. Factors of a document are merged, and the words that they cover are removed.
-
-A factor may change its source from phrase to phrase: the source doesn't matter for the spans. Windows,
-phrases and anchors are compared by hashes of 128 bits. Every step is a grouping with partial
-aggregation or a join with a side that has each key once; nothing is collected by key, but a document's
-own spans.
-
-Null texts have no words. Texts shorter than a window stay whole. Rows that repeat id and text are two
-documents, so their windows repeat. An empty table gives no rows.
+2. The reference index holds each different phrase once, by anchor and hash, however often it occurs. A
+   phrase that is in it at another place is a factor as it stands. Copies and long common passages are used
+   up here.
+3. The different phrases of an anchor are dealt by it into blocks of bounded size, with their words. In its
+   block a phrase is parsed greedily: words from which no window occurs elsewhere are literals; from the
+   first other one the longest match is the factor, and parsing goes on behind it.
+4. Windows inside a factor repeat, those that begin at literals don't, and the windows that reach over the
+   end of a factor are looked up one by one, so none is missed at the boundaries.
+5. The words that a document's factors and boundary windows cover are removed.
+
+An anchor with over ``HOT`` different phrases isn't brought together: its phrases are cut into single
+windows, which are counted by their own hashes over all tasks. A factor's source doesn't matter for the
+spans. Words are compared by 64-bit hashes, windows by two independent 64-bit hashes of those.
+
+Null texts have no words. Texts shorter than a window stay whole. Very long texts are parsed whole; a task holds
+one of them at a time. Rows that repeat id and text are two documents, so their windows repeat; their spans are
+gathered once. Extra columns go along, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ from signalmill.llm.scratch import materialise
 from signalmill.llm.words import LANES, U64, gram_hashes, mix, pieces, powers, split_words, word_hashes
 
 WINDOW, GRAM = 35, 8
+#: Different phrases of an anchor that are parsed in one block, and bytes of phrases in a block.
+HOT, BLOCK = 1000, 4_000_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -104,26 +106,130 @@ def document_phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return keyed(docs).select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 int, start int, windows int, anchor long, phrase long, seen int")
 
 
-def boundary_windows(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """Hashes of the single windows of the phrases in spans (k1, k2, spans array<start, windows>)."""
+def phrase_texts(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """The text of each phrase in spans (k1, k2, spans array<start, windows, anchor>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 0):
+            for part in pieces(once(batch), 0):
                 w = split_words(part.column(0))
-                h = word_hashes(w)
                 doc, start, count = flat_spans(part.column(3))
-                where = np.repeat(w.doc_ptr[doc] + start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                own = np.repeat(doc, count)
-                a, b = (gram_hashes(h, window, lane)[where] if len(where) else np.zeros(0, U64) for lane in LANES)
-                yield pa.record_batch(
-                    [part.column(1).take(pa.array(own)), part.column(2).take(pa.array(own)), pa.array((where - w.doc_ptr[own]).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    names=["k1", "k2", "start", "w1", "w2"],
-                )
+                first = w.doc_ptr[doc] + start
+                texts = [w.data[a:b].tobytes() for a, b in zip(w.starts[first].tolist(), w.ends[first + count + window - 2].tolist())]
+                own = pa.array(doc)
+                yield pa.record_batch([part.column(3).flatten().field(2), part.column(1).take(own), part.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(texts, pa.binary())], names=["anchor", "k1", "k2", "start", "words"])
 
     joined = keyed(docs).select("text", "k1", "k2").join(spans, ["k1", "k2"]).select("text", "k1", "k2", "spans")
-    # Rows that repeat id and text share a key, so their windows come up for each: they do repeat.
-    return joined.mapInArrow(run, "k1 long, k2 int, start int, w1 long, w2 long")
+    return joined.mapInArrow(run, "anchor long, k1 long, k2 int, start int, words binary")
+
+
+def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row of each key: rows that repeat id and text have the same phrases."""
+    keys = np.stack((batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)))
+    _, rows = np.unique(keys, axis=1, return_index=True)
+    return batch if len(rows) == batch.num_rows else batch.take(pa.array(np.sort(rows)))
+
+
+def parse(h: np.ndarray, ptr: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, windows) of what repeats in a block of phrases, phrase i having the words ptr[i]:ptr[i+1].
+
+    All phrases are parsed side by side: in every round each takes its next factor.
+    """
+    if len(h) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    phrase = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    a, b = (gram_hashes(h, window, lane) for lane in LANES)
+    at = np.flatnonzero(np.arange(len(a)) + window <= ptr[phrase[: len(a)] + 1])
+    # Each window's source: another place with the same words.
+    at = at[np.lexsort((at, b[at], a[at]))]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(at)))
+    source = np.full(len(a), -1)
+    source[at] = np.repeat(at[head], size)
+    source[at[head]] = np.where(size > 1, at[np.minimum(head + 1, len(at) - 1)], -1)
+    known = np.flatnonzero(source >= 0)
+    lanes = []
+    for lane in LANES:
+        up, down = powers(lane, len(h))
+        sums = np.zeros(len(h) + 1, dtype=U64)
+        np.cumsum(h * up[: len(h)], out=sums[1:])
+        lanes.append((sums, down))
+    spans = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    active, s = np.arange(len(ptr) - 1), ptr[:-1].copy()
+    while len(active) and len(known):
+        k = np.searchsorted(known, s[active])
+        p = known[np.minimum(k, len(known) - 1)]
+        fine = (k < len(known)) & (p + window <= ptr[active + 1])
+        active, p = active[fine], p[fine]
+        if not len(active):
+            break
+        q = source[p]
+        # The longest match, by bisection over hashes of what stands at both places.
+        low, high = np.full(len(p), window), np.minimum(ptr[active + 1] - p, ptr[phrase[q] + 1] - q)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = np.logical_and(*((sums[p + mid] - sums[p]) * down[p] == (sums[q + mid] - sums[q]) * down[q] for sums, down in lanes))
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        end = p + low
+        spans.append((p, low - window + 1))
+        # Windows over the end of the factor.
+        first, last = np.searchsorted(known, end - window + 1), np.searchsorted(known, np.minimum(end, ptr[active + 1] - window + 1))
+        n = np.maximum(last - first, 0)
+        over = known[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        spans.append((over, np.ones(len(over), np.int64)))
+        s[active] = end
+    return tuple(np.concatenate(x) for x in zip(*spans))
+
+
+def factored(texts: DataFrame, window: int) -> DataFrame:
+    """k1, k2, start, windows of what repeats among the phrases (anchor, k1, k2, start, words) of an anchor."""
+
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k1, k2, start, words = (pa.concat_arrays([p.column(c) for p in parts]) for c in range(1, 5))
+        w = split_words(words.view(pa.string()))
+        at, count = parse(word_hashes(w), w.doc_ptr, window)
+        own = np.searchsorted(w.doc_ptr, at, side="right") - 1
+        first = start.to_numpy()[own] + at - w.doc_ptr[own]
+        return pa.RecordBatch.from_arrays([k1.take(pa.array(own)), k2.take(pa.array(own)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["k1", "k2", "start", "windows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases come in the order of their anchors; a block ends where the anchor changes."""
+        held, size = [], 0
+        for batch in batches:
+            for part in pieces(batch, 4, 1_000_000):
+                if size >= BLOCK:
+                    cut = int(np.searchsorted(part.column(0).to_numpy(), held[-1].column(0)[-1].as_py(), side="right"))
+                    held.append(part.slice(0, cut))
+                    if cut < part.num_rows:
+                        yield found(held)
+                        held, size, part = [], 0, part.slice(cut)
+                    else:
+                        continue
+                held.append(part)
+                size += part.nbytes
+        if held:
+            yield found(held)
+
+    return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "k1 long, k2 int, start int, windows int")
+
+
+def single_windows(texts: DataFrame, window: int) -> DataFrame:
+    """Hashes of the single windows of phrases (anchor, k1, k2, start, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = split_words(batch.column(4).view(pa.string()))
+            h = word_hashes(w)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(w.doc_ptr))
+            at = np.flatnonzero(np.arange(len(h)) + window <= w.doc_ptr[doc + 1])
+            a, b = (gram_hashes(h, window, lane)[at] if len(at) else np.zeros(0, U64) for lane in LANES)
+            own = pa.array(doc[at])
+            start = batch.column(3).to_numpy()[doc[at]] + (at - w.doc_ptr[doc[at]])
+            yield pa.record_batch([batch.column(1).take(own), batch.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["k1", "k2", "start", "w1", "w2"])
+
+    return texts.mapInArrow(run, "k1 long, k2 int, start int, w1 long, w2 long")
 
 
 def flat_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,32 +241,39 @@ def flat_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is in ``keys``, which has each once with the number ``n`` of its rows.
+    """Rows joined with ``keys``, which has each key once with the number ``n`` of its rows.
 
     Keys with more than a ten-thousandth of all rows (a thousand at least) are at most ten thousand, so
     they are broadcast, and their rows stay where they are; only the others are shuffled.
     """
     limit = max(1000, rows.count() // 10_000)
-    hot = F.broadcast(keys.where(F.col("n") > limit).select(*on))
-    return rows.join(hot, on).union(rows.join(hot, on, "left_anti").join(keys.where(F.col("n") <= limit).select(*on), on))
+    hot = F.broadcast(keys.where(F.col("n") > limit).drop("n"))
+    return rows.join(hot, on).union(rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col("n") <= limit).drop("n"), on))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """k1, k2, spans array<struct<start, windows>>: runs of repeated windows of each document."""
     every = materialise(document_phrases(docs, window, gram), "phrases")
-    shared = every.groupBy("anchor").agg(F.sum("seen").alias("n")).where("n > 1").select("anchor")
-    known = materialise(every.join(shared, "anchor"), "known")
+    shared = every.groupBy("anchor").agg(F.sum("seen").alias("twice"), F.count("*").alias("n")).where("twice > 1").select("anchor", "n")
+    known = materialise(with_keys(every, materialise(shared, "anchors"), ["anchor"]), "known")
     index = materialise(
         known.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.min(F.struct("k1", "k2", "start", "windows")).alias("first")), "index"
     )
-    factors = with_keys(known, index.where("n > 1"), ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
-    variety = index.groupBy("anchor").agg(F.count("*").alias("different"))
-    open_ = index.join(variety, "anchor").where("different > 1 or (n = 1 and seen > 1)").select("first.*")
-    gather = F.collect_list(F.struct("start", "windows")).alias("spans")
-    single = materialise(boundary_windows(docs, open_.groupBy("k1", "k2").agg(gather), window), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    at_boundaries = with_keys(single, twice, ["w1", "w2"]).select("k1", "k2", "start", F.lit(1).alias("windows"))
-    return factors.union(at_boundaries).groupBy("k1", "k2").agg(gather)
+    factors = with_keys(known, index.where("n > 1").select("anchor", "phrase", "n"), ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
+    variety = materialise(index.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("different", F.col("n")), "variety")
+    open_ = with_keys(index.select("anchor", "first", F.col("n").alias("copies"), "seen"), variety, ["anchor"]).where("different > 1 or (copies = 1 and seen > 1)")
+
+    def texts(rows: DataFrame) -> DataFrame:
+        by_document = rows.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("first.start", "first.windows", "anchor")).alias("spans"))
+        return phrase_texts(docs, by_document, window)
+
+    spans = factors.union(factored(texts(open_.where(F.col("different") <= hot)), window))
+    if not variety.where(F.col("different") > hot).isEmpty():
+        single = materialise(single_windows(texts(open_.where(F.col("different") > hot)), window), "windows")
+        twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+        spans = spans.union(with_keys(single, materialise(twice, "twice"), ["w1", "w2"]).select("k1", "k2", "start", F.lit(1).alias("windows")))
+    # A set: rows that repeat id and text have the same spans.
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:

@@ -1,7 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from signalmill.llm import substring_dedup
@@ -42,6 +47,62 @@ def test_keeps_rows_and_clashing_columns(spark):
     assert [(r.kept, r.k1, r.left, r.n_removed) for r in rows] == [("x", 7, "", 80), ("y", 8, "a", 80)]
 
 
+def brute_parse(phrases, window):
+    """Windows of each phrase whose words start anywhere else among the phrases."""
+    seen = Counter(tuple(w[i : i + window]) for w in phrases for i in range(len(w) - window + 1))
+    return {(n, i) for n, w in enumerate(phrases) for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30), max_size=6), st.integers(2, 6))
+def test_greedy_parsing_misses_no_window(phrases, window):
+    """Factors and the windows at their boundaries are what repeats, whatever the phrases are."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 3).astype(np.uint64)
+    h = np.array([hashes[x] for w in phrases for x in w], np.uint64)
+    ptr = np.cumsum([0, *map(len, phrases)])
+    first, count = substring_dedup.parse(h, ptr, window)
+    got = {(int(np.searchsorted(ptr, p, side="right")) - 1, int(p)) for a, n in zip(first, count) for p in range(a, a + n)}
+    assert {(n, p - int(ptr[n])) for n, p in got} == brute_parse(phrases, window)
+
+
+def test_factors_are_the_longest_matches():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 1 << 63, 60).astype(np.uint64) for _ in range(2))
+    h, ptr = np.concatenate((a, b[:5], a[10:50], b[5:9], a[3:9])), np.array([0, 60, 115])
+    first, count = substring_dedup.parse(h, ptr, 6)
+    assert {(65, 35), (109, 1), (10, 35)} <= set(zip(first.tolist(), count.tolist()))
+
+
+@pytest.mark.parametrize("hot", [0, 3, 10**6])
+def test_large_anchors_are_counted_by_windows(spark, hot):
+    """Many versions of a passage, all with its anchors; dealt into blocks or by single windows."""
+    rng = random.Random(3)
+    base = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(90)] = f"x{i}_{rng.random()}"
+        rows.append((i, " ".join(own)))
+    rows += [rows[5]] * 3 + [(90, "la " * 200), (91, "la le " * 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = substring_dedup.repeated_spans(docs, hot=hot)
+    words = {r[0]: WORD.findall(r[1]) for r in rows}
+    keys = {(r.k1, r.k2): r.doc_id for r in substring_dedup.keyed(docs).collect()}
+    got = {}
+    for r in spans.collect():
+        got[keys[r.k1, r.k2]] = {p for s in r.spans for p in range(s.start, s.start + s.windows + 34)}
+    want = {r[0]: len(words[r[0]]) for r in rows}
+    for (i, _), (_, n, _) in zip(rows, brute([r[1] for r in rows])):
+        assert len(got.get(i, ())) == n <= want[i]
+
+
+def test_equal_rows_have_their_spans_once(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    few, many = (substring_dedup.repeated_spans(spark.createDataFrame([(1, text)] * n, "doc_id long, text string")).first() for n in (2, 60))
+    assert len(few.spans) == len(many.spans)
+
+
 def test_empty(no_docs):
     assert substring_dedup.without_repeats(no_docs).collect() == []
 
