@@ -10,12 +10,15 @@ A constant labelling is the best one if no language gains more than the penalty
 winner on any stretch of words, and the largest gains on a text's beginning and on its end together are
 no more than it either, which cumulative sums show at once; only other texts need the word by word pass.
 
-Trigram tables come from a bounded sample: at most ``max_documents`` texts of each language, in the
-order of a hash of their ids, with at most ``max_chars`` characters each, of the ``max_languages``
-languages with most rows, so that what reaches the driver has a fixed bound. Every whole text is labelled.
+Trigram tables come from a bounded sample: whole texts of at most ``max_documents`` rows of each language,
+in the order of a hash of their ids, of the ``max_languages`` languages with most rows, so that what
+reaches the driver has a fixed bound, a table of counts for each language. Every whole text is labelled.
+
 Null texts and texts without a letter: ``und``, score 0. Words in scripts that no learned language uses
-favour none. Ties go to the first language in alphabetical order. Repeated rows are labelled alike. An
-empty table gives no rows; without training rows every text is ``und``.
+favour none. Ties go to the first language in alphabetical order. A very long text is labelled whole: a
+task holds one at a time, with some 9 bytes for each of its words and each language. Repeated rows are
+labelled alike. Columns other than doc_id, text and lang are ignored, whatever their names. An empty table
+gives no rows; without training rows every text is ``und``.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64), first
 
 
-def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400, max_chars: int = 20000, max_languages: int = 200) -> LanguageModel:
+def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400, max_languages: int = 200) -> LanguageModel:
     """``learn``: a condition for the rows to learn from. The languages are the distinct values of lang."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
@@ -109,25 +112,29 @@ def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, script = _tables()
         for batch in batches:
-            for lang in pc.unique(batch.column(0)).to_pylist():
-                texts = [t[:max_chars] for t in batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()]
-                points, starts, ends, _, _ = letter_words(texts)
-                key, _ = trigrams(points, starts, ends)
-                tri = np.bincount(key, minlength=BUCKETS)
-                scripts = np.bincount(script[points[starts]], minlength=len(_NAMES))
-                i, j = np.flatnonzero(tri), np.flatnonzero(scripts)
-                n = len(i) + len(j)
-                yield pa.record_batch([pa.array([lang] * n), pa.array(np.concatenate((i, -1 - j))), pa.array(np.concatenate((tri[i], scripts[j])))], names=["lang", "bucket", "n"])
-
-    # At most BUCKETS rows and a few more for each language.
-    rows = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows.lang.unique())
-    tri, uses = np.zeros((BUCKETS, len(languages))), np.zeros((len(_NAMES), len(languages)))
-    for i, lang in enumerate(languages):
-        own = rows[rows.lang == lang]
-        a, b = own[own.bucket >= 0], own[own.bucket < 0]
-        tri[a.bucket, i] = a.n
-        uses[-1 - b.bucket, i] = b.n
+            for part in pieces(batch, 1, 1_000_000):
+                for lang in pc.unique(part.column(0)).to_pylist():
+                    points, starts, ends, _, _ = letter_words(part.column(1).filter(pc.equal(part.column(0), lang)).to_pylist())
+                    key, _ = trigrams(points, starts, ends)
+                    tri = np.bincount(key, minlength=BUCKETS)
+                    scripts = np.bincount(script[points[starts]], minlength=len(_NAMES))
+                    i, j = np.flatnonzero(tri), np.flatnonzero(scripts)
+                    n = len(i) + len(j)
+                    yield pa.record_batch([pa.array([lang] * n), pa.array(np.concatenate((i, BUCKETS + j))), pa.array(np.concatenate((tri[i], scripts[j])))], names=["lang", "bucket", "n"])
+
+    def table(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A language's counts as one row."""
+        out = np.zeros(BUCKETS + len(_NAMES), "<i8")
+        for batch in batches:
+            out[batch.column("bucket").to_numpy()] = batch.column("n").to_numpy()
+        yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([out.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    # A row for each language.
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = sorted(counted.groupBy("lang").applyInArrow(table, "lang string, counts binary").collect())
+    languages = [r.lang for r in rows]
+    every = np.array([np.frombuffer(r.counts, "<i8") for r in rows], np.float64).reshape(len(rows), BUCKETS + len(_NAMES)).T
+    tri, uses = every[:BUCKETS], every[BUCKETS:]
     log_p = np.log((tri + 0.1) / (tri.sum(axis=0) + 0.1 * BUCKETS))
     return LanguageModel(list(languages), log_p.astype(np.float32), uses > 0.01 * uses.sum(axis=0))
 
@@ -159,7 +166,7 @@ def best_labels(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     # A stretch of other languages beside the winner costs a switch for each; texts without the winner save one.
     if (sums - np.minimum.accumulate(sums, axis=0)).max() <= switch and sums.max() + (sums[-1] - sums).max() <= switch:
         return np.full(n, winner)
-    best, back = scores[0].copy(), np.zeros(scores.shape, np.int32)
+    best, back = scores[0].copy(), np.zeros(scores.shape, np.uint8 if scores.shape[1] <= 256 else np.int32)
     stay = np.arange(scores.shape[1])
     for t in range(1, n):
         top = int(best.argmax())

@@ -11,11 +11,14 @@ probabilities then point at the offending sentences.
 
 Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. The fit uses a
 bounded sample of labelled rows, whole texts of any length: at most ``max_documents`` of each label, in
-the order of a hash of their ids. Scoring covers every whole text.
+the order of a hash of their ids, up to ``max_bytes`` of text together. What reaches the driver are their
+sentences' weighted words. Scoring covers every whole text.
 
 Null and empty texts: no sentences, score 0. Labels other than 0 and 1 are ignored; an id with several
 labels has their majority, ties toxic. Without labels of both kinds every score is 0. Repeated rows are
-scored alike. An empty table gives no rows.
+scored alike; of rows that repeat a labelled id one text is learned from. A very long text is scored whole,
+and harmless sentences add nothing to it; a task holds one such text at a time. Columns other than doc_id and
+text are ignored, or go along in ``passing``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.llm.scratch import materialise
 from signalmill.llm.words import SEPARATORS, lowered, pieces, split_words, word_hashes
 
 _PUNCTUATION = np.array([0x20 < b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b < 0x80 for b in range(256)])
@@ -67,20 +71,25 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def gradient(weights: np.ndarray, spare: float, index: np.ndarray, bag: np.ndarray, count: np.ndarray, doc_of_bag: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the mean negative log-likelihood by the weights and, last, by ``spare``, which explains labels that no
+    sentence does. It goes through the bound at 0, or words could not come back from below it."""
+    z = BIAS + np.bincount(bag, weights[index], minlength=len(doc_of_bag))
+    strength = np.maximum(softplus(z) - softplus(BIAS), 0)
+    total = np.maximum(softplus(spare) + np.bincount(doc_of_bag, count * strength, minlength=len(y)), 1e-12)
+    slope = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 500)), 1.0) / len(y)
+    dz = count * slope[doc_of_bag] / (1 + np.exp(-np.maximum(z, -500)))
+    return np.append(np.bincount(index, dz[bag], minlength=len(weights)), slope.sum() / (1 + np.exp(-spare)))
+
+
 def fit(words: np.ndarray, index: np.ndarray, bag: np.ndarray, count: np.ndarray, doc_of_bag: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1e-5, rate: float = 0.2) -> ToxicityModel:
     """Noisy-or likelihood, full-batch Adam, small L2 penalty. ``index`` and ``bag`` place weighted words in
     bags, each of which stands for ``count`` sentences of its document."""
-    n, m = len(words), len(doc_of_bag)
-    weights, spare = np.zeros(n), -2.0
-    m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
+    weights, spare = np.zeros(len(words)), -2.0
+    m1, m2 = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, rounds + 1):
-        z = BIAS + np.bincount(bag, weights[index], minlength=m)
-        strength = np.maximum(softplus(z) - softplus(BIAS), 0)
-        total = np.maximum(softplus(spare) + np.bincount(doc_of_bag, count * strength, minlength=len(y)), 1e-12)
-        slope = np.where(y == 1, -1.0 / np.expm1(np.minimum(total, 500)), 1.0) / len(y)
-        # The gradient goes through the bound at 0, or words could not come back from below it.
-        dz = count * slope[doc_of_bag] / (1 + np.exp(-np.maximum(z, -500)))
-        grad = np.append(np.bincount(index, dz[bag], minlength=n) + l2 * weights, slope.sum() / (1 + np.exp(-spare)))
+        grad = gradient(weights, spare, index, bag, count, doc_of_bag, y)
+        grad[:-1] += l2 * weights
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         move = rate * m1 / (1 - 0.9**step) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -89,8 +98,13 @@ def fit(words: np.ndarray, index: np.ndarray, bag: np.ndarray, count: np.ndarray
     return ToxicityModel(words, weights, BIAS)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 2000, min_z: float = 5.0) -> ToxicityModel:
-    """``learn``: a condition on doc_id for the rows to learn from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column | None, max_documents: int, max_bytes: int) -> DataFrame | None:
+    """doc_id, text, y of the labelled documents to learn from, whole texts; None without both labels.
+
+    Of each label the first ``max_documents`` in the order of a hash of their ids, ending before their texts
+    pass ``max_bytes`` together. Of rows that repeat an id the one with the smallest text hash.
+    """
+    spark = docs.sparkSession
     marked = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("toxic").alias("share"))
         .select("doc_id", (F.col("share") >= 0.5).cast("int").alias("y"))
@@ -98,7 +112,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_d
     if learn is not None:
         marked = marked.where(learn)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = marked.where("y = 1").orderBy(*order).limit(max_documents).union(marked.where("y = 0").orderBy(*order).limit(max_documents))
+    ids = marked.where("y = 1").orderBy(*order).limit(max_documents).union(marked.where("y = 0").orderBy(*order).limit(max_documents))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    # At most max_documents rows of a label.
+    found = sizes.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text_hash", "size")).alias("x")).select("doc_id", "y", "x.*", F.xxhash64("doc_id").alias("at")).collect()
+    rows, total = [], {0: 0, 1: 0}
+    for r in sorted(found, key=lambda r: (r["at"], r["doc_id"])):
+        total[r["y"]] += r["size"]
+        if total[r["y"]] <= max_bytes or total[r["y"]] == r["size"]:
+            rows.append((r["doc_id"], r["text_hash"], r["y"]))
+        else:
+            total[r["y"]] = max_bytes + 1  # the sample ends here, it doesn't skip what is long
+    if len({y for _, _, y in rows}) < 2:
+        return None
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    chosen = F.broadcast(spark.createDataFrame(rows, f"doc_id {kind}, text_hash long, y int"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return materialise(hashed.join(chosen, ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "y"), "sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 2000, min_z: float = 5.0, max_bytes: int = 64 << 20) -> ToxicityModel:
+    """``learn``: a condition on doc_id for the rows to learn from."""
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's distinct words."""
@@ -109,11 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_d
                     own = np.unique(h[w.doc_ptr[i] : w.doc_ptr[i + 1]])
                     yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), part.column(2)[i].as_py(), np.int64))], names=["hash", "toxic"])
 
-    # The sample is bounded by max_documents, so it may be broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-    labelled = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
-    if len(labelled) < 2:
+    chosen = labelled_sample(docs, labels, learn, max_documents, max_bytes)
+    if chosen is None:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
+    labelled = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
     total, base = sum(labelled.values()), labelled[1] / sum(labelled.values())
     df = chosen.mapInArrow(present, "hash long, toxic long").groupBy("hash").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
     spread = F.sqrt(F.col("n") * base * (1 - base) * F.greatest(1 - F.col("n") / total, F.lit(1e-9)))
