@@ -167,7 +167,7 @@ def train(docs: DataFrame, parts: int = 2, rate: float = 3.0) -> Network:
 
         def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             known, flat = state.value
-            own, words = Network(known, flat.copy()), 0
+            own, words = Network(known, flat.astype(np.float32)), 0  # the dtype of a pickled array would slow subtract.at down
             for batch in batches:
                 for piece in pieces(batch, 0):
                     w = split_words(lowered(piece.column(0)))
