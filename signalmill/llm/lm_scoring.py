@@ -7,7 +7,8 @@ log-probabilities of its words; its score is the mean.
 
 The vocabulary holds the most frequent words of all documents, counted by Spark, half as many as the
 square root of the documents' number of words and 960 at least, so the network grows with the corpus;
-other words share ``unknown`` tokens by their hash. Every row trains the network once. Training is
+other words share ``unknown`` tokens by their hash. Every row trains the network once; as in masked
+language models a share of its words is masked in the pass, each predicted from all words around it. Training is
 data-parallel: each task runs stochastic gradient descent in numpy on its own rows, by steps that grow
 with the words it has seen; the tasks' parameters are averaged by a Spark aggregation weighted by words,
 and the next part of the rows starts from the average. So the parameters, and by them the scores, hang a
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from signalmill.llm.scratch import materialise
 from signalmill.llm.words import U64, lowered, pieces, split_words, word_hashes
 
-CLASSES, WIDTH, REACH, UNKNOWN = 32, 16, 2, 64
+CLASSES, WIDTH, REACH, UNKNOWN = 32, 24, 2, 64
 #: The smallest vocabulary, and the numbers of a network's parameters that travel as one row.
 VOCABULARY, BLOCK = CLASSES * CLASSES, 65536
-#: Bound of every parameter.
-LIMIT = 4.0
+#: Share of the words that are masked in a pass.
+MASKED = 0.25
+#: Bound of every parameter: an output is within (WIDTH + 1) * LIMIT = 75, and its exponential is a float32.
+LIMIT = 3.0
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -79,9 +82,8 @@ class Network:
         place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         return np.where(self.known[place] == h, place + UNKNOWN, (h % U64(UNKNOWN)).astype(np.int64))
 
-    def contexts(self, tokens: np.ndarray, doc_ptr: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Tokens around each of the words begin..end; the vocabulary's size stands for a place outside the text."""
-        at = np.arange(begin, end)
+    def contexts(self, tokens: np.ndarray, doc_ptr: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Tokens around each of the words ``at``; the vocabulary's size stands for a place outside the text."""
         doc = np.searchsorted(doc_ptr, at, side="right") - 1
         first, last = doc_ptr[doc], doc_ptr[doc + 1]
         out = np.full((2 * REACH, len(at)), self.vocabulary)
@@ -108,7 +110,7 @@ class Network:
         for a in range(0, len(tokens), step):
             b = min(len(tokens), a + step)
             order, cut = self.by_class(tokens[a:b])
-            y, x = tokens[a:b][order], self.hidden(self.contexts(tokens, doc_ptr, a, b)[:, order])
+            y, x = tokens[a:b][order], self.hidden(self.contexts(tokens, doc_ptr, a + order))
             across = np.arange(b - a)
             z = x @ self.w1 + self.b1
             p = z[across, y // self.classes] - np.log(np.exp(z) @ ones)
@@ -120,15 +122,18 @@ class Network:
             out[a + order] = p
         return out
 
-    def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float) -> None:
-        """One pass of gradient descent, by steps of 256 words that grow to 8192."""
+    def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float, masked: float = MASKED) -> None:
+        """One pass of gradient descent, by steps of 256 masked words that grow to 8192: a share of the words,
+        drawn anew for each text, is predicted from all words around them."""
         b, across, ones = 0, np.arange(WIDTH), np.ones(self.classes, np.float32)
-        while b < len(tokens):
+        targets = np.flatnonzero(np.random.default_rng(self.seen).random(len(tokens)) < masked)
+        while b < len(targets):
             step = min(8192, max(256, self.seen // 32))
-            a, b = b, min(len(tokens), b + step)
+            a, b = b, min(len(targets), b + step)
             self.seen += b - a
-            order, cut = self.by_class(tokens[a:b])
-            context, y, every = self.contexts(tokens, doc_ptr, a, b)[:, order], tokens[a:b][order], np.arange(b - a)
+            order, cut = self.by_class(tokens[targets[a:b]])
+            at = targets[a:b][order]
+            context, y, every = self.contexts(tokens, doc_ptr, at), tokens[at], np.arange(b - a)
             x = self.hidden(context)
             z = x @ self.w1 + self.b1
             np.exp(z, out=z)
@@ -154,7 +159,7 @@ class Network:
             np.clip(self.flat, -LIMIT, LIMIT, out=self.flat)
 
 
-def train(docs: DataFrame, parts: int = 2, rate: float = 3.0) -> Network:
+def train(docs: DataFrame, parts: int = 2, rate: float = 6.0) -> Network:
     """Every row trains once: the rows fall into ``parts`` by a hash of their ids, and the tasks' networks are
     averaged after each part."""
     counts = materialise(count_words(docs), "counts")

@@ -118,7 +118,7 @@ def test_one_step_is_the_gradient(small):
     net, tokens, doc_ptr = small
     before = net.flat.astype(np.float64)
     after = Network(net.known, net.flat.copy())
-    after.train(tokens, doc_ptr, 0.5)
+    after.train(tokens, doc_ptr, 0.5, 1.0)
     moved = after.flat.astype(np.float64) - before
     n_embed, n1 = net.embed.size, net.w1.size + net.b1.size
     rng = np.random.default_rng(4)
