@@ -74,6 +74,21 @@ def signature(*columns: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 16)
 
 
+def clipped(text: Column, most: int) -> Column:
+    """The first ``most`` characters; empty for null."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded half up by its size."""
+    scaled = F.floor(F.abs(value) * 10.0**digits + 0.5).cast("long")
+    sign = F.when((value < 0) & (scaled > 0), "-").otherwise("")
+    if not digits:
+        return F.concat(sign, scaled.cast("string"))
+    unit = F.lit(10**digits).cast("long")
+    return F.concat(sign, F.floor(scaled / unit).cast("long").cast("string"), F.lit("."), F.lpad((scaled % unit).cast("string"), digits, "0"))
+
+
 def plain_number(value: Column) -> Column:
     """Six decimals without trailing zeros or point."""
     return F.regexp_replace(F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "0+$", ""), "\\.$", "")

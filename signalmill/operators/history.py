@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import hours_between
+from signalmill.operators.ordering import neighbour
 
 #: Catalysts that no cooldown blocks: fixed values.
 EXCEPTIONAL = ("new_listing", "launchpool", "megadrop", "airdrop", "delisting")
@@ -40,8 +44,10 @@ def merge_ages(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other).groupBy("symbol").agg(F.min("hours_ago").alias("hours_ago"))
 
 
-def newest(posts: DataFrame, n: int) -> DataFrame:
-    """The last n posts by id."""
+def newest(posts: DataFrame, n: int, as_of: Column | None = None, within_hours: float | None = None) -> DataFrame:
+    """The last n posts by id; with ``within_hours`` only those of so many hours before ``as_of``."""
+    if within_hours is not None:
+        posts = posts.where(hours_between(F.col("created_at"), as_of).between(0, within_hours))
     return posts.orderBy(F.desc("id")).limit(n)
 
 
@@ -57,8 +63,8 @@ def cooldown_tail(posts: DataFrame, as_of: Column, n: int = 50, catalyst: str =
 
 def gaps(posts: DataFrame) -> DataFrame:
     """Hours between a post and its symbol's previous one."""
-    before = F.lag("created_at").over(Window.partitionBy("symbol").orderBy("created_at", "id"))
-    return posts.withColumn("before", before).where("before is not null").select("id", "symbol", hours_between(F.col("before"), F.col("created_at")).alias("gap_hours"))
+    timed = neighbour(posts.where("symbol is not null"), "symbol", F.to_date("created_at"), ["created_at", "id"], "created_at", "before")
+    return timed.where("before is not null").select("id", "symbol", hours_between(F.col("before"), F.col("created_at")).alias("gap_hours"))
 
 
 def daily_cap(posts: DataFrame, cap: int = DAILY_CAP) -> DataFrame:
@@ -78,27 +84,46 @@ def within_cap(posts: DataFrame, cap: int = DAILY_CAP) -> DataFrame:
     return reached.where(F.col("before") < cap).withColumn("rank", rank).where(F.col("before") + F.col("rank") <= cap).drop("hour", "before", "rank")
 
 
-def admit(times: list, last, hours: float) -> tuple[list[bool], object]:
-    """Which of one symbol's sorted post times a cooldown lets through, and the last that it did. Only an
-    admitted post starts a new cooldown, so each decision hangs on those before it."""
-    out = []
-    for t in times:
-        ok = last is None or (t - last).total_seconds() >= hours * 3600
-        out.append(ok)
-        last = t if ok else last
-    return out, last
+def admit(times: np.ndarray, last: int | None, gap: int) -> tuple[np.ndarray, int | None]:
+    """Which of one symbol's sorted post times (microseconds) a cooldown lets through, and the last that it did.
+    Only an admitted post starts a new cooldown, so each decision hangs on those before it; the next one is
+    found by bisection."""
+    ok = np.zeros(len(times), dtype=bool)
+    i = 0 if last is None else int(np.searchsorted(times, last + gap))
+    while i < len(times):
+        ok[i], last = True, int(times[i])
+        i = max(i + 1, int(np.searchsorted(times, last + gap)))
+    return ok, last
 
 
-def sequential_cooldown(posts: DataFrame, hours: float = SOFT_HOURS) -> DataFrame:
-    """Posts that a cooldown of ``hours`` admits, symbol by symbol in time order."""
+def micros(hours: float) -> int:
+    return round(hours * 3_600_000_000)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "id"])
-        ok, _ = admit(list(pdf.created_at), None, hours)
-        return pdf[ok]
 
-    rows = posts.select("id", "symbol", F.col("created_at").cast("timestamp").alias("created_at"))
-    return rows.groupBy("symbol").applyInPandas(run, rows.schema)
+def sequential_cooldown(posts: DataFrame, hours: float = SOFT_HOURS) -> DataFrame:
+    """Posts that a cooldown of ``hours`` admits, symbol by symbol in time order; posts without symbol or time
+    are left out. Sorted partitions stream by, and only the last admitted time of a symbol is carried on."""
+    gap = micros(hours)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = batch.column(2).cast(pa.int64()).to_numpy()
+            own = batch.column(1).dictionary_encode()
+            codes, names = own.indices.to_numpy(), own.dictionary.to_pylist()
+            cut = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            parts = []
+            for a, b in zip(cut[:-1], cut[1:]):
+                last = last if names[codes[a]] == symbol else None
+                symbol = names[codes[a]]
+                ok, last = admit(times[a:b], last, gap)
+                parts.append(ok)
+            yield batch.filter(pa.array(np.concatenate(parts)))
+
+    rows = posts.select("id", "symbol", F.col("created_at").cast("timestamp").alias("created_at")).where("symbol is not null and created_at is not null")
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "created_at", "id").mapInArrow(run, rows.schema)
 
 
 def recent_with_metadata(posts: DataFrame, n: int = 100) -> DataFrame:

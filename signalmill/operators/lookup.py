@@ -14,59 +14,6 @@ from signalmill.functions.text import title_symbols
 PRIORITIES = {"new_listing": 10, "launchpool": 9, "megadrop": 9, "airdrop": 8, "delisting": 6, "news": 3}
 #: Narratives looked for in titles: fixed values.
 NARRATIVES = ("AI", "AGENT", "MEME", "L1", "L2", "DeFi", "RWA", "GAMING", "DePIN", "INFRA", "EXCHANGE", "BTC", "ETF", "AIRDROP", "LISTING")
-#: Topics and their assets in order: fixed values.
-TOPIC_ASSETS = {
-    "AI": "FET AGIX RNDR NEAR GRT OCEAN TAO AKT",
-    "AGENT": "FET AGIX VIRTUAL AI16Z ARC",
-    "AI Agent": "FET AGIX VIRTUAL AI16Z ARC",
-    "MEME": "DOGE SHIB PEPE BONK WIF FLOKI MEME",
-    "DOGE": "DOGE",
-    "PEPE": "PEPE",
-    "SHIB": "SHIB",
-    "L1": "SOL AVAX ADA DOT APT SUI SEI INJ TIA NEAR",
-    "SOL": "SOL",
-    "AVAX": "AVAX",
-    "SUI": "SUI",
-    "APT": "APT",
-    "L2": "ARB OP MATIC POL STRK METIS",
-    "DeFi": "AAVE MKR UNI LINK COMP CRV CAKE PENDLE",
-    "RWA": "ONDO MKR COMP LINK POL CFG",
-    "GAMING": "AXS SAND MANA THETA ENJ GALA IMX",
-    "METAVERSE": "SAND MANA AXS THETA",
-    "DePIN": "FIL ICP HNT MOBILE IOTX",
-    "INFRA": "ICP FIL ALGO EOS XLM VET TRX HBAR",
-    "EXCHANGE": "BNB LEO OKB CRO GT",
-    "BNB": "BNB",
-    "BTC": "BTC BTCB STX",
-    "BITCOIN": "BTC",
-    "ETF": "BTC ETH",
-    "REGULATION": "BTC ETH XRP",
-    "STABLE": "USDT USDC DAI FDUSD",
-    "AIRDROP": "LAYER AVNT SHELL STRK ARB OP APT",
-    "LISTING": "LAYER AVNT SHELL NOT DOGS HMSTR",
-    "RESTAKE": "ETHFI EIGEN REZ",
-    "LIQUID": "LDO SSV PRL",
-}
-#: Categories and their assets in order: fixed values.
-CATEGORY_ASSETS = {
-    "AI": "FET AGIX RNDR NEAR ARB OP GRT OCEAN TAO AKT",
-    "MEME": "DOGE SHIB PEPE BONK WIF FLOKI MEME",
-    "L1": "SOL AVAX ADA DOT APT SUI SEI INJ TIA NEAR",
-    "BTC": "BTC STX ORDI SATS RUNE",
-    "DeFi": "AAVE MKR UNI LINK COMP CRV CAKE",
-    "L2": "ARB OP MATIC POL STRK",
-    "RWA": "MKR COMP LINK POL",
-    "GAMING": "AXS SAND MANA THETA ENJ GALA IMX",
-    "INFRA": "ICP FIL ALGO EOS XLM VET TRX HBAR",
-    "EXCHANGE": "BNB LEO OKB CRO",
-}
-
-
-def dimension(spark, assets: dict[str, str], name: str) -> DataFrame:
-    """A dimension (ord, <name>, symbol) from one of the tables above."""
-    rows = [(i, k, s) for i, (k, v) in enumerate(assets.items()) for s in v.split()]
-    return spark.createDataFrame(rows, f"ord int, {name} string, symbol string")
-
 
 def with_symbols(announcements: DataFrame, known: DataFrame) -> DataFrame:
     """Announcements with the known symbols of their titles; those without any are left out.
@@ -103,9 +50,13 @@ def strongest_catalyst(named: DataFrame) -> DataFrame:
     return best.select("symbol", "a.ann_id", F.col("a.ann_type").alias("catalyst"), "a.priority")
 
 
-def narratives_in(titles: DataFrame, names=NARRATIVES) -> DataFrame:
-    """(ann_id, narrative) of each narrative name that occurs in a title, case aside."""
-    hit = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower("title"), F.lower(n)))
+def narratives_in(titles: DataFrame, names=NARRATIVES, whole_words: bool = False) -> DataFrame:
+    """(ann_id, narrative) of each narrative name that occurs in a title, case aside: anywhere, so that "AI" is in
+    "airdrop", or only as a word of its own."""
+    low = F.lower("title")
+    if whole_words:
+        low = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" "))
+    hit = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(low, F.concat(F.lit(" "), F.lower(n), F.lit(" ")) if whole_words else F.lower(n)))
     return titles.select("ann_id", F.explode(hit).alias("narrative"))
 
 
@@ -116,22 +67,23 @@ def parts_of(name: str) -> Column:
     return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).otherwise(F.array().cast("array<string>"))
 
 
-def assets_of_topics(topics: DataFrame, dim: DataFrame) -> DataFrame:
+def assets_of_topics(topics: DataFrame, dim: DataFrame, strict_case: bool = False) -> DataFrame:
     """Assets of each topic: of the entry equal to it, else of the first entry that contains it or is
-    contained in it, else the topic itself if it looks like a symbol, else none. Case aside.
+    contained in it, else the topic itself if it looks like a symbol (2 to 10 letters), else none. Case and blanks
+    around it aside; with ``strict_case`` entries count as they are written, which those in mixed case never match.
 
     All three are joins by key: what is left after equality meets entries over the parts of its name,
     and entries meet it over the parts of theirs. Names are short, so their parts are few.
     """
-    entries = dim.groupBy(F.upper("topic").alias("entry")).agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set("symbol")).alias("assets"))
-    keys = topics.select("topic").distinct().withColumn("key", F.upper("topic"))
+    entries = dim.groupBy((F.col("topic") if strict_case else F.upper("topic")).alias("entry")).agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set("symbol")).alias("assets"))
+    keys = topics.select("topic").distinct().withColumn("key", F.upper(F.trim("topic")))
     equal = keys.join(entries, F.col("key") == F.col("entry"), "left").select("topic", "key", "assets")
     rest = equal.where("assets is null").select("topic", "key")
     inside = rest.select("topic", F.explode(parts_of("key")).alias("entry")).join(entries, "entry")
     around = entries.select("*", F.explode(parts_of("entry")).alias("key")).join(rest, "key")
     near = inside.select("topic", "ord", "entry", "assets").unionByName(around.select("topic", "ord", "entry", "assets"))
     part = near.groupBy("topic").agg(F.min_by("assets", F.struct("ord", "entry")).alias("assets"))
-    itself = F.when(F.col("key").rlike("^[A-Z0-9]{2,10}$"), F.array("key")).otherwise(F.array().cast("array<string>"))
+    itself = F.when(F.col("key").rlike("^[A-Z]{2,10}$"), F.array("key")).otherwise(F.array().cast("array<string>"))
     found = equal.where("assets is not null").select("topic", "assets").unionByName(
         rest.join(part, "topic", "left").select("topic", F.coalesce("assets", itself).alias("assets"))
     )

@@ -62,12 +62,17 @@ def insights(featured: DataFrame) -> DataFrame:
     )
 
 
-def upsert_metrics(posts: DataFrame, updates: DataFrame) -> DataFrame:
-    """Posts with updates (symbol, new_views, new_traders; null: unchanged) put into each symbol's newest
-    post without views."""
+#: What an update may set.
+METRICS = ("views", "likes", "comments", "shares", "traders", "reward")
+
+
+def upsert_metrics(posts: DataFrame, updates: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Posts with updates (symbol, new_<metric>; null or no such column: unchanged) put into each symbol's newest
+    post without views. Symbols of updates are upper-cased."""
+    given = [m for m in metrics if f"new_{m}" in updates.columns and m in posts.columns]
     newest = posts.where("views is null").groupBy("symbol").agg(F.max_by("id", F.struct("created_at", "id")).alias("target"))
-    change = newest.join(updates, "symbol").select(F.col("target").alias("id"), "new_views", "new_traders")
-    return posts.join(change, "id", "left").withColumns({"views": F.coalesce("new_views", "views"), "traders": F.coalesce("new_traders", "traders")}).drop("new_views", "new_traders")
+    change = newest.join(updates.withColumn("symbol", F.upper("symbol")), "symbol").select(F.col("target").alias("id"), *[f"new_{m}" for m in given])
+    return posts.join(change, "id", "left").withColumns({m: F.coalesce(f"new_{m}", m) for m in given}).drop(*[f"new_{m}" for m in given])
 
 
 def quality_issues(posts: DataFrame, least_words: int = 50, least_tags: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import tiers
+from signalmill.functions.text import fixed
+from signalmill.operators.ordering import neighbour
 
 c = F.col
 
@@ -39,9 +41,8 @@ def scaled_series(ticks: DataFrame) -> DataFrame:
     """Closes scaled to their symbol's range (0 to 1; a flat series counts as range 1), and the next
     step's direction. The range is a partial aggregate joined back."""
     span = ticks.groupBy("symbol").agg(F.min("close_px").alias("low"), F.max("close_px").alias("high"))
-    nxt = F.lead("close_px").over(Window.partitionBy("symbol").orderBy("ts", "l_orderkey", "l_linenumber"))
     width = F.when(c("high") > c("low"), c("high") - c("low")).otherwise(1.0)
-    out = ticks.withColumn("next", nxt).join(span, "symbol")
+    out = neighbour(ticks, "symbol", F.year("ts"), ["ts", "l_orderkey", "l_linenumber"], "close_px", "next", after=True).join(span, "symbol")
     return out.select("symbol", "l_orderkey", "l_linenumber", ((c("close_px") - c("low")) / width).alias("scaled"), F.when(c("next").isNull(), "last").when(c("next") >= c("close_px"), "up").otherwise("down").alias("step"))
 
 
@@ -118,11 +119,17 @@ def why_now() -> Column:
 
 
 def _signed(x: Column) -> Column:
-    return F.format_string("%+.1f%%", x)
+    return F.concat(F.when(x >= 0, "+").otherwise(""), fixed(x, 1), F.lit("%"))
+
+
+def risk_note() -> Column:
+    """A line on the risk level and the first factor."""
+    factors = risk_factors()
+    return F.concat(F.initcap(risk_level(factors)), F.lit(" risk: "), F.get(factors, F.lit(0)), F.lit("."))
 
 
 def thesis(assets: DataFrame) -> DataFrame:
-    """bull_case, bear_case and reason texts from the pattern, volume, move, size and category."""
+    """bull_case, bear_case, reason and risk_note texts from the pattern, volume, move, size and category."""
     change, ratio = c("change_24h"), c("volume_ratio")
     join = lambda *parts: F.concat_ws(" ", *parts)  # noqa: E731  nulls are left out
     return assets.withColumns({
@@ -138,9 +145,10 @@ def thesis(assets: DataFrame) -> DataFrame:
         ),
         "reason": join(
             F.when(c("catalyst").isNotNull(), F.concat(c("symbol"), F.lit(" has a "), c("catalyst"), F.lit(" announcement."))),
-            F.concat(c("symbol"), F.lit(" moved "), _signed(change), F.lit(" at "), F.format_string("%.1f", ratio), F.lit("x volume.")),
+            F.concat(c("symbol"), F.lit(" moved "), _signed(change), F.lit(" at "), fixed(ratio, 1), F.lit("x volume.")),
             F.when(c("pattern") != "", F.concat(F.lit("Pattern: "), c("pattern"), F.lit("."))),
         ),
+        "risk_note": risk_note(),
     })
 
 
@@ -148,8 +156,8 @@ def research_package(assets: DataFrame) -> DataFrame:
     """One text per asset from its classification columns, a section to a line group."""
     row = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     text = F.concat_ws(
-        "\n", row("ASSET", F.concat(c("symbol"), F.lit(" ("), c("name"), F.lit(")"))), F.lit("-- MARKET --"), row("Price", F.format_string("%.6f", c("price"))), row("Change", _signed(c("change_24h"))),
-        row("Volume", F.format_string("%.0f, %.1fx", c("volume_24h"), c("volume_ratio"))), row("Market cap", F.format_string("%.0f", c("market_cap"))),
+        "\n", row("ASSET", F.concat(c("symbol"), F.lit(" ("), c("name"), F.lit(")"))), F.lit("-- MARKET --"), row("Price", fixed(c("price"), 6)), row("Change", _signed(c("change_24h"))),
+        row("Volume", F.concat(fixed(c("volume_24h"), 0), F.lit(", "), fixed(c("volume_ratio"), 1), F.lit("x"))), row("Market cap", fixed(c("market_cap"), 0)),
         F.lit("-- CATALYST --"), row("Type", F.upper(F.coalesce("catalyst", F.lit("market movement")))), row("Detail", c("move_detail")),
         F.lit("-- TIMING --"), row("Stage", c("stage")), F.lit("-- NARRATIVE --"), row("Sector", F.coalesce(F.nullif(c("category"), F.lit("")), F.lit("NONE"))), row("Freshness", c("freshness")),
         F.lit("-- VOLUME --"), row("Level", c("volume_level")), F.lit("-- AUDIENCE --"), row("Interest", c("interest")), F.lit("-- TRADING --"), row("Ready", c("tradable")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalmill.operators.history import SOFT_HOURS
+from signalmill.operators.ordering import ranked
 
 
 def route(scored: DataFrame, group: str, pool: int = 5, keep: int = 3, hours: float = SOFT_HOURS) -> DataFrame:
@@ -23,8 +24,7 @@ def route(scored: DataFrame, group: str, pool: int = 5, keep: int = 3, hours: fl
 
 def ranking_list(scored: DataFrame, group: str, pick: Column) -> DataFrame:
     """Each group's assets with the pick first and the others by score."""
-    order = Window.partitionBy(group).orderBy(F.when(pick, 0).otherwise(1), F.desc("score"), "symbol")
-    out = scored.withColumn("picked", pick).withColumn("rank", F.row_number().over(order))
+    out = ranked(scored.withColumn("picked", pick), [group], {"turn": F.when(F.col("picked"), 0).otherwise(1), "step": -F.col("score")}, ["symbol"], "rank")
     return out.withColumns({"verdict": F.when(F.col("picked"), "publish").otherwise("skip"), "reason": F.when(F.col("picked"), "selected by score").otherwise("lower score or review")})
 
 

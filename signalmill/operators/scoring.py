@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import clamp, tenths, tiers
+from signalmill.operators.ordering import ranked
 
 #: Weights of the metrics: fixed values.
 WEIGHTS = {"trending": 0.20, "smart_money": 0.20, "top_search": 0.15, "volume": 0.15, "market_cap": 0.10, "liquidity": 0.10, "momentum": 0.05, "quality": 0.05}
 DIRECT, REVIEW = 75.0, 60.0
 
 
-def merge_feed(rows: DataFrame) -> DataFrame:
-    """One row per symbol of rank list rows (rank_type, source, chain_id, symbol): the list of sources in
-    feed order, how many, and how many are distinct."""
+def merge_feed(rows: DataFrame, *fields: str) -> DataFrame:
+    """One row per symbol of rank list rows (rank_type, source, chain_id, symbol): the first record's ``fields``,
+    the list of sources in feed order, how many, and how many are distinct."""
     order = F.array_sort(F.collect_list(F.struct("rank_type", "chain_id", "source")))
+    first = F.min_by(F.struct(*fields), F.struct("rank_type", "chain_id")) if fields else F.lit(None)
     return (
-        rows.groupBy("symbol").agg(order.alias("feed"))
-        .select("symbol", F.transform("feed", lambda x: x["source"]).alias("sources"), F.size("feed").alias("n_entries"))
+        rows.groupBy("symbol").agg(order.alias("feed"), first.alias("first"))
+        .select("symbol", *[F.col(f"first.{f}").alias(f) for f in fields], F.transform("feed", lambda x: x["source"]).alias("sources"), F.size("feed").alias("n_entries"))
         .withColumn("n_sources", F.size(F.array_distinct("sources")))
     )
 
 
-def feed_positions(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("rank_type", "chain_id").orderBy(*order)))
+def feed_positions(rows: DataFrame, place: str) -> DataFrame:
+    """Position of each row in its list, in the order of a whole-number column. Lists are few and long, so they
+    are ranked by ranges of it."""
+    return ranked(rows, ["rank_type", "chain_id"], {"range": F.floor(F.col(place) / 4096)}, [place], "position")
 
 
 def components(assets: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from signalmill.functions import text
 
 from signalmill.operators import filters, history, lookup, reports, research, routing, scoring, topics
-from signalmill.sources import feeds
+from signalmill.sources import feeds, landing
 from signalmill.sources.fixtures import AS_OF, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,18 @@ PARTS = {
           from (select * from $mentions union all select * from $searched union all select * from $marketed union all select * from $stand_ins)) where i = 1""",
     "points": """
         select symbol, list(close_px order by back desc) as points from (select *, row_number() over (partition by symbol order by ts desc, l_orderkey desc, l_linenumber desc) as back from v_tick) where back <= 5 group by symbol""",
+    "flags": """
+        select *, case when s < 3 and volume_ratio < 2 then 'EARLY' when s < 8 then 'FRESH' when s < 15 then 'ONGOING' else 'LATE' end as stage, case when category = '' then 'UNKNOWN' when category in ('AI', 'MEME', 'L1') then 'HIGH' when category in ('RWA', 'DePIN', 'GAMING') then 'GROWING' else 'STABLE' end as freshness,
+      case when volume_ratio >= 3 then 'EXTREME' when volume_ratio >= 2 then 'HIGH' when volume_ratio >= 1.5 then 'ELEVATED' else 'NORMAL' end as volume_level, case when catalyst is not null or s > 5 then 'HIGH' when volume_ratio > 2 then 'MEDIUM' else 'LOW' end as interest,
+      case when price > 0.1 and market_cap > 1e7 then 'YES' when price > 0.01 and market_cap > 1e6 then 'POSSIBLE' else 'NO' end as tradable, case when hours_ago is null then 'NEVER' when hours_ago < 24 then 'HIGH' when hours_ago < 48 then 'MEDIUM' else 'LOW' end as repetition,
+      case when catalyst is not null then 'catalyst' when s > 8 then 'explosive' when s > 4 then 'strong' else 'gradual' end as move_detail, catalyst is null and volume_ratio > 2.5 as volume_confirms
+    from (select *, abs(change_24h) as s from $rich)""",
+    "patterns": """
+        select symbol, case when up then 'bullish' when down then 'bearish' else 'neutral' end as trend, case when up then least(1e0, (p5 / p1 - 1) * 5) when down then least(1e0, abs(p5 / p1 - 1) * 3) else 5e-1 end as strength,
+      case when not enough then '' when up then case when change_24h > 5 then 'breakout' else 'steady uptrend' end when down then case when change_24h < -5 then 'sharp selloff' else 'gradual distribution' end
+        when abs(change_24h) < 2 then 'ranging' when change_24h > 0 then 'upward bias' else 'downward bias' end as pattern,
+      case when not enough then 'medium' when list_max(points) / list_min(points) - 1 > 8e-2 then 'high' when list_max(points) / list_min(points) - 1 > 3e-2 then 'medium' else 'low' end as volatility
+    from (select *, enough and p5 > p1 * 1.05::double as up, enough and p5 < p1 * 0.95::double as down from (select c.symbol, change_24h, points, points[1] as p1, points[-1] as p5, coalesce(len(points) >= 5, false) as enough from v_coin c left join $points p on p.symbol = c.symbol))""",
     "factors": """
         select *, case when len(f) > 0 then f else ['standard risk'] end as factors from (select *, list_filter([case when price < 0.1 then 'micro price' when price < 1 then 'low price' end, case when market_cap > 0 and market_cap < 1e7 then 'small cap' end,
           case when volume_ratio < 0.8 then 'thin volume' end, case when abs(change_24h) > 20 then 'extreme move' end, case when category = 'MEME' then 'meme asset' end], lambda x: x is not null) as f from $rich)""",
@@ -124,7 +136,8 @@ def expand(sql: str) -> str:
         return sql
     heads = ", ".join(f"p_{n} as ({re.sub(r'[$](\w+)', r'p_\1', PARTS[n])})" for n in order)
     body = re.sub(r"\$(\w+)", r"p_\1", sql).strip()
-    return f"with {heads}, {body[5:]}" if body.lower().startswith("with ") else f"with {heads} {body}"
+    found = re.match(r"(?i)with (recursive )?", body)
+    return f"with {found[1] or ''}{heads}, {body[found.end() :]}" if found else f"with {heads} {body}"
 
 
 # Frames that several queries share.
@@ -189,9 +202,36 @@ def history_clean(spark, sf):
     return posts.withColumn("symbol", history.symbol_of("symbol")).where("symbol <> ''")
 
 
-@query("select count(views) as n_valid, count(*) - count(views) as n_corrupt from v_post")
+def _history_log(spark, sf) -> DataFrame:
+    """Posts as lines of a history file, some of them broken, landed and read again."""
+    line = F.to_json(F.struct(
+        F.concat(F.lit(" "), F.lower("symbol"), F.lit(" ")).alias("symbol"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
+        F.col("catalyst_type").alias("catalyst"), F.concat(F.lit("http://p/"), "id").alias("link"),
+    ))
+    broken = F.when(F.col("id") % 7 == 3, F.concat(F.lit("no json "), "id")).when(F.col("id") % 11 == 5, F.concat(F.lit('{"symbol": "'), "symbol")).when(F.col("id") % 13 == 8, F.lit('{"symbol": null}'))
+    posts = view(spark, sf, "v_post").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return feeds.read_history(spark, landing.land(posts.select(F.coalesce(broken, line).alias("value")), "history"))
+
+
+_BROKEN = "(id % 7 = 3 or id % 11 = 5 or id % 13 = 8)"
+
+
+@query(f"select symbol, created_at, catalyst_type as catalyst, concat('http://p/', cast(id as varchar)) as link from v_post where not {_BROKEN}")
+def history_lines(spark, sf):
+    return history.clean_history(_history_log(spark, sf)).select("symbol", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "catalyst", "link")
+
+
+@query(f"select count_if(not {_BROKEN}) as n_valid, count_if({_BROKEN}) as n_corrupt from v_post")
 def history_audit(spark, sf):
-    return history.audit(view(spark, sf, "v_post"), F.col("views").isNotNull())
+    valid = (history.symbol_of("symbol") != "") & F.try_to_timestamp("timestamp").isNotNull()
+    return history.audit(_history_log(spark, sf), valid)
+
+
+@query(f"select id, symbol, created_at, image_url from (select id, symbol, created_at, case when id % 2 = 0 then '' else concat('img/', cast(id as varchar)) end as image_url from v_post)")
+def history_reconciled(spark, sf):
+    posts = view(spark, sf, "v_post").select("id", "symbol", "created_at")
+    new = posts.where("id % 2 <> 0").withColumn("image_url", F.concat(F.lit("img/"), F.col("id").cast("string")))
+    return feeds.reconciled(posts.where("id % 2 = 0"), new)
 
 
 @query("select * from $ages")
@@ -242,7 +282,12 @@ def recent_posts(spark, sf):
     return history.recent_with_metadata(posts).select("id", "symbol", F.col("metadata")["catalyst"].alias("catalyst"))
 
 
-@query()
+@query("""
+    with recursive p as (select id, symbol, created_at from v_post), a as (
+      select id, symbol, created_at from (select *, row_number() over (partition by symbol order by created_at, id) as i from p) where i = 1
+      union all select id, symbol, created_at from (
+        select p.*, row_number() over (partition by p.symbol order by p.created_at, p.id) as i from a join p on p.symbol = a.symbol and p.created_at >= a.created_at + interval 24 hour) where i = 1)
+    select id, symbol from a""")
 def sequential_admission(spark, sf):
     return history.sequential_cooldown(view(spark, sf, "v_post")).select("id", "symbol")
 
@@ -318,6 +363,13 @@ def reject_reasons(spark, sf):
     return _reasons(spark, sf).where("reason is not null").select("symbol", "reason")
 
 
+@query("select symbol, case when symbol = '' then 'empty symbol' when price <= 0 or price < 1e-2 then 'price too low' when market_cap > 0 and market_cap < 5e5 then 'market cap too low' end as reason from $rich where price <= 0 or price < 1e-2 or (market_cap > 0 and market_cap < 5e5)")
+def strict_rejects(spark, sf):
+    """The thresholds of assets that don't come from the hub, where they decide."""
+    rows = rich(spark, sf).withColumn("reason", filters.reject_reason(from_hub=False, top=("P1", "P2", "P3", "P4", "P5")))
+    return rows.where(F.col("reason").isin("empty symbol", "price too low", "market cap too low")).select("symbol", "reason")
+
+
 @query("select symbol from $reasons where reason is null")
 def candidates(spark, sf):
     return _reasons(spark, sf).where("reason is null").select("symbol")
@@ -337,9 +389,15 @@ def scan_funnel(spark, sf):
 # Scores.
 
 
-@query("select symbol, array_to_string(sources, ',') as sources, cast(n_entries as integer) as n_entries, cast(n_sources as integer) as n_sources from $feed")
+@query("""
+    select symbol, price, volume_24h, market_cap, case when market_cap > 0 then least(volume_24h / greatest(market_cap, 1e0) * 5, 5e0) else 1e0 end as volume_ratio, array_to_string(sources, ',') as sources, cast(n_entries as integer) as n_entries, cast(n_sources as integer) as n_sources
+    from (select r.symbol, arg_min(c.price * r.rank_type, (rank_type, chain_id)) as price, arg_min(c.volume_24h + r.rank_type, (rank_type, chain_id)) as volume_24h, arg_min(c.market_cap, (rank_type, chain_id)) as market_cap,
+      list(source order by rank_type, chain_id) as sources, count(*) as n_entries, count(distinct source) as n_sources from v_rank r join v_coin c on c.symbol = r.symbol group by r.symbol)""")
 def rank_feed_merge(spark, sf):
-    return scoring.merge_feed(view(spark, sf, "v_rank")).withColumn("sources", F.array_join("sources", ","))
+    coins = view(spark, sf, "v_coin").select("symbol", "price", "volume_24h", "market_cap")
+    rows = view(spark, sf, "v_rank").join(coins, "symbol").withColumns({"price": F.col("price") * F.col("rank_type"), "volume_24h": F.col("volume_24h") + F.col("rank_type")})
+    merged = scoring.merge_feed(rows, "price", "volume_24h", "market_cap").withColumn("sources", F.array_join("sources", ","))
+    return merged.withColumn("volume_ratio", filters.volume_ratio_rank(F.col("volume_24h"), F.col("market_cap")))
 
 
 @query("select rank_type, chain_id, symbol, cast(row_number() over (partition by rank_type, chain_id order by pk) as integer) as position from v_rank")
@@ -464,7 +522,7 @@ def topics_merged(spark, sf):
     return topics.merge(all_topics(spark, sf))
 
 
-_TOPIC_NAMES = "select distinct p_brand as topic from part union select distinct concat(p_type, ' X') from part union select distinct concat('T', cast(p_size as string)) from part union select 'no such topic'"
+_TOPIC_NAMES = "select distinct p_brand as topic from part union select distinct concat(p_type, ' X') from part union select distinct concat('T', cast(p_size as string)) from part union select distinct concat('  ', substring(p_name, 1, 4), ' ') from part union select 'no such topic'"
 
 
 def _topic_names(spark, sf) -> DataFrame:
@@ -478,8 +536,8 @@ def _dimension(spark, sf) -> DataFrame:
 
 _TOPIC_COINS = f"""
     with t as ({_TOPIC_NAMES}), e as (select upper(topic) as entry, min(ord) as ord, list_sort(list(distinct symbol)) as a from v_topic_dim group by 1),
-    m as (select t.topic, e.a, row_number() over (partition by t.topic order by case when upper(t.topic) = entry then 0 else 1 end, ord, entry) as i from t join e on contains(upper(t.topic), entry) or contains(entry, upper(t.topic)))
-    select t.topic, cast(len(a) as integer) as n_assets, array_to_string(a, ',') as assets from (select t.topic, coalesce(m.a, case when regexp_full_match(upper(t.topic), '[A-Z0-9]{{2,10}}') then [upper(t.topic)] else [] end) as a
+    m as (select t.topic, e.a, row_number() over (partition by t.topic order by case when upper(trim(t.topic)) = entry then 0 else 1 end, ord, entry) as i from t join e on contains(upper(trim(t.topic)), entry) or contains(entry, upper(trim(t.topic))))
+    select t.topic, cast(len(a) as integer) as n_assets, array_to_string(a, ',') as assets from (select t.topic, coalesce(m.a, case when regexp_full_match(upper(trim(t.topic)), '[A-Z]{{2,10}}') then [upper(trim(t.topic))] else [] end) as a
       from t left join (select * from m where i = 1) m on m.topic = t.topic) t"""
 
 
@@ -521,7 +579,12 @@ def provider_status(spark, sf):
     return topics.provider_status(all_topics(spark, sf))
 
 
-@query()
+@query("""
+    with t as (select topic, rank, trend_strength from $merged), e as (select upper(topic) as entry, min(ord) as ord, list_sort(list(distinct symbol)) as a from v_topic_dim group by 1),
+    m as (select t.topic, e.a, row_number() over (partition by t.topic order by case when upper(trim(t.topic)) = entry then 0 else 1 end, ord, entry) as i from t join e on contains(upper(trim(t.topic)), entry) or contains(entry, upper(trim(t.topic)))),
+    f as (select t.*, coalesce(m.a, case when regexp_full_match(upper(trim(t.topic)), '[A-Z]{2,10}') then [upper(trim(t.topic))] else [] end) as a from t left join (select * from m where i = 1) m on m.topic = t.topic)
+    select string_agg(concat(topic, ':', cast(cast(floor(trend_strength + 5e-1) as bigint) as varchar), '/10', case when len(a) > 0 then concat(' (', array_to_string(list_transform(a[1:3], lambda x: concat(chr(36), x)), ', '), ')') else '' end), ' | ' order by rank, topic) as summary
+    from (select * from f order by rank, topic limit 5)""")
 def narrative_summary(spark, sf):
     t = topics.merge(all_topics(spark, sf))
     return topics.summary(lookup.assets_of_topics(t, _dimension(spark, sf)))
@@ -578,11 +641,19 @@ def insights(spark, sf):
 
 
 @query("""
-    with t as (select symbol, arg_max(id, (created_at, id)) as id from v_post where views is null group by symbol), u as (select t.id, c.pk * 10 as v, case when c.pk % 2 = 0 then c.pk end as tr from t join v_coin c on c.symbol = t.symbol)
-    select p.id, p.symbol, coalesce(u.v, p.views) as views, coalesce(u.tr, p.traders) as traders from v_post p left join u on u.id = p.id""")
+    with b as (select *, id % 50 as likes, case when id % 5 = 0 then null else id % 9 end as comments, cast(null as bigint) as shares, case when id % 6 = 0 then null else value_of end as reward from (select *, cast(id % 1000 as double) / 8 as value_of from v_post)),
+    t as (select symbol, arg_max(id, (created_at, id)) as id from v_post where views is null group by symbol),
+    u as (select t.id, c.pk * 10 as v, case when c.pk % 2 = 0 then c.pk end as tr, case when c.pk % 3 = 0 then c.pk + 1 end as co, c.pk % 4 as sh, case when c.pk % 5 = 0 then c.change_24h end as re from t join v_coin c on c.symbol = t.symbol)
+    select b.id, b.symbol, coalesce(u.v, b.views) as views, coalesce(u.tr, b.traders) as traders, b.likes, coalesce(u.co, b.comments) as comments, coalesce(u.sh, b.shares) as shares, coalesce(u.re, b.reward) as reward from b left join u on u.id = b.id""")
 def metrics_upsert(spark, sf):
-    updates = view(spark, sf, "v_coin").select("symbol", (F.col("pk") * 10).alias("new_views"), F.when(F.col("pk") % 2 == 0, F.col("pk")).alias("new_traders"))
-    return reports.upsert_metrics(view(spark, sf, "v_post"), updates).select("id", "symbol", "views", "traders")
+    i, pk = F.col("id"), F.col("pk")
+    posts = view(spark, sf, "v_post").withColumns({
+        "likes": i % 50, "comments": F.when(i % 5 != 0, i % 9), "shares": F.lit(None).cast("long"), "reward": F.when(i % 6 != 0, (i % 1000).cast("double") / 8),
+    })
+    updates = view(spark, sf, "v_coin").select(
+        F.lower("symbol").alias("symbol"), (pk * 10).alias("new_views"), F.when(pk % 2 == 0, pk).alias("new_traders"), F.when(pk % 3 == 0, pk + 1).alias("new_comments"), (pk % 4).alias("new_shares"), F.when(pk % 5 == 0, F.col("change_24h")).alias("new_reward"),
+    )
+    return reports.upsert_metrics(posts, updates).select("id", "symbol", "views", "traders", "likes", "comments", "shares", "reward")
 
 
 # Post text.
@@ -614,11 +685,21 @@ def signature_dedup(spark, sf):
 
 
 @query("""
-    select id as resp_id, 1 as place, cast(1 as integer) as rank, symbol, 'first: good' as reason from v_post where id % 100 = 0
-    union all select id, 2, 2, '', 'none named' from v_post where id % 100 = 0""")
+    select id as resp_id, 1 as place, cast(1 as integer) as rank, symbol, concat(catalyst_type, ': ', coalesce(cast(views as varchar), 'unknown')) as reason from v_post
+    union all select id, 2, 2, '', concat('none named by ', cast(id as varchar)) from v_post
+    union all select id, 3, cast(3 + abs(traders) % 4 as integer), concat('Q', cast(abs(traders) as varchar)), 'traders' from v_post where traders is not null""")
 def rank_extract(spark, sf):
-    said = F.concat(F.lit("Here it is\nRANK: 2\nREASON: none named\nRANK: x\nCOIN: $BAD\nRANK: 1\nREASON: old\nCOIN: $"), F.lower("symbol"), F.lit("\nREASON: first: good"))
-    return reports.parse_rankings(view(spark, sf, "v_post").where("id % 100 = 0").select(F.col("id").alias("resp_id"), said.alias("text")))
+    third = F.when(F.col("traders").isNotNull(), F.concat(F.lit("\nRANK: "), 3 + F.abs("traders") % 4, F.lit("\nCOIN: q"), F.abs("traders"), F.lit("\nREASON: traders"))).otherwise("")
+    said = F.concat(
+        F.lit("Here it is\nRANK: 2\nREASON: none named by "), F.col("id").cast("string"), F.lit("\nRANK: x\nCOIN: $BAD\nRANK: 1\nREASON: old\nCOIN: $"), F.lower("symbol"),
+        F.lit("\nREASON: "), F.col("catalyst_type"), F.lit(": "), F.coalesce(F.col("views").cast("string"), F.lit("unknown")), third,
+    )
+    return reports.parse_rankings(view(spark, sf, "v_post").select(F.col("id").alias("resp_id"), said.alias("text")))
+
+
+@query("select id, substring(content, 1, 20) as short, substring(content, 1, 60) as middle, substring(coalesce(cast(views as varchar), ''), 1, 2) as digits from v_post")
+def post_snippets(spark, sf):
+    return view(spark, sf, "v_post").select("id", text.clipped(F.col("content"), 20).alias("short"), text.clipped(F.col("content"), 60).alias("middle"), text.clipped(F.col("views").cast("string"), 2).alias("digits"))
 
 
 # Prices and research columns.
@@ -628,12 +709,7 @@ def patterned(spark, sf) -> DataFrame:
     return research.price_pattern(rich(spark, sf).join(research.recent_points(view(spark, sf, "v_tick"), 5), "symbol", "left"))
 
 
-@query("""
-    select symbol, case when up then 'bullish' when down then 'bearish' else 'neutral' end as trend, case when up then least(1e0, (p5 / p1 - 1) * 5) when down then least(1e0, abs(p5 / p1 - 1) * 3) else 5e-1 end as strength,
-      case when not enough then '' when up then case when change_24h > 5 then 'breakout' else 'steady uptrend' end when down then case when change_24h < -5 then 'sharp selloff' else 'gradual distribution' end
-        when abs(change_24h) < 2 then 'ranging' when change_24h > 0 then 'upward bias' else 'downward bias' end as pattern,
-      case when not enough then 'medium' when list_max(points) / list_min(points) - 1 > 8e-2 then 'high' when list_max(points) / list_min(points) - 1 > 3e-2 then 'medium' else 'low' end as volatility
-    from (select *, enough and p5 > p1 * 1.05::double as up, enough and p5 < p1 * 0.95::double as down from (select c.symbol, change_24h, points, points[1] as p1, points[-1] as p5, coalesce(len(points) >= 5, false) as enough from v_coin c left join $points p on p.symbol = c.symbol))""")
+@query("select symbol, trend, strength, pattern, volatility from $patterns")
 def price_pattern(spark, sf):
     return patterned(spark, sf).select("symbol", "trend", "strength", "pattern", "volatility")
 
@@ -673,17 +749,31 @@ def market_context(spark, sf):
     return view(spark, sf, "v_coin").select("symbol", research.market_context(F.col("change_24h")).alias("context"))
 
 
-@query()
+def _fixed(x: str, digits: int) -> str:
+    """SQL for a number with so many decimals, rounded half up by its size."""
+    n = f"cast(floor(abs({x}) * 1e{digits} + 5e-1) as bigint)"
+    whole = f"cast({n} // {10**digits} as varchar)"
+    part = f", '.', lpad(cast({n} % {10**digits} as varchar), {digits}, '0')" if digits else ""
+    return f"concat(case when {x} < 0 and {n} > 0 then '-' else '' end, {whole}{part})"
+
+
+_SIGNED = f"concat(case when change_24h >= 0 then '+' else '' end, {_fixed('change_24h', 1)}, '%')"
+_LEVEL = "case when len(factors) + case when price < 0.1 then 1 else 0 end + case when abs(change_24h) > 15 then 1 else 0 end >= 3 then 'high' else 'medium' end"
+
+
+@query(f"""
+    select f.symbol,
+      concat_ws(' ', case when trend = 'bullish' then case when strength > 6e-1 then 'The chart is strong.' else 'The chart is improving.' end end, case when volume_ratio > 1.5 then 'Volume supports the move.' end,
+        case when change_24h > 5 then 'The pace may carry on.' when change_24h > 0 then 'Buyers build up slowly.' else 'Oversold assets tend to find buyers.' end, case when category <> '' then concat('The ', category, ' narrative gains ground.') end) as bull_case,
+      concat_ws(' ', case when trend = 'bearish' then 'The chart weakens.' end, case when volume_ratio < 1 then 'Volume is thin.' end, case when market_cap > 1e11 then 'Large assets move slowly.' when change_24h < -5 then 'The downtrend holds.' else 'The pace may fade without volume.' end) as bear_case,
+      concat_ws(' ', case when catalyst is not null then concat(f.symbol, ' has a ', catalyst, ' announcement.') end, concat(f.symbol, ' moved ', {_SIGNED}, ' at ', {_fixed('volume_ratio', 1)}, 'x volume.'), case when pattern <> '' then concat('Pattern: ', pattern, '.') end) as reason,
+      concat(case when {_LEVEL} = 'high' then 'High' else 'Medium' end, ' risk: ', factors[1], '.') as risk_note
+    from $factors f join $patterns p on p.symbol = f.symbol""")
 def asset_thesis(spark, sf):
-    return research.thesis(patterned(spark, sf)).select("symbol", "bull_case", "bear_case", "reason")
+    return research.thesis(patterned(spark, sf)).select("symbol", "bull_case", "bear_case", "reason", "risk_note")
 
 
-@query("""
-    select symbol, case when s < 3 and volume_ratio < 2 then 'EARLY' when s < 8 then 'FRESH' when s < 15 then 'ONGOING' else 'LATE' end as stage, case when category = '' then 'UNKNOWN' when category in ('AI', 'MEME', 'L1') then 'HIGH' when category in ('RWA', 'DePIN', 'GAMING') then 'GROWING' else 'STABLE' end as freshness,
-      case when volume_ratio >= 3 then 'EXTREME' when volume_ratio >= 2 then 'HIGH' when volume_ratio >= 1.5 then 'ELEVATED' else 'NORMAL' end as volume_level, case when catalyst is not null or s > 5 then 'HIGH' when volume_ratio > 2 then 'MEDIUM' else 'LOW' end as interest,
-      case when price > 0.1 and market_cap > 1e7 then 'YES' when price > 0.01 and market_cap > 1e6 then 'POSSIBLE' else 'NO' end as tradable, case when hours_ago is null then 'NEVER' when hours_ago < 24 then 'HIGH' when hours_ago < 48 then 'MEDIUM' else 'LOW' end as repetition,
-      case when catalyst is not null then 'catalyst' when s > 8 then 'explosive' when s > 4 then 'strong' else 'gradual' end as move_detail, catalyst is null and volume_ratio > 2.5 as volume_confirms
-    from (select *, abs(change_24h) as s from $rich)""")
+@query("select symbol, stage, freshness, volume_level, interest, tradable, repetition, move_detail, volume_confirms from $flags")
 def research_flags(spark, sf):
     return research.research_flags(rich(spark, sf)).select("symbol", "stage", "freshness", "volume_level", "interest", "tradable", "repetition", "move_detail", "volume_confirms")
 
@@ -695,7 +785,13 @@ def why_now(spark, sf):
     return rich(spark, sf).select("symbol", F.array_join(research.why_now(), ",").alias("reasons"))
 
 
-@query()
+@query(f"""
+    select symbol, array_to_string(list_filter([concat('ASSET: ', symbol, ' (', name, ')'), '-- MARKET --', concat('Price: ', {_fixed('price', 6)}), concat('Change: ', {_SIGNED}), concat('Volume: ', {_fixed('volume_24h', 0)}, ', ', {_fixed('volume_ratio', 1)}, 'x'), concat('Market cap: ', {_fixed('market_cap', 0)}),
+      '-- CATALYST --', concat('Type: ', upper(coalesce(catalyst, 'market movement'))), concat('Detail: ', move_detail), '-- TIMING --', concat('Stage: ', stage), '-- NARRATIVE --', concat('Sector: ', coalesce(nullif(category, ''), 'NONE')), concat('Freshness: ', freshness),
+      '-- VOLUME --', concat('Level: ', volume_level), '-- AUDIENCE --', concat('Interest: ', interest), '-- TRADING --', concat('Ready: ', tradable), '-- RISK --', concat('Level: ', upper({_LEVEL})), concat('Factors: ', array_to_string(factors, '; ')), '-- REPETITION --', concat('Risk: ', repetition),
+      '-- WHY NOW --', array_to_string(case when len(w) > 0 then w[1:3] else ['setup developing'] end, chr(10))], lambda x: x is not null), chr(10)) as package
+    from (select g.*, f.factors, list_filter([case when g.catalyst is not null then concat(g.catalyst, ' catalyst') end, case when abs(g.change_24h) > 5 then 'strong move' end, case when g.volume_ratio > 2 then 'volume confirms' end, case when g.category <> '' then concat(g.category, ' narrative') end], lambda x: x is not null) as w
+      from $flags g join $factors f on f.symbol = g.symbol)""")
 def research_package(spark, sf):
     a = research.research_flags(rich(spark, sf)).withColumn("factors", research.risk_factors())
     a = a.withColumns({"risk": research.risk_level(F.col("factors")), "why": research.why_now()})
@@ -735,3 +831,117 @@ def template_pick(spark, sf):
 def card_badges(spark, sf):
     risk, confidence = research.badges(F.col("pk") % 9, F.col("score"), F.col("pk") % 11 == 0)
     return scored(spark, sf).select("symbol", risk.alias("risk_badge"), confidence.alias("confidence_badge"))
+
+
+# Readers of landed payloads: the views are written as payloads, a page to a line, and read again.
+
+
+def _pages(rows: DataFrame, page: Column, order: str, item: Column, wrap: Callable[[Column], Column], *keys: str) -> DataFrame:
+    """Lines of JSON, one for each page of rows in their order; a page has a bounded number of rows."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), item.alias("item")))), lambda x: x["item"])
+    return rows.groupBy(*keys, page.alias("page")).agg(ordered.alias("items")).select(F.to_json(wrap(F.col("items"))).alias("value"))
+
+
+@query("select symbol, name, price, change_24h, volume_24h, market_cap, cast(least(pk % 13, 10) as integer) as n_points, case when pk % 13 > 0 then price + pk % 13 end as last_point from v_coin")
+def market_feed(spark, sf):
+    points = F.transform(F.sequence(F.lit(0), (F.col("pk") % 13).cast("int")), lambda i: F.col("price") + i)
+    item = F.struct(
+        F.concat(F.lower("symbol"), F.lit(" ")).alias("symbol"), "name", F.col("price").alias("current_price"), F.col("change_24h").alias("price_change_percentage_24h"), F.col("volume_24h").alias("total_volume"), "market_cap",
+        F.struct(F.slice(points, 2, 13).alias("price")).alias("sparkline_in_7d"),
+    )
+    path = landing.land(_pages(view(spark, sf, "v_coin"), F.floor(F.col("pk") / 50), "pk", item, lambda x: x), "market")
+    got = feeds.read_market(spark, path, lines=True)
+    return got.select("symbol", "name", "price", "change_24h", "volume_24h", "market_cap", F.size("history").alias("n_points"), F.try_element_at("history", F.lit(-1)).alias("last_point"))
+
+
+@query("select symbol from v_coin where pk % 9 <> 0 and pk % 5 <> 0")
+def exchange_feed(spark, sf):
+    pairs = view(spark, sf, "v_coin").withColumn("quote", F.explode(F.array(F.lit("USDT"), F.lit("BTC"))))
+    item = F.struct(F.lower("symbol").alias("baseAsset"), F.when(F.col("pk") % 9 == 0, "BREAK").otherwise("TRADING").alias("status"), (F.col("pk") % 5 != 0).alias("isSpotTradingAllowed"))
+    path = landing.land(_pages(pairs, F.floor(F.col("pk") / 50), "pk", item, lambda x: F.struct(x.alias("symbols"))), "exchange")
+    return feeds.read_listed(spark, path, lines=True)
+
+
+_ANN_HOUR = "date_trunc('hour', released_at)"
+
+
+@query(f"""
+    select ann_type, case when ann_type = 'news' then 'medium' else 'high' end as impact, title, epoch_us(released_at) // 1000 as released_ms
+    from (select *, row_number() over (partition by ann_type, {_ANN_HOUR} order by ann_id) as i from v_ann) where i <= 5 and hour(released_at) <> 13""")
+def announcement_feed(spark, sf):
+    ids = F.create_map(*[F.lit(x) for k, v in feeds.CATALOG_KINDS.items() for x in (v[0], k)])
+    ann = view(spark, sf, "v_ann").withColumn("at", F.col("released_at").cast("timestamp")).withColumns({"catalogId": ids[F.col("ann_type")].cast("long"), "hour": F.date_trunc("hour", "at")})
+    item = F.struct("title", F.unix_millis("at").alias("releaseDate"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ann_id", item.alias("item")))), lambda x: x["item"])
+    pages = ann.groupBy("catalogId", "hour").agg(ordered.alias("articles"))
+    code = F.when(F.hour("hour") == 13, "000001").otherwise(feeds.OK_CODE)
+    lines = pages.select(F.to_json(F.struct(code.alias("code"), F.struct(F.array(F.struct("catalogId", "articles")).alias("catalogs")).alias("data"))).alias("value"))
+    got = feeds.read_announcements(spark, landing.land(lines, "announcements"), lines=True)
+    return got.select("ann_type", "impact", "title", F.unix_millis("released_at").alias("released_ms"))
+
+
+@query("""
+    select source, chain_id, symbol, price, cast(ord as integer) as ord, risk_level from (
+      select r.source, r.chain_id, c.symbol, c.pk, c.price, case when c.pk % 4 = 0 then 1 else c.risk_level end as risk_level, row_number() over (partition by rank_type, chain_id, c.pk // 200 order by c.pk) - 1 as ord
+      from v_rank r join v_coin c on c.pk = r.pk) where pk % 17 <> 0""")
+def rank_list_feed(spark, sf):
+    rows = view(spark, sf, "v_rank").drop("symbol").join(view(spark, sf, "v_coin"), "pk")
+    item = F.struct(
+        F.when(F.col("pk") % 17 == 0, " ").otherwise(F.lower("symbol")).alias("symbol"), F.col("price").cast("string").alias("price"), F.col("volume_24h").cast("string").alias("volume24h"),
+        F.when(F.col("pk") % 4 != 0, F.struct(F.col("risk_level").alias("riskLevel"))).alias("auditInfo"),
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pk", item.alias("item")))), lambda x: x["item"])
+    pages = rows.groupBy("rank_type", "chain_id", F.floor(F.col("pk") / 200).alias("page")).agg(ordered.alias("tokens"))
+    lines = pages.select(F.to_json(F.struct(F.lit(feeds.OK_CODE).alias("code"), "rank_type", "chain_id", F.struct("tokens").alias("data"))).alias("value"))
+    got = feeds.read_rank_lists(spark, landing.land(lines, "ranks"), lines=True)
+    return got.select("source", "chain_id", "symbol", "price", "ord", "risk_level")
+
+
+@query("select cast(ord as integer) as ord, symbol, name, cast(pk % 15 as integer) as search_score from (select *, row_number() over (partition by pk // 40 order by pk) - 1 as ord from v_coin) where ord < 15")
+def trending_feed(spark, sf):
+    item = F.struct(F.struct(F.lower("symbol").alias("symbol"), "name", (F.col("pk") % 15).alias("score")).alias("item"))
+    path = landing.land(_pages(view(spark, sf, "v_coin"), F.floor(F.col("pk") / 40), "pk", item, lambda x: F.struct(x.alias("coins"))), "trending")
+    return feeds.read_trending(spark, path, lines=True)
+
+
+@query("select concat(symbol, 'USDT') as symbol, case when pk % 8 = 0 then 0e0 else price end as price, change_24h, volume_24h, case when pk % 6 = 0 then 0 else pk end as trades from v_coin")
+def ticker_feed(spark, sf):
+    item = F.struct(
+        F.concat("symbol", F.lit("USDT")).alias("symbol"), F.when(F.col("pk") % 8 == 0, "n/a").otherwise(F.col("price").cast("string")).alias("lastPrice"), F.col("change_24h").cast("string").alias("priceChangePercent"),
+        F.col("volume_24h").cast("string").alias("quoteVolume"), F.when(F.col("pk") % 6 != 0, F.col("pk")).alias("count"),
+    )
+    return feeds.read_tickers(spark, landing.land(_pages(view(spark, sf, "v_coin"), F.floor(F.col("pk") / 50), "pk", item, lambda x: x), "tickers"), lines=True)
+
+
+@query("select cast(ord as integer) as ord, close_px from (select close_px, l_linenumber, row_number() over (partition by symbol, year(ts) order by ts, l_orderkey, l_linenumber) - 1 as ord from v_tick) where l_linenumber <> 7")
+def candle_feed(spark, sf):
+    close = F.when(F.col("l_linenumber") == 7, "bad").otherwise(F.col("close_px").cast("string"))
+    candle = F.array(F.col("ts").cast("string"), F.lit("1"), F.lit("2"), F.lit("0"), close)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "l_orderkey", "l_linenumber", candle.alias("candle")))), lambda x: x["candle"])
+    lines = view(spark, sf, "v_tick").groupBy("symbol", F.year("ts").alias("year")).agg(ordered.alias("c")).select(F.to_json("c").alias("value"))
+    return feeds.read_candles(spark, landing.land(lines, "candles"), lines=True).select("ord", "close_px")
+
+
+@query("select id, symbol, strftime(created_at, '%Y-%m-%d') as day from v_post")
+def table_insert(spark, sf):
+    """Posts appended to a table partitioned by day, in two writes."""
+    posts, path = view(spark, sf, "v_post").select("id", "symbol", "created_at"), f"{landing.landing_dir(spark)}/posts"
+    for part in (posts.where("id % 2 = 0"), posts.where("id % 2 <> 0")):
+        feeds.write_table(part, path)
+    return spark.read.parquet(path).select("id", "symbol", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("select strftime(created_at, '%Y-%m-%d') as day, case when id % 10 = 0 then 'rejected' else 'published' end as status, count(*) as n, min(id) as first_id from v_post group by all")
+def artifact_table(spark, sf):
+    rows = view(spark, sf, "v_post").select("id", "content", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.when(F.col("id") % 10 == 0, "rejected").otherwise("published").alias("status"))
+    path = f"{landing.landing_dir(spark)}/artifacts"
+    feeds.write_artifacts(rows, path)
+    kept = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
+    return kept.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("""select content, symbol as coin_symbol, concat('{"catalyst":"', catalyst_type, '"}') as metadata from v_post""")
+def post_records(spark, sf):
+    named = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("content"), F.col("content"), F.lit("coin_symbol"), F.col("symbol"), F.lit("catalyst"), F.col("catalyst_type")))
+    older = F.create_map(F.lit("text"), F.col("content"), F.lit("symbol"), F.col("symbol"), F.lit("catalyst"), F.col("catalyst_type"))
+    return feeds.post_record(view(spark, sf, "v_post").select(F.coalesce(named, older).alias("fields")))

@@ -1,6 +1,7 @@
 """Readers and writers of landed payload files, all with explicit schemas.
 
 A payload that doesn't parse is kept as a corrupt line where lines are records; missing fields are null.
+Payloads are files, or lines of files where ``lines`` is set.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ def append_history(posts: DataFrame, path: str) -> None:
     posts.select("symbol", "timestamp", "catalyst", "link", F.coalesce("image_url", F.lit("")).alias("image_url"), F.coalesce("media_id", F.lit("")).alias("media_id")).write.mode("append").json(path)
 
 
-def read_market(spark: SparkSession, path: str) -> DataFrame:
+def read_market(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Market snapshots, files of one array each, as asset rows with up to ten history points."""
-    raw = spark.read.schema(MARKET).option("multiLine", "true").json(path).withColumn("snapshot_id", F.input_file_name())
+    raw = spark.read.schema(MARKET).option("multiLine", not lines).json(path).withColumn("snapshot_id", F.input_file_name())
     history = F.coalesce("sparkline_in_7d.price", F.array().cast("array<double>"))
     cap, volume = F.coalesce("market_cap", F.lit(0.0)), F.coalesce("total_volume", F.lit(0.0))
     return raw.select(
@@ -52,15 +53,15 @@ def read_market(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_listed(spark: SparkSession, path: str) -> DataFrame:
+def read_listed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Tradable base assets, each once."""
-    pairs = spark.read.schema(EXCHANGE).option("multiLine", "true").json(path).select(F.explode("symbols").alias("s"))
+    pairs = spark.read.schema(EXCHANGE).option("multiLine", not lines).json(path).select(F.explode("symbols").alias("s"))
     return pairs.where((F.col("s.status") == "TRADING") & F.col("s.isSpotTradingAllowed")).select(F.upper("s.baseAsset").alias("symbol")).distinct()
 
 
-def read_announcements(spark: SparkSession, path: str, per_catalog: int = 5) -> DataFrame:
+def read_announcements(spark: SparkSession, path: str, per_catalog: int = 5, lines: bool = False) -> DataFrame:
     """The first articles of each catalogue page with type and impact, in the order of the page."""
-    pages = spark.read.schema(CATALOGS).option("multiLine", "true").json(path).withColumn("snapshot_id", F.input_file_name())
+    pages = spark.read.schema(CATALOGS).option("multiLine", not lines).json(path).withColumn("snapshot_id", F.input_file_name())
     articles = (
         pages.where(F.col("code") == OK_CODE).select("snapshot_id", F.explode("data.catalogs").alias("c"))
         .select("snapshot_id", F.col("c.catalogId").alias("catalog_id"), F.posexplode("c.articles").alias("ord", "a")).where(F.col("ord") < per_catalog)
@@ -73,9 +74,9 @@ def read_announcements(spark: SparkSession, path: str, per_catalog: int = 5) ->
     )
 
 
-def read_rank_lists(spark: SparkSession, path: str) -> DataFrame:
+def read_rank_lists(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Tokens of rank list pages with their position in the page."""
-    pages = spark.read.schema(RANKS).option("multiLine", "true").json(path).where(F.col("code") == OK_CODE)
+    pages = spark.read.schema(RANKS).option("multiLine", not lines).json(path).where(F.col("code") == OK_CODE)
     t = pages.select("rank_type", "chain_id", F.posexplode("data.tokens").alias("ord", "t"))
     real = lambda c: F.coalesce(F.col(f"t.{c}").try_cast("double"), F.lit(0.0))
     return t.where(F.trim("t.symbol") != "").select(
@@ -86,24 +87,24 @@ def read_rank_lists(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_trending(spark: SparkSession, path: str, limit: int = 15) -> DataFrame:
+def read_trending(spark: SparkSession, path: str, limit: int = 15, lines: bool = False) -> DataFrame:
     """Trending searches in list order."""
     return (
-        spark.read.schema(TRENDING).option("multiLine", "true").json(path).select(F.posexplode("coins").alias("ord", "c")).where(F.col("ord") < limit)
+        spark.read.schema(TRENDING).option("multiLine", not lines).json(path).select(F.posexplode("coins").alias("ord", "c")).where(F.col("ord") < limit)
         .select("ord", F.upper("c.item.symbol").alias("symbol"), F.col("c.item.name").alias("name"), F.coalesce("c.item.score", F.lit(0)).alias("search_score"))
     )
 
 
-def read_tickers(spark: SparkSession, path: str) -> DataFrame:
+def read_tickers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Exchange tickers, one row per pair."""
-    raw = spark.read.schema(TICKER).option("multiLine", "true").json(path)
+    raw = spark.read.schema(TICKER).option("multiLine", not lines).json(path)
     real = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
     return raw.select("symbol", real("lastPrice").alias("price"), real("priceChangePercent").alias("change_24h"), real("quoteVolume").alias("volume_24h"), F.coalesce("count", F.lit(0)).alias("trades"))
 
 
-def read_candles(spark: SparkSession, path: str) -> DataFrame:
+def read_candles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Closes of hourly candles, arrays of arrays with the close fifth; bad candles are left out."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("source"), F.from_json("value", "array<array<string>>").alias("c"))
+    raw = spark.read.option("wholetext", not lines).text(path).select(F.input_file_name().alias("source"), F.from_json("value", "array<array<string>>").alias("c"))
     out = raw.select("source", F.posexplode("c").alias("ord", "candle")).select("source", "ord", F.get("candle", F.lit(4)).try_cast("double").alias("close_px"))
     return out.where("close_px is not null")
 

@@ -41,11 +41,13 @@ VIEWS = {
         select event_id as ann_id, ts as released_at,
           case event_type when 'signup' then 'new_listing' when 'purchase' then 'airdrop' when 'error' then 'delisting' else 'news' end as ann_type,
           concat('Exchange Will Update Asset (P', cast(user_id as string), ') and (P', cast((user_id * 7 + 3) % 2000 as string), ')') as title
-        from {events} where event_type <> 'view' and event_id % 25 = 0
+        from {events} where event_type <> 'view'
     """,
     "v_topic_dim": """
-        select dense_rank() over (order by p_type) as ord, p_type as topic, concat('P', cast(p_partkey as string)) as symbol from {part}
-        union all select 100 + dense_rank() over (order by p_brand), p_brand, concat('P', cast(p_partkey as string)) from {part} where p_partkey % 3 = 0
+        with t as (select p_type, row_number() over (order by p_type) as i from (select distinct p_type from {part}) x),
+          b as (select p_brand, row_number() over (order by p_brand) as i from (select distinct p_brand from {part}) y)
+        select t.i as ord, p.p_type as topic, concat('P', cast(p_partkey as string)) as symbol from {part} p join t on t.p_type = p.p_type
+        union all select 100 + b.i, p.p_brand, concat('P', cast(p_partkey as string)) from {part} p join b on b.p_brand = p.p_brand where p_size <= 30
     """,
     "v_listed": "select symbol from {v_coin} where pk % 9 <> 0",
     "v_rank": """
@@ -78,6 +80,6 @@ def with_views(sql: str) -> str:
     add(sql)
     heads = [f"{n} as ({re.sub(r'[{}]', '', VIEWS[n])})" for n in needed]
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return "with " + ", ".join([*heads, body[5:]])
+    if found := re.match(r"(?i)with (recursive )?", body):
+        return f"with {found[1] or ''}" + ", ".join([*heads, body[found.end() :]])
     return f"with {', '.join(heads)} {body}" if heads else body

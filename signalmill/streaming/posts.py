@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from signalmill.operators.history import DAILY_CAP, SOFT_HOURS, admit
+from signalmill.operators.history import DAILY_CAP, SOFT_HOURS, admit, micros
 
 
 def landed(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -20,20 +20,23 @@ def landed(spark: SparkSession, path: str, schema: StructType | str, kind: str =
 
 
 class CooldownProcessor(StatefulProcessor):
-    """Per symbol the last admitted time; it goes when the cooldown has run out for good."""
+    """Per symbol the last admitted time. It goes when so much time as the cooldown has passed since it was
+    written, by the clock of the machine, so symbols that are quiet leave no state."""
 
     def __init__(self, hours: float):
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp")
+        self.last = handle.getValueState("last", "at timestamp", ttlDurationMs=max(1, int(self.hours * 3_600_000)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # What a micro-batch has of one symbol, bounded by the files that it takes.
         pdf = pd.concat(list(rows)).sort_values(["created_at", "id"])
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        ok, last = admit(list(pdf.created_at), last, self.hours)
+        times = pdf.created_at.to_numpy("datetime64[us]").astype("int64")
+        last = int(pd.Timestamp(self.last.get()[0]).to_datetime64().astype("datetime64[us]").astype("int64")) if self.last.exists() else None
+        ok, last = admit(times, last, micros(self.hours))
         if last is not None:
-            self.last.update((last.to_pydatetime(),))
+            self.last.update((pd.Timestamp(last, unit="us").to_pydatetime(),))
         yield pdf[ok][["id", "symbol", "created_at"]]
 
     def close(self) -> None:
@@ -44,17 +47,17 @@ def cooldown(posts: DataFrame, hours: float = SOFT_HOURS) -> DataFrame:
     """Posts (id, symbol, created_at) that each symbol's cooldown admits, across batches and runs. Needs
     the RocksDB state store."""
     rows = posts.select("id", "symbol", F.col("created_at").cast("timestamp").alias("created_at"))
-    return rows.groupBy("symbol").transformWithStateInPandas(CooldownProcessor(hours), "id long, symbol string, created_at timestamp", "append", "none")
+    return rows.groupBy("symbol").transformWithStateInPandas(CooldownProcessor(hours), "id long, symbol string, created_at timestamp", "append", "processingTime")
 
 
 class DailyCapProcessor(StatefulProcessor):
-    """Per day how many posts have been admitted."""
+    """Per day how many posts have been admitted; it goes when nothing has come for ``keep_hours``."""
 
-    def __init__(self, cap: int):
-        self.cap = cap
+    def __init__(self, cap: int, keep_hours: float):
+        self.cap, self.keep_hours = cap, keep_hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int")
+        self.count = handle.getValueState("count", "n int", ttlDurationMs=max(1, int(self.keep_hours * 3_600_000)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["created_at", "id"])
@@ -67,10 +70,11 @@ class DailyCapProcessor(StatefulProcessor):
         pass
 
 
-def daily_cap(posts: DataFrame, cap: int = DAILY_CAP) -> DataFrame:
-    """The first ``cap`` posts of each day in order of arrival."""
+def daily_cap(posts: DataFrame, cap: int = DAILY_CAP, keep_hours: float = 48.0) -> DataFrame:
+    """The first ``cap`` posts of each day in order of arrival. A day's counter is kept ``keep_hours`` beyond its
+    last change; posts that come later still begin a new one."""
     rows = posts.select("id", "symbol", F.col("created_at").cast("timestamp").alias("created_at")).withColumn("day", F.to_date("created_at"))
-    return rows.groupBy("day").transformWithStateInPandas(DailyCapProcessor(cap), "id long, symbol string, created_at timestamp", "append", "none")
+    return rows.groupBy("day").transformWithStateInPandas(DailyCapProcessor(cap, keep_hours), "id long, symbol string, created_at timestamp", "append", "processingTime")
 
 
 def first_signatures(posts: DataFrame, delay: str = "48 hours") -> DataFrame:
@@ -78,23 +82,73 @@ def first_signatures(posts: DataFrame, delay: str = "48 hours") -> DataFrame:
     return posts.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["signature"])
 
 
-def keep_latest(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Maintain the newest snapshot row of each symbol (symbol, ts, ...) as a Parquet table at ``path``.
+def keep_latest(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, merge_every: int = 50) -> StreamingQuery:
+    """Maintain the newest snapshot row of each symbol (symbol, ts, ...) below ``path``; ``read_latest`` reads it.
 
-    Each batch is merged with the table's current version, written as the next one under its batch
-    number; readers take the highest number. A repeated batch writes its own number again.
+    A batch writes only its own symbols' newest rows, under its number; a repeated batch writes its own number
+    again. Every ``merge_every`` batches what there is becomes one table, and the batches in it are deleted
+    with the next merge, so that readers of the old state can end.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number > 0:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
-        row = F.struct(*batch.columns)
-        batch.groupBy("symbol").agg(F.max_by(row, F.col("ts")).alias("row")).select("row.*").write.mode("overwrite").parquet(f"{path}/version={number}")
+        newest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % merge_every == merge_every - 1:
+            had = _numbers(spark, path, "merged")
+            read_latest(spark, path, upto=number).write.mode("overwrite").parquet(f"{path}/merged={number}")
+            before = max((n for n in had if n < number), default=None)
+            if before is not None:
+                for kind in ("merged", "batch"):
+                    for n in _numbers(spark, path, kind):
+                        if n < before or (kind == "batch" and n == before):
+                            _folder(spark, f"{path}/{kind}={n}", delete=True)
 
     return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """Each symbol's row with the latest ts."""
+    return rows.groupBy("symbol").agg(F.max_by(F.struct(*rows.columns), F.col("ts")).alias("row")).select("row.*")
+
+
+def _folder(spark: SparkSession, path: str, delete: bool = False) -> list[str]:
+    """Names in a folder of any file system; none if it isn't there. ``delete``: it goes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    if delete:
+        system.delete(where, True)
+        return []
+    return [x.getPath().getName() for x in system.listStatus(where)]
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Of the finished tables of a kind."""
+    names = [n for n in _folder(spark, path) if n.startswith(f"{kind}=")]
+    return sorted(int(n.partition("=")[2]) for n in names if "_SUCCESS" in _folder(spark, f"{path}/{n}"))
+
+
+def read_latest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest row of each symbol that ``keep_latest`` has written: the last merged table and later batches."""
+    merged = [n for n in _numbers(spark, path, "merged") if upto is None or n < upto]
+    base = merged[-1] if merged else -1
+    batches = [n for n in _numbers(spark, path, "batch") if n > base and (upto is None or n <= upto)]
+    return newest(spark.read.parquet(*[f"{path}/merged={n}" for n in merged[-1:]], *[f"{path}/batch={n}" for n in batches]))
+
+
 def run_to_table(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append a stream to a Parquet table; the default trigger takes what has landed and stops."""
-    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)
+    """Append a stream to a Parquet table; the default trigger takes what has landed and stops.
+
+    State with a lifetime asks for batches without data for ever, so that it can end; a run that is to stop
+    goes without them.
+    """
+    spark, trigger = rows.sparkSession, trigger or {"availableNow": True}
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    if trigger.get("availableNow"):
+        spark.conf.set(name, "false")
+    try:
+        return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
+    finally:
+        spark.conf.set(name, before)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalmill.functions import text
-from signalmill.operators import filters, history, lookup, reports, research, routing, scoring, topics
+from signalmill.operators import filters, history, lookup, ordering, reports, research, routing, scoring, topics
 from signalmill.sources import feeds
 
 
@@ -178,13 +178,17 @@ def test_rankings(spark):
 
 
 def test_topics_and_lookups(spark):
-    dim = lookup.dimension(spark, lookup.TOPIC_ASSETS, "topic")
-    t = spark.createDataFrame([("ai",), ("DEFI",), ("MEME SEASON",), ("ZZZZ",), ("too long a topic name",)], "topic string")
+    dim = spark.createDataFrame([(0, "Robots", "R1"), (0, "Robots", "R2"), (1, "RoBo", "R3"), (2, "FUN", "F1")], "ord int, topic string, symbol string")
+    t = spark.createDataFrame([("robots",), (" RoBo ",), ("FUN SEASON",), (" zzzz",), ("Z9",), ("too long a topic name",)], "topic string")
     got = {r.topic: r.assets for r in lookup.assets_of_topics(t, dim).collect()}
-    assert "FET" in got["ai"] and "AAVE" in got["DEFI"] and "DOGE" in got["MEME SEASON"] and got["ZZZZ"] == ["ZZZZ"]
-    cats = lookup.dimension(spark, lookup.CATEGORY_ASSETS, "category")
-    rows = spark.createDataFrame([("NEAR",), ("ARB",), ("NONE",)], "symbol string")
-    assert {r.symbol: r.entry for r in lookup.first_entry(rows, cats, "category", "").collect()} == {"NEAR": "AI", "ARB": "AI", "NONE": ""}
+    assert got == {"robots": ["R1", "R2"], " RoBo ": ["R3"], "FUN SEASON": ["F1"], " zzzz": ["ZZZZ"], "Z9": [], "too long a topic name": []}
+    strict = {r.topic: r.assets for r in lookup.assets_of_topics(t, dim, strict_case=True).collect()}
+    assert strict["FUN SEASON"] == ["F1"] and strict["robots"] == ["ROBOTS"]
+    rows = spark.createDataFrame([("R1",), ("F1",), ("NONE",)], "symbol string")
+    assert {r.symbol: r.entry for r in lookup.first_entry(rows, dim, "topic", "").collect()} == {"R1": "Robots", "F1": "FUN", "NONE": ""}
+    titles = spark.createDataFrame([(1, "An airdrop again"), (2, "New AI: listing")], "ann_id long, title string")
+    assert {(r.ann_id, r.narrative) for r in lookup.narratives_in(titles, ("AI", "LISTING")).collect()} == {(1, "AI"), (2, "AI"), (2, "LISTING")}
+    assert {(r.ann_id, r.narrative) for r in lookup.narratives_in(titles, ("AI", "LISTING"), whole_words=True).collect()} == {(2, "AI"), (2, "LISTING")}
     only = topics.standing(spark)
     assert topics.top_trending(only, 3).count() == 3
     mixed = only.unionByName(only.limit(1).withColumns({"source": F.lit("market"), "topic": F.lit(" ai ")}))
@@ -201,6 +205,43 @@ def test_routing(spark):
     assert got == [("g1", "B", 1), ("g2", "R2", 1), ("g2", "R3", 2), ("g2", "R4", 3)]
 
 
+def test_upsert_of_every_metric(spark):
+    p = posts(spark, (1, "A", "2024-01-01T00:00:00"), (2, "A", "2024-01-02T00:00:00")).withColumn("views", F.lit(None).cast("long"))
+    p = p.withColumns({m: F.lit(7.0 if m == "reward" else 7) for m in reports.METRICS if m != "views"})
+    u = spark.createDataFrame([("a", 5, None, 3, 0, 2.5)], "symbol string, new_views long, new_likes int, new_comments int, new_shares int, new_reward double")
+    rows = {r.id: r.asDict() for r in reports.upsert_metrics(p, u).collect()}
+    assert {m: rows[2][m] for m in reports.METRICS} == {"views": 5, "likes": 7, "comments": 3, "shares": 0, "traders": 7, "reward": 2.5}
+    assert {rows[1][m] for m in reports.METRICS} == {None, 7}
+
+
+def test_ranks_and_neighbours_by_buckets(spark):
+    """Buckets give what one window would."""
+    rows = [(i % 3, (i * 7) % 11, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, a int, b int").repartition(5)
+    got = {(r.g, r.a, r.b): r.place for r in ordering.ranked(df, ["g"], {"x": F.floor(F.col("a") / 4)}, ["a", "b"], "place").collect()}
+    for g in range(3):
+        own = sorted(r for r in rows if r[0] == g)
+        assert [got[r] for r in own] == list(range(1, len(own) + 1))
+    for after in (False, True):
+        near = {(r.g, r.a, r.b): r.near for r in ordering.neighbour(df, "g", F.floor(F.col("a") / 5), ["a", "b"], "b", "near", after=after).collect()}
+        for g in range(3):
+            own = sorted(r for r in rows if r[0] == g)
+            want = [r[2] for r in own]
+            assert [near[r] for r in own] == ([*want[1:], None] if after else [None, *want[:-1]])
+
+
+def test_numbers_as_text(spark):
+    cases = [(1.25, 1, "1.3"), (-0.04, 1, "0.0"), (-0.05, 1, "-0.1"), (1234.5, 0, "1235"), (0.000001, 6, "0.000001"), (99.9999996, 6, "100.000000")]
+    assert [value(spark, text.fixed(F.lit(x), d)) for x, d, _ in cases] == [t for *_, t in cases]
+    assert [value(spark, text.clipped(F.lit(t).cast("string"), 3)) for t in ("abcd", "ab", None)] == ["abc", "ab", ""]
+
+
+def test_posts_within_hours(spark):
+    p = posts(spark, (1, "A", "2024-01-01T00:00:00"), (2, "B", "2024-01-01T12:00:00"), (3, "C", "2024-01-02T01:00:00"))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    assert [r.id for r in history.newest(p, 5, now, 24).collect()] == [2, 1] and [r.id for r in history.newest(p, 5, now, 12).collect()] == [2]
+
+
 def test_upsert_changes_only_given_columns(spark):
     p = posts(spark, (1, "A", "2024-01-01T00:00:00"), (2, "A", "2024-01-02T00:00:00"), (3, "B", "2024-01-02T00:00:00")).withColumns({"views": F.lit(None).cast("long"), "traders": F.lit(7).cast("long")})
     u = spark.createDataFrame([("A", 5, None)], "symbol string, new_views long, new_traders long")

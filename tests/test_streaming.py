@@ -23,7 +23,7 @@ def posts(spark, tmp_path_factory):
 
 def collected(spark, rows, tmp_path):
     q = streams.run_to_table(rows, str(tmp_path / "out"), str(tmp_path / "check"))
-    q.awaitTermination(180)
+    assert q.awaitTermination(180)
     return {r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
 
 
@@ -46,9 +46,21 @@ def test_first_signatures(spark, posts, tmp_path):
     assert len(collected(spark, streams.first_signatures(rows, "9999 hours"), tmp_path)) == 50
 
 
-def test_keep_latest(spark, posts, tmp_path):
+@pytest.mark.parametrize("merge_every", [50, 2, 1])
+def test_keep_latest(spark, posts, tmp_path, merge_every):
     df, path = posts
     rows = streams.landed(spark, path, SCHEMA, files_per_batch=1).withColumnRenamed("created_at", "ts")
-    streams.keep_latest(rows, str(tmp_path / "latest"), str(tmp_path / "check")).awaitTermination(180)
-    last = spark.read.parquet(str(tmp_path / "latest/version=3"))
+    streams.keep_latest(rows, str(tmp_path / "latest"), str(tmp_path / "check"), merge_every=merge_every).awaitTermination(180)
+    last = streams.read_latest(spark, str(tmp_path / "latest"))
     assert {(r.symbol, r.id) for r in last.collect()} == {(r.symbol, r.id) for r in df.groupBy("symbol").agg(F.max("id").alias("id")).collect()}
+    names = {p.name for p in (tmp_path / "latest").iterdir()}
+    assert ("merged=3" in names) == (merge_every < 50) and ("batch=0" in names) == (merge_every == 50)
+
+
+def test_state_ends(spark, posts, tmp_path):
+    """A cooldown's state goes after so much time by the clock; without state a symbol begins anew."""
+    df, path = posts
+    short = 0.2 / 3600
+    rows = streams.landed(spark, path, SCHEMA, files_per_batch=1)
+    got = collected(spark, streams.cooldown(rows, short), tmp_path)
+    assert got == set(range(400))
