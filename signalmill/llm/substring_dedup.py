@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from signalmill.llm.scratch import materialise
+from signalmill.llm.scratch import discard, materialise, written
 from signalmill.llm.words import LANES, U64, gram_hashes, mix, pieces, powers, split_words, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: Different phrases of an anchor that are parsed in one block, and bytes of phrases in a block.
-HOT, BLOCK = 1000, 4_000_000
+HOT, BLOCK = 1000, 2_000_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -253,12 +253,13 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """k1, k2, spans array<struct<start, windows>>: runs of repeated windows of each document."""
-    every = materialise(document_phrases(docs, window, gram), "phrases")
+    every, path = written(document_phrases(docs, window, gram), "phrases")
     shared = every.groupBy("anchor").agg(F.sum("seen").alias("twice"), F.count("*").alias("n")).where("twice > 1").select("anchor", "n")
     known = materialise(with_keys(every, materialise(shared, "anchors"), ["anchor"]), "known")
     index = materialise(
         known.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), F.min(F.struct("k1", "k2", "start", "windows")).alias("first")), "index"
     )
+    discard(docs.sparkSession, path)
     factors = with_keys(known, index.where("n > 1").select("anchor", "phrase", "n"), ["anchor", "phrase"]).select("k1", "k2", "start", "windows")
     variety = materialise(index.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("different", F.col("n")), "variety")
     open_ = with_keys(index.select("anchor", "first", F.col("n").alias("copies"), "seen"), variety, ["anchor"]).where("different > 1 or (copies = 1 and seen > 1)")

@@ -6,7 +6,6 @@ Words are maximal runs of bytes other than space and 0x09-0x0D. All arithmetic w
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +29,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0.. and base^-0.. modulo 2^64."""
-    n = 1 << log2
+#: Per base the longest powers so far, up to _CHUNK of them: a Python worker lives on between tasks.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0.. and base^-0.. modulo 2^64, n of each at least."""
+    held = _POWERS.get(base)
+    if held is not None and len(held[0]) >= n:
+        return held
+    size = 1 << max(10, int(n).bit_length())
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, dtype=U64)
+        p = np.full(size, b, dtype=U64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=U64))
+    if size <= _CHUNK << 1:
+        _POWERS[base] = (out[0], out[1])
     return out[0], out[1]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(10, int(n).bit_length()))
-
-
 @dataclass
 class Words:
     data: np.ndarray  # uint8
