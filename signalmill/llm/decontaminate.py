@@ -13,11 +13,13 @@ the words themselves, by exact containment of the item's shingles.
 
 Documents are scanned where they are and never shuffled. Items are sent to the tasks in blocks of at most
 ``block_shingles`` shingles, with one scan of the documents for each block, so what is broadcast has a
-fixed bound however many items there are; a single larger item makes a block of its own.
+fixed bound however many items there are; a single larger item makes a block of its own, so that one item
+should fit a task's memory several times. A benchmark of many blocks means as many scans.
 
 Null and empty items are never found; null and empty texts contain nothing. Repeated items count once;
-items with one id and different texts are items of their own. Repeated documents give repeated rows. An
-empty table on either side gives no rows.
+items with one id and different texts are items of their own. Repeated documents give repeated rows. Very long
+texts are searched whole; a task holds one of them at a time. Other columns are ignored, or go along in ``clean``,
+whatever their names. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalmill.llm.scratch import materialise
 from signalmill.llm.words import U64, Words, gram_hashes, lowered, pieces, split_words, word_hashes
 
 SHINGLE, THRESHOLD, BLOCK_SHINGLES = 5, 0.8, 1_000_000
@@ -110,7 +113,7 @@ class ItemBlock:
 
 def item_blocks(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float, block_shingles: int):
     """Broadcast blocks of items, one after the other."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = materialise(benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct(), "items")
     # Words, and so shingles, are fewer than bytes; items go to blocks by their bytes.
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (4 * block_shingles)))

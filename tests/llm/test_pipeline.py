@@ -110,6 +110,18 @@ def test_extra_clashing_columns(spark, tables):
     assert {r.kept for r in docs.select("kept").distinct().collect()} == {"kept"}
 
 
+def test_empty_tables(spark, tables, tmp_path):
+    read = lambda t: spark.read.parquet(f"{tables}/{t}.parquet")
+    for name, empty in (("no_docs", {"documents"}), ("no_guides", {"labels", "benchmark"})):
+        for t in ("documents", "labels", "benchmark"):
+            (read(t).limit(0) if t in empty else read(t)).write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/no_docs").collect() == []
+    docs, sf = read("documents"), f"{tmp_path}/no_guides"
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "benchmark_decontamination"):
+        assert Counter(map(str, stages[name](spark, docs, sf).collect())) == Counter(map(str, docs.collect())), name
+
+
 def test_all_queries_are_registered():
     got = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(got) and "pipeline" in got
