@@ -107,7 +107,7 @@ def document_phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def phrase_texts(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """The text of each phrase in spans (k1, k2, spans array<start, windows, anchor>)."""
+    """The text of each phrase in spans (k1, k2, spans array<start, windows, anchor, large>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +117,11 @@ def phrase_texts(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 first = w.doc_ptr[doc] + start
                 texts = [w.data[a:b].tobytes() for a, b in zip(w.starts[first].tolist(), w.ends[first + count + window - 2].tolist())]
                 own = pa.array(doc)
-                yield pa.record_batch([part.column(3).flatten().field(2), part.column(1).take(own), part.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(texts, pa.binary())], names=["anchor", "k1", "k2", "start", "words"])
+                anchor, large = (part.column(3).flatten().field(i) for i in (2, 3))
+                yield pa.record_batch([anchor, part.column(1).take(own), part.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(texts, pa.binary()), large], names=["anchor", "k1", "k2", "start", "words", "large"])
 
     joined = keyed(docs).select("text", "k1", "k2").join(spans, ["k1", "k2"]).select("text", "k1", "k2", "spans")
-    return joined.mapInArrow(run, "anchor long, k1 long, k2 int, start int, words binary")
+    return joined.mapInArrow(run, "anchor long, k1 long, k2 int, start int, words binary, large boolean")
 
 
 def once(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -264,13 +265,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     variety = materialise(index.groupBy("anchor").agg(F.count("*").alias("n")).withColumn("different", F.col("n")), "variety")
     open_ = with_keys(index.select("anchor", "first", F.col("n").alias("copies"), "seen"), variety, ["anchor"]).where("different > 1 or (copies = 1 and seen > 1)")
 
-    def texts(rows: DataFrame) -> DataFrame:
-        by_document = rows.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("first.start", "first.windows", "anchor")).alias("spans"))
-        return phrase_texts(docs, by_document, window)
-
-    spans = factors.union(factored(texts(open_.where(F.col("different") <= hot)), window))
-    if not variety.where(F.col("different") > hot).isEmpty():
-        single = materialise(single_windows(texts(open_.where(F.col("different") > hot)), window), "windows")
+    large = (F.col("different") > hot).alias("large")
+    texts = phrase_texts(docs, open_.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("first.start", "first.windows", "anchor", large)).alias("spans")), window)
+    any_large = not variety.where(F.col("different") > hot).isEmpty()
+    if any_large:  # else they are read once
+        texts = materialise(texts, "texts")
+    spans = factors.union(factored(texts.where("not large").drop("large"), window))
+    if any_large:
+        single = materialise(single_windows(texts.where("large").drop("large"), window), "windows")
         twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
         spans = spans.union(with_keys(single, materialise(twice, "twice"), ["w1", "w2"]).select("k1", "k2", "start", F.lit(1).alias("windows")))
     # A set: rows that repeat id and text have the same spans.
