@@ -227,6 +227,39 @@ def history_audit(spark, sf):
     return history.audit(_history_log(spark, sf), valid)
 
 
+@query("select symbol, count(*) as n, max(created_at) as last_at from v_post group by symbol")
+def history_append(spark, sf):
+    """Posts added to a log in two writes, and read again."""
+    posts = view(spark, sf, "v_post").select(
+        "id", "symbol", F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"), F.col("catalyst_type").alias("catalyst"), F.lit("x").alias("link"),
+        F.lit(None).cast("string").alias("image_url"), F.lit("m").alias("media_id"),
+    )
+    path = f"{landing.landing_dir(spark)}/log"
+    for part in (posts.where("id % 3 = 0"), posts.where("id % 3 <> 0")):
+        feeds.append_history(part, path)
+    kept = history.clean_history(feeds.read_history(spark, path))
+    return kept.groupBy("symbol").agg(F.count("*").alias("n"), F.max("created_at").cast("timestamp_ntz").alias("last_at"))
+
+
+@query("""
+    select symbol, coalesce(not (catalyst in ('new_listing', 'launchpool', 'megadrop', 'airdrop', 'delisting')) and hours_ago < 24, false) as blocked
+    from (select symbol, coalesce(catalyst, 'market_move') as catalyst, hours_ago from $rich)""")
+def cooldown_flags(spark, sf):
+    flag = history.blocked(F.coalesce("catalyst", F.lit("market_move")), F.col("hours_ago"))
+    return rich(spark, sf).select("symbol", F.coalesce(flag, F.lit(False)).alias("blocked"))
+
+
+@query(r"""
+    select symbol, regexp_replace(regexp_replace(cast(cast(pk / 8 as decimal(38, 6)) as varchar), '0+$', ''), '\.$', '') as plain,
+      case when pk % 2 = 0 then concat(chr(36), format('{:,.1f}', (pk + 10) / 10), 'B') else concat(chr(36), format('{:,.1f}', (pk % 9000 + 10) / 10), 'M') end as cap, case when pk / 16 < 100 then format('{:,.4f}', pk / 16) else format('{:,.2f}', pk // 1 * 1e0) end as price
+    from v_coin""")
+def shown_numbers(spark, sf):
+    pk = F.col("pk")
+    cap = F.when(pk % 2 == 0, (pk + 10) * 1e8).otherwise((pk % 9000 + 10) * 1e5)
+    price = F.when(pk / 16 < 100, pk / 16).otherwise(pk.cast("double"))
+    return view(spark, sf, "v_coin").select("symbol", text.plain_number(pk / 8).alias("plain"), text.compact_cap(cap).alias("cap"), text.shown_price(price).alias("price"))
+
+
 @query(f"select id, symbol, created_at, image_url from (select id, symbol, created_at, case when id % 2 = 0 then '' else concat('img/', cast(id as varchar)) end as image_url from v_post)")
 def history_reconciled(spark, sf):
     posts = view(spark, sf, "v_post").select("id", "symbol", "created_at")
@@ -936,7 +969,7 @@ def artifact_table(spark, sf):
     rows = view(spark, sf, "v_post").select("id", "content", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.when(F.col("id") % 10 == 0, "rejected").otherwise("published").alias("status"))
     path = f"{landing.landing_dir(spark)}/artifacts"
     feeds.write_artifacts(rows, path)
-    kept = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
+    kept = spark.read.parquet(path)
     return kept.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
