@@ -34,9 +34,9 @@ from signalmill.llm.scratch import materialise
 from signalmill.llm.words import SEPARATORS, buffers, pieces
 
 WINDOW, END_ID, SHARDS = 4096, 2, 64
-_PIECE = 4_000_000  # bytes of text at a time
+_PIECE = 2_000_000  # bytes of text at a time
 #: Bounds of what a task keeps of known units: their bytes and 128 for each.
-_CACHE_BYTES, _UNIT_BYTES = 64 << 20, 128
+_CACHE_BYTES, _UNIT_BYTES = 48 << 20, 128
 #: What the tokenizer's pre-tokeniser makes of a byte: letters and punctuation form runs, digits stand alone.
 _LETTER, _MARK, _DIGIT, _HARD = 1, 2, 3, 4
 _KINDS = np.full(256, _HARD, np.uint8)
