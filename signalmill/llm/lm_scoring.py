@@ -5,7 +5,7 @@ table for each place, are added and passed through tanh, and a two-level softmax
 its class, then its place in the class. A document's pseudo-log-likelihood is the sum of the conditional
 log-probabilities of its words; its score is the mean.
 
-The vocabulary holds the most frequent words of all documents, counted by Spark, as many as the square root of
+The vocabulary holds the most frequent words of all documents, counted by Spark, half as many as the square root of
 the documents' number of words, 960 at least and 262,080 at most, so the network grows with the corpus;
 other words share ``unknown`` tokens by their hash. Every row trains the network once; as in masked
 language models a share of its words is masked in the pass, each predicted from all words around it. Training is
@@ -38,8 +38,6 @@ CLASSES, WIDTH, REACH, UNKNOWN = 32, 24, 2, 64
 VOCABULARY, BLOCK = CLASSES * CLASSES, 8192
 #: The largest vocabulary: what is broadcast, 100 MB of parameters at most, must be bounded.
 LARGEST = 1 << 18
-#: Groups of tasks whose parameters are averaged first.
-GROUPS = 32
 #: Share of the words that are masked in a pass.
 MASKED = 0.25
 #: Bound of every parameter: an output is within (WIDTH + 1) * LIMIT = 75, and its exponential is a float32.
@@ -60,7 +58,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary_size(words: int) -> int:
     """For a corpus of so many words; a network rounds it up to a square."""
-    return min(LARGEST, max(VOCABULARY, math.isqrt(words)))
+    return min(LARGEST, max(VOCABULARY, math.isqrt(words) // 2))
 
 
 class Network:
@@ -194,10 +192,8 @@ def train(docs: DataFrame, parts: int = 2, rate: float = 6.0) -> Network:
             yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["i", "value", "words"])
 
         share = docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)), F.lit(0)) == part).select("text")
-        # Averages of some tasks' parameters first, so that no task reads those of all tasks.
         parameters = "i int, value binary, words long"
-        some = share.mapInArrow(run, parameters).groupBy("i", (F.spark_partition_id() % GROUPS).alias("group")).applyInArrow(average, parameters)
-        rows = some.groupBy("i").applyInArrow(average, parameters).collect()  # the network's parameters
+        rows = share.mapInArrow(run, parameters).groupBy("i").applyInArrow(average, parameters).collect()  # the network's parameters
         if rows:
             net = Network(net.known, np.concatenate([np.frombuffer(r.value, np.float32) for r in sorted(rows, key=lambda r: r.i)]))
     return net

@@ -137,7 +137,7 @@ def test_one_step_is_the_gradient(small):
 
 def test_vocabulary_follows_the_corpus():
     assert lm_scoring.vocabulary_size(0) == lm_scoring.VOCABULARY
-    assert lm_scoring.vocabulary_size(10**10) == 100_000 and lm_scoring.vocabulary_size(10**16) == lm_scoring.LARGEST
+    assert lm_scoring.vocabulary_size(10**10) == 50_000 and lm_scoring.vocabulary_size(10**16) == lm_scoring.LARGEST
     net = Network(np.arange(3000, dtype=np.uint64))
     assert net.vocabulary >= 3000 + lm_scoring.UNKNOWN and len(set(net.tokens(net.known))) == 3000
     context = np.array([3, 5, 1000, 7, net.vocabulary - 1])
