@@ -5,14 +5,15 @@ table for each place, are added and passed through tanh, and a two-level softmax
 its class, then its place in the class. A document's pseudo-log-likelihood is the sum of the conditional
 log-probabilities of its words; its score is the mean.
 
-The vocabulary holds the most frequent words of all documents, counted by Spark, half as many as the square root of
+The vocabulary holds the most frequent words of all documents, counted by Spark, as many as the square root of
 the documents' number of words, 960 at least and 262,080 at most, so the network grows with the corpus;
-other words share ``unknown`` tokens by their hash. Every row trains the network once; as in masked
-language models a share of its words is masked in the pass, each predicted from all words around it. Training is
-data-parallel: each task runs stochastic gradient descent in numpy on its own rows, by steps that grow
+other words share ``unknown`` tokens by their hash. Every row trains the network once: each of its words in turn is
+masked and predicted from all words around it. Training is data-parallel: as many tasks as the cluster has cores
+stream through the rows, each running stochastic gradient descent in numpy on its own, by steps that grow
 with the words it has seen; the tasks' parameters are averaged by a Spark aggregation weighted by words,
-and the next part of the rows starts from the average. So the parameters, and by them the scores, hang a
-little on how Spark deals the rows to tasks; for a fixed network scores are exact and repeatable.
+and the next part of the rows starts from the average. What is shuffled is cores times parameters, whatever the
+number of rows. The parameters, and by them the scores, hang a little on how Spark deals the rows to tasks;
+for a fixed network scores are exact and repeatable.
 
 Null and empty texts: no words, sum 0 and mean 0. Null ids train with the first part and are scored like
 others. Very long texts are worked through in steps; a task holds one such text at a time. Repeated rows
@@ -38,8 +39,8 @@ CLASSES, WIDTH, REACH, UNKNOWN = 32, 24, 2, 64
 VOCABULARY, BLOCK = CLASSES * CLASSES, 8192
 #: The largest vocabulary: what is broadcast, 100 MB of parameters at most, must be bounded.
 LARGEST = 1 << 18
-#: Share of the words that are masked in a pass.
-MASKED = 0.25
+#: Rows of outputs that fit a core's cache.
+CACHED = 1024
 #: Bound of every parameter: an output is within (WIDTH + 1) * LIMIT = 75, and its exponential is a float32.
 LIMIT = 3.0
 
@@ -58,7 +59,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary_size(words: int) -> int:
     """For a corpus of so many words; a network rounds it up to a square."""
-    return min(LARGEST, max(VOCABULARY, math.isqrt(words) // 2))
+    return min(LARGEST, max(VOCABULARY, math.isqrt(words)))
 
 
 class Network:
@@ -84,19 +85,21 @@ class Network:
         place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         return np.where(self.known[place] == h, place + UNKNOWN, (h % U64(UNKNOWN)).astype(np.int64))
 
-    def contexts(self, tokens: np.ndarray, doc_ptr: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Tokens around each of the words ``at``; the vocabulary's size stands for a place outside the text."""
-        doc = np.searchsorted(doc_ptr, at, side="right") - 1
-        first, last = doc_ptr[doc], doc_ptr[doc + 1]
-        out = np.full((2 * REACH, len(at)), self.vocabulary)
-        for i, d in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-            other = at + d
-            fine = (other >= first) & (other < last)
-            out[i, fine] = tokens[other[fine]]
+    def contexts(self, tokens: np.ndarray, doc_ptr: np.ndarray) -> np.ndarray:
+        """Tokens around each word, a row for each place; the vocabulary's size stands for a place outside the text."""
+        doc = np.repeat(np.arange(len(doc_ptr) - 1, dtype=np.int32), np.diff(doc_ptr))
+        out = np.full((2 * REACH, len(tokens)), self.vocabulary)
+        for i, d in enumerate(range(1, REACH + 1)):
+            same = doc[d:] == doc[:-d]
+            np.copyto(out[REACH - d, d:], tokens[:-d], where=same)
+            np.copyto(out[REACH + i, :-d], tokens[d:], where=same)
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.embed[i][context[i]] for i in range(2 * REACH)))
+        x = self.embed[0].take(context[0], axis=0)
+        for i in range(1, 2 * REACH):
+            x += self.embed[i].take(context[i], axis=0)
+        return np.tanh(x, out=x)
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order of the targets by class, and where each class begins in it."""
@@ -108,14 +111,18 @@ class Network:
 
     def log_probabilities(self, tokens: np.ndarray, doc_ptr: np.ndarray, step: int = 32768) -> np.ndarray:
         out = np.empty(len(tokens), np.float64)
-        ones = np.ones(self.classes, np.float32)
+        ones, around = np.ones(self.classes, np.float32), self.contexts(tokens, doc_ptr)
         for a in range(0, len(tokens), step):
             b = min(len(tokens), a + step)
             order, cut = self.by_class(tokens[a:b])
-            y, x = tokens[a:b][order], self.hidden(self.contexts(tokens, doc_ptr, a + order))
-            across = np.arange(b - a)
-            z = x @ self.w1 + self.b1
-            p = z[across, y // self.classes] - np.log(np.exp(z) @ ones)
+            y, x = tokens[a:b][order], self.hidden(around[:, a + order])
+            across, own, p = np.arange(b - a), y // self.classes, np.empty(b - a, np.float32)
+            for i in range(0, b - a, CACHED):
+                j = min(b - a, i + CACHED)
+                z = x[i:j] @ self.w1
+                z += self.b1
+                p[i:j] = z[across[: j - i], own[i:j]]
+                p[i:j] -= np.log(np.exp(z, out=z) @ ones)
             for c in np.flatnonzero(np.diff(cut)):
                 i, j = cut[c], cut[c + 1]
                 z = x[i:j] @ self.w2[c] + self.b2[c]
@@ -124,31 +131,34 @@ class Network:
             out[a + order] = p
         return out
 
-    def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float, masked: float = MASKED) -> None:
-        """One pass of gradient descent, by steps of 256 masked words that grow to 8192: a share of the words,
-        drawn anew for each text, is predicted from all words around them."""
-        b, across, ones = 0, np.arange(WIDTH), np.ones(self.classes, np.float32)
-        targets = np.flatnonzero(np.random.default_rng(self.seen).random(len(tokens)) < masked)
-        while b < len(targets):
+    def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float) -> None:
+        """One pass of gradient descent, by steps of 256 words that grow to 8192: every word is predicted once from
+        all words around it."""
+        b, across, ones, around = 0, np.arange(WIDTH), np.ones(self.classes, np.float32), self.contexts(tokens, doc_ptr)
+        while b < len(tokens):
             step = min(8192, max(256, self.seen // 32))
-            a, b = b, min(len(targets), b + step)
+            a, b = b, min(len(tokens), b + step)
             self.seen += b - a
-            order, cut = self.by_class(tokens[targets[a:b]])
-            at = targets[a:b][order]
-            context, y, every = self.contexts(tokens, doc_ptr, at), tokens[at], np.arange(b - a)
+            order, cut = self.by_class(tokens[a:b])
+            at = a + order
+            context, y, every = around[:, at], tokens[at], np.arange(b - a)
             x = self.hidden(context)
-            z = x @ self.w1 + self.b1
-            np.exp(z, out=z)
-            z /= (z @ ones)[:, None]
-            z[every, y // self.classes] -= 1
-            dx = z @ self.w1.T
+            own, dx, dw1, db1 = y // self.classes, np.empty_like(x), 0, 0
+            for i in range(0, b - a, CACHED):
+                j = min(b - a, i + CACHED)
+                z = x[i:j] @ self.w1
+                z += self.b1
+                np.exp(z, out=z)
+                z *= (1 / (z @ ones))[:, None]
+                z[every[: j - i], own[i:j]] -= 1
+                np.matmul(z, self.w1.T, out=dx[i:j])
+                dw1, db1 = dw1 + x[i:j].T @ z, db1 + z.sum(axis=0)
             grow = np.float32(rate / step)
-            dw1, db1 = x.T @ z, z.sum(axis=0)
             for c in np.flatnonzero(np.diff(cut)):
                 i, j = cut[c], cut[c + 1]
                 z2 = x[i:j] @ self.w2[c] + self.b2[c]
                 np.exp(z2, out=z2)
-                z2 /= (z2 @ ones)[:, None]
+                z2 *= (1 / (z2 @ ones))[:, None]
                 z2[every[: j - i], y[i:j] % self.classes] -= 1
                 dx[i:j] += z2 @ self.w2[c].T
                 self.w2[c] -= grow * 8 * (x[i:j].T @ z2)
@@ -191,9 +201,10 @@ def train(docs: DataFrame, parts: int = 2, rate: float = 6.0) -> Network:
                     total, words = total + np.frombuffer(value.as_buffer(), np.float32).astype(np.float64) * n, words + n
             yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["i", "value", "words"])
 
+        # Neighbouring splits go to one task, without a shuffle.
         share = docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)), F.lit(0)) == part).select("text")
         parameters = "i int, value binary, words long"
-        rows = share.mapInArrow(run, parameters).groupBy("i").applyInArrow(average, parameters).collect()  # the network's parameters
+        rows = share.coalesce(max(2, sc.defaultParallelism)).mapInArrow(run, parameters).groupBy("i").applyInArrow(average, parameters).collect()  # the network's parameters
         if rows:
             net = Network(net.known, np.concatenate([np.frombuffer(r.value, np.float32) for r in sorted(rows, key=lambda r: r.i)]))
     return net

@@ -118,7 +118,7 @@ def test_one_step_is_the_gradient(small):
     net, tokens, doc_ptr = small
     before = net.flat.astype(np.float64)
     after = Network(net.known, net.flat.copy())
-    after.train(tokens, doc_ptr, 0.5, 1.0)
+    after.train(tokens, doc_ptr, 0.5)
     moved = after.flat.astype(np.float64) - before
     n_embed, n1 = net.embed.size, net.w1.size + net.b1.size
     rng = np.random.default_rng(4)
@@ -135,9 +135,22 @@ def test_one_step_is_the_gradient(small):
     assert after.log_probabilities(tokens, doc_ptr).sum() > net.log_probabilities(tokens, doc_ptr).sum()
 
 
+@pytest.mark.parametrize("seen", [0, 10**6])
+def test_every_word_is_a_target_once(small, monkeypatch, seen):
+    """With the settings that queries use."""
+    _, _, doc_ptr = small
+    net, targets = Network(np.zeros(0, np.uint64)), []
+    net.seen = seen
+    tokens = np.random.default_rng(5).integers(0, 1024, 20_000)
+    by_class = net.by_class
+    monkeypatch.setattr(net, "by_class", lambda target: targets.extend(target.tolist()) or by_class(target))
+    net.train(tokens, np.array([0, 300, 300, 20_000]), lm_scoring.train.__defaults__[1])
+    assert targets == tokens.tolist() and net.seen == seen + len(tokens)
+
+
 def test_vocabulary_follows_the_corpus():
     assert lm_scoring.vocabulary_size(0) == lm_scoring.VOCABULARY
-    assert lm_scoring.vocabulary_size(10**10) == 50_000 and lm_scoring.vocabulary_size(10**16) == lm_scoring.LARGEST
+    assert lm_scoring.vocabulary_size(10**10) == 100_000 and lm_scoring.vocabulary_size(10**16) == lm_scoring.LARGEST
     net = Network(np.arange(3000, dtype=np.uint64))
     assert net.vocabulary >= 3000 + lm_scoring.UNKNOWN and len(set(net.tokens(net.known))) == 3000
     context = np.array([3, 5, 1000, 7, net.vocabulary - 1])
