@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,62 +21,151 @@ def landed(spark: SparkSession, path: str, schema: StructType | str, kind: str =
     return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
-class CooldownProcessor(StatefulProcessor):
-    """Per symbol the last admitted time. It goes when so much time as the cooldown has passed since it was
-    written, by the clock of the machine, so symbols that are quiet leave no state."""
+class InOrder(StatefulProcessor):
+    """Rules that decide the posts of a key one after the other in the order of (at, id), whatever batches they come
+    in: posts wait in the state until the watermark has passed them, since nothing earlier can come then. ``at`` is in
+    microseconds. Time is that of the posts alone, never the machine's; a timer wakes a key when its next post is due or
+    when nothing that it remembers can matter any more. Posts behind the watermark are left out."""
 
-    def __init__(self, hours: float):
-        self.hours = hours
+    waiting_schema = "at long, id long, symbol string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp", ttlDurationMs=max(1, int(self.hours * 3_600_000)))
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # What a micro-batch has of one symbol, bounded by the files that it takes.
-        pdf = pd.concat(list(rows)).sort_values(["created_at", "id"])
-        times = pdf.created_at.to_numpy("datetime64[us]").astype("int64")
-        last = int(pd.Timestamp(self.last.get()[0]).to_datetime64().astype("datetime64[us]").astype("int64")) if self.last.exists() else None
-        ok, last = admit(times, last, micros(self.hours))
-        if last is not None:
-            self.last.update((pd.Timestamp(last, unit="us").to_pydatetime(),))
-        yield pdf[ok][["id", "symbol", "created_at"]]
+        mark = self.mark(timerValues)
+        new = [x for pdf in rows for x in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["symbol"].tolist()) if x[0] > mark and x[1] == x[1]]
+        return self.settle(key, mark, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self.settle(key, self.mark(timerValues), [])
+
+    @staticmethod
+    def mark(timerValues) -> int:
+        """The watermark in microseconds."""
+        return timerValues.getCurrentWatermarkInMs() * 1000
+
+    def settle(self, key, mark: int, new: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Decide what the watermark has passed and say when to go on."""
+        rows = sorted([*(self.waiting.get() if self.waiting.exists() else ()), *new], key=lambda x: x[:2])
+        due = sum(x[0] <= mark for x in rows)
+        admitted, left, ends = self.decide(key, rows[:due], rows[due:], mark)
+        if left:
+            self.waiting.put([(int(a), int(i), s) for a, i, s in left])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        times = {-(-at // 1000) for at in [*(x[0] for x in left[:1]), *ends]}
+        for at in times - set(self.handle.listTimers()):
+            self.handle.registerTimer(at)
+        if admitted:
+            yield pd.DataFrame({"id": [int(x[1]) for x in admitted], "symbol": [x[2] for x in admitted], "at": [int(x[0]) for x in admitted]})
+
+    def decide(self, key, due: list[tuple], later: list[tuple], mark: int) -> tuple[list[tuple], list[tuple], list[int]]:
+        """Which of the posts that are due are admitted, which of the later ones still wait, and when state ends."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def cooldown(posts: DataFrame, hours: float = SOFT_HOURS) -> DataFrame:
-    """Posts (id, symbol, created_at) that each symbol's cooldown admits, across batches and runs. Needs
-    the RocksDB state store."""
-    rows = posts.select("id", "symbol", F.col("created_at").cast("timestamp").alias("created_at"))
-    return rows.groupBy("symbol").transformWithStateInPandas(CooldownProcessor(hours), "id long, symbol string, created_at timestamp", "append", "processingTime")
+OUT = "id long, symbol string, at long"
+
+
+def in_order(rows: DataFrame, key: str, rule: InOrder, delay: str) -> DataFrame:
+    """Run a rule per key over rows (id, symbol, at, and the key); needs the RocksDB state store."""
+    timed = rows.withColumn("created_at", F.timestamp_micros("at")).withWatermark("created_at", delay)
+    out = timed.groupBy(key).transformWithStateInPandas(rule, OUT, "append", "eventTime")
+    return out.select("id", "symbol", F.timestamp_micros("at").alias("created_at"))
+
+
+def _timed(posts: DataFrame) -> DataFrame:
+    return posts.select("id", "symbol", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).where("at is not null")
 
 
-class DailyCapProcessor(StatefulProcessor):
-    """Per day how many posts have been admitted; it goes when nothing has come for ``keep_hours``."""
+class Cooldown(InOrder):
+    """Per symbol the last admitted time; it goes when the watermark has passed the end of its cooldown."""
 
-    def __init__(self, cap: int, keep_hours: float):
-        self.cap, self.keep_hours = cap, keep_hours
+    def __init__(self, hours: float):
+        self.gap = micros(hours)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int", ttlDurationMs=max(1, int(self.keep_hours * 3_600_000)))
+        super().init(handle)
+        self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["created_at", "id"])
-        used = self.count.get()[0] if self.count.exists() else 0
-        out = pdf.head(max(0, self.cap - used))
-        self.count.update((used + len(out),))
-        yield out[["id", "symbol", "created_at"]]
+    def decide(self, key, due, later, mark):
+        if key[0] is None:
+            return [], [], []
+        last = self.last.get()[0] if self.last.exists() else None
+        ok, last = admit(np.array([x[0] for x in due], dtype=np.int64), last, self.gap)
+        if last is not None and last + self.gap > mark:
+            self.last.update((int(last),))
+            return [x for x, fine in zip(due, ok) if fine], later, [last + self.gap]
+        self.last.clear()
+        return [x for x, fine in zip(due, ok) if fine], later, []
 
-    def close(self) -> None:
-        pass
+
+def cooldown(posts: DataFrame, hours: float = SOFT_HOURS, delay: str = "1 hour") -> DataFrame:
+    """Posts (id, symbol, created_at) that each symbol's cooldown admits, across batches and runs: the same ones as
+    ``sequential_cooldown`` for any files, batches and pauses, as long as no post comes later than ``delay`` behind the
+    latest. A post comes out when the watermark has passed it. Rows without an id only move the watermark on; rows
+    without symbol or time are left out."""
+    return in_order(_timed(posts), "symbol", Cooldown(hours), delay)
 
 
-def daily_cap(posts: DataFrame, cap: int = DAILY_CAP, keep_hours: float = 48.0) -> DataFrame:
-    """The first ``cap`` posts of each day in order of arrival. A day's counter is kept ``keep_hours`` beyond its
-    last change; posts that come later still begin a new one."""
-    rows = posts.select("id", "symbol", F.col("created_at").cast("timestamp").alias("created_at")).withColumn("day", F.to_date("created_at"))
-    return rows.groupBy("day").transformWithStateInPandas(DailyCapProcessor(cap, keep_hours), "id long, symbol string, created_at timestamp", "append", "processingTime")
+DAY = 86_400_000_000
+
+
+class DailyCap(InOrder):
+    """Per day how many posts have been sent, and of the waiting ones no more than may still follow. All of it goes
+    when the watermark has passed the day's end; what comes for the day after that is behind the watermark, so that
+    no day counts anew."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sent = handle.getValueState("sent", "n int")
+
+    def decide(self, key, due, later, mark):
+        if key[0] < 0:
+            return [], [], []
+        used, end = self.sent.get()[0] if self.sent.exists() else 0, (int(key[0]) + 1) * DAY
+        out = due[: max(0, self.cap - used)]
+        used += len(out)
+        if mark >= end:
+            self.sent.clear()
+            return out, [], []
+        self.sent.update((used,))
+        return out, later[: max(0, self.cap - used)], [end]
+
+
+def first_of_days(rows: DataFrame, cap: int) -> DataFrame:
+    """Each task's first ``cap`` rows of a day (day, id, symbol, at), so that no more of a day than tasks times cap
+    reach its key; a task holds its days' rows. Of the rows of day -1 the last one is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            both = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            both = both.sort_by([("day", "ascending"), ("at", "ascending"), ("id", "ascending")])
+            day = both["day"].to_numpy()
+            place, after = np.arange(len(day)) - np.searchsorted(day, day), np.searchsorted(day, day, side="right") - np.arange(len(day))
+            held = both.filter(pa.array(np.where(day < 0, after == 1, place < cap))).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def daily_cap(posts: DataFrame, cap: int = DAILY_CAP, delay: str = "1 hour") -> DataFrame:
+    """The first ``cap`` posts of each UTC day by (created_at, id), across batches and runs: the same ones as ``within_cap``
+    for any files, batches and pauses, as long as no post comes later than ``delay`` behind the latest. A post comes out
+    when the watermark has passed it. Rows without an id only move the watermark on; rows without a time are left out."""
+    day = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor(F.col("at") / F.lit(DAY))).cast("long")
+    rows = _timed(posts).select(day.alias("day"), "id", "symbol", "at")
+    return in_order(first_of_days(rows, cap), "day", DailyCap(cap), delay)
 
 
 def first_signatures(posts: DataFrame, delay: str = "48 hours") -> DataFrame:
@@ -137,18 +228,17 @@ def read_latest(spark: SparkSession, path: str, upto: int | None = None) -> Data
     return newest(spark.read.parquet(*[f"{path}/merged={n}" for n in merged[-1:]], *[f"{path}/batch={n}" for n in batches]))
 
 
-def run_to_table(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append a stream to a Parquet table; the default trigger takes what has landed and stops.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    State with a lifetime asks for batches without data for ever, so that it can end; a run that is to stop
-    goes without them.
-    """
-    spark, trigger = rows.sparkSession, trigger or {"availableNow": True}
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(name)
-    if trigger.get("availableNow"):
-        spark.conf.set(name, "false")
+
+def run_to_table(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to a Parquet table; the default trigger takes what has landed and stops. State is kept in
+    RocksDB."""
+    spark = rows.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
+        return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(STATE_STORE, before)
