@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import clamp
@@ -75,6 +75,22 @@ def enriched(assets: DataFrame, catalysts: DataFrame, ages: DataFrame, listed: D
     )
 
 
+#: What the reject cascade may say.
+OUTCOMES = (
+    "passed", "empty symbol", "price too low", "market cap too low", "extreme move", "liquidity too low", "high risk", "no catalyst", "hard cooldown", "soft cooldown", "weak move in cooldown",
+    "not listed", "top symbol without reason",
+)
+
+
+def write_candidates(assets: DataFrame, path: str, top: tuple = TOP_FIVE) -> dict[str, int]:
+    """Write the assets that no rule rejects. How many came to which end is observed in the same pass."""
+    seen = Observation("funnel")
+    outcome = F.coalesce("reason", F.lit("passed"))
+    judged = assets.withColumn("reason", reject_reason(top=top)).observe(seen, *[F.count_if(outcome == o).alias(o) for o in OUTCOMES])
+    judged.where("reason is null").drop("reason").write.parquet(path)
+    return {o: n for o, n in seen.get.items() if n}
+
+
 def large_groups(rows: DataFrame, group: str, least: int = 3) -> DataFrame:
     """Rows of the groups with enough of them: counted first, then joined."""
     big = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(group)

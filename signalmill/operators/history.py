@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from signalmill.functions.numbers import hours_between
@@ -30,8 +30,18 @@ def clean_history(lines: DataFrame) -> DataFrame:
     )
 
 
-def audit(lines: DataFrame, valid: Column) -> DataFrame:
-    return lines.agg(F.count_if(F.coalesce(valid, F.lit(False))).alias("n_valid"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("n_corrupt"))
+def is_valid() -> Column:
+    """Whether a line has a symbol and a readable time."""
+    return F.coalesce((symbol_of("symbol") != "") & F.try_to_timestamp("timestamp").isNotNull(), F.lit(False))
+
+
+def write_clean(lines: DataFrame, path: str) -> dict[str, int]:
+    """Write the valid lines of a history as a table. Their number and that of the others come with the writing: they are
+    observed as the lines pass, so the lines are read once."""
+    seen = Observation("audit")
+    counted = lines.observe(seen, F.count_if(is_valid()).alias("n_valid"), F.count_if(~is_valid()).alias("n_corrupt"))
+    clean_history(counted).write.parquet(path)
+    return seen.get
 
 
 def hours_since(posts: DataFrame, as_of: Column) -> DataFrame:

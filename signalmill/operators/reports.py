@@ -51,15 +51,27 @@ def post_features(posts: DataFrame) -> DataFrame:
     })
 
 
+#: Sections of the insights: the column that each groups by, how many values it shows, and whether empty ones count.
+SECTIONS = (("catalyst", "catalyst_type", 5, True), ("narrative", "narrative", 5, False), ("hook", "hook_style", 5, False), ("hour", "hour", 3, True))
+
+
 def insights(featured: DataFrame) -> DataFrame:
-    """The reports as rows (section, key, n, value); sections come in one pass each over the same rows."""
-    row = lambda df, section, key, value: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col("n_posts").alias("n"), value.cast("double").alias("value"))
-    none = F.lit(None)
-    words = featured.agg(F.count("*").alias("n_posts"), F.avg("word_count").alias("v")).withColumn("key", F.lit("all"))
-    return (
-        row(usage(featured, "catalyst_type"), "catalyst", "catalyst_type", F.col("avg_views")).unionByName(row(counts(featured, "narrative"), "narrative", "narrative", none))
-        .unionByName(row(counts(featured, "hook_style"), "hook", "hook_style", none)).unionByName(row(words, "words", "key", F.col("v"))).unionByName(row(posting_hours(featured), "hour", "hour", none))
-    )
+    """The reports as rows (section, key, n, value): one scan and one aggregation over grouping sets, one for each section
+    and one for all posts, of whose groups each section shows its largest."""
+    rows = featured.select("catalyst_type", "narrative", "hook_style", F.hour("created_at").alias("hour"), "views", "word_count")
+    keys = [column for _, column, _, _ in SECTIONS]
+    sets = rows.groupingSets([[F.col(k)] for k in keys] + [[]], *keys)
+    found = sets.agg(F.grouping_id(*keys).alias("bits"), F.count("*").alias("n"), F.avg("views").alias("views"), F.avg("word_count").alias("words"))
+    # A section's set has all bits but its own column's.
+    section, key, limit, value, counts = F.lit("words"), F.lit("all"), F.lit(1), F.col("words"), F.lit(True)
+    for i, (name, column, n, empty) in enumerate(SECTIONS):
+        own = F.col("bits") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
+        section, key, limit = (F.when(own, x).otherwise(rest) for x, rest in ((F.lit(name), section), (F.col(column).cast("string"), key), (F.lit(n), limit)))
+        value = F.when(own, F.col("views") if name == "catalyst" else F.lit(None).cast("double")).otherwise(value)
+        counts = counts if empty else F.when(own, F.coalesce(F.col(column), F.lit("")) != "").otherwise(counts)
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), F.col("hour").asc_nulls_first(), F.col("key").asc_nulls_first()))
+    shown = found.where(counts).select(section.alias("section"), key.alias("key"), "n", value.cast("double").alias("value"), limit.alias("limit"), "hour")
+    return shown.withColumn("place", place).where(F.col("place") <= F.col("limit")).select("section", "key", "n", "value")
 
 
 #: What an update may set.

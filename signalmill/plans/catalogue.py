@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from signalmill.functions import text
 
 from signalmill.operators import filters, history, lookup, reports, research, routing, scoring, topics
-from signalmill.sources import feeds, landing
+from signalmill.sources import feeds, landing, tables
 from signalmill.sources.fixtures import AS_OF, view, with_views
+from signalmill.streaming import posts as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,15 +203,19 @@ def history_clean(spark, sf):
     return posts.withColumn("symbol", history.symbol_of("symbol")).where("symbol <> ''")
 
 
-def _history_log(spark, sf) -> DataFrame:
-    """Posts as lines of a history file, some of them broken, landed and read again."""
+def _history_path(spark, sf) -> str:
+    """Posts as lines of history files, some of them broken."""
     line = F.to_json(F.struct(
         F.concat(F.lit(" "), F.lower("symbol"), F.lit(" ")).alias("symbol"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
         F.col("catalyst_type").alias("catalyst"), F.concat(F.lit("http://p/"), "id").alias("link"),
     ))
     broken = F.when(F.col("id") % 7 == 3, F.concat(F.lit("no json "), "id")).when(F.col("id") % 11 == 5, F.concat(F.lit('{"symbol": "'), "symbol")).when(F.col("id") % 13 == 8, F.lit('{"symbol": null}'))
     posts = view(spark, sf, "v_post").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return feeds.read_history(spark, landing.land(posts.select(F.coalesce(broken, line).alias("value")), "history"))
+    return landing.land(posts.select(F.coalesce(broken, line).alias("value")), "history")
+
+
+def _history_log(spark, sf) -> DataFrame:
+    return feeds.read_history(spark, _history_path(spark, sf))
 
 
 _BROKEN = "(id % 7 = 3 or id % 11 = 5 or id % 13 = 8)"
@@ -223,8 +228,9 @@ def history_lines(spark, sf):
 
 @query(f"select count_if(not {_BROKEN}) as n_valid, count_if({_BROKEN}) as n_corrupt from v_post")
 def history_audit(spark, sf):
-    valid = (history.symbol_of("symbol") != "") & F.try_to_timestamp("timestamp").isNotNull()
-    return history.audit(_history_log(spark, sf), valid)
+    """The counts that come with writing the clean lines."""
+    seen = history.write_clean(_history_log(spark, sf), f"{landing.landing_dir(spark)}/clean")
+    return spark.createDataFrame([(seen["n_valid"], seen["n_corrupt"])], "n_valid long, n_corrupt long")
 
 
 @query("select symbol, count(*) as n, max(created_at) as last_at from v_post group by symbol")
@@ -416,7 +422,9 @@ def min_group_gate(spark, sf):
 
 @query("select coalesce(reason, 'passed') as outcome, count(*) as n from $reasons group by 1")
 def scan_funnel(spark, sf):
-    return _reasons(spark, sf).groupBy(F.coalesce("reason", F.lit("passed")).alias("outcome")).agg(F.count("*").alias("n"))
+    """The counts that come with writing the candidates."""
+    seen = filters.write_candidates(rich(spark, sf), f"{landing.landing_dir(spark)}/candidates", top=("P1", "P2", "P3", "P4", "P5"))
+    return spark.createDataFrame(list(seen.items()), "outcome string, n long")
 
 
 # Scores.
@@ -978,3 +986,186 @@ def post_records(spark, sf):
     named = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("content"), F.col("content"), F.lit("coin_symbol"), F.col("symbol"), F.lit("catalyst"), F.col("catalyst_type")))
     older = F.create_map(F.lit("text"), F.col("content"), F.lit("symbol"), F.col("symbol"), F.lit("catalyst"), F.col("catalyst_type"))
     return feeds.post_record(view(spark, sf, "v_post").select(F.coalesce(named, older).alias("fields")))
+
+
+# Tables with ids. Each is written in two appends; ``first_append`` tells which one an id is from.
+
+
+def _two_appends(rows: DataFrame, table: str, order: tuple[str, ...] = ()) -> tuple[DataFrame, tuple[int, int]]:
+    path = f"{landing.landing_dir(rows.sparkSession)}/{table}"
+    first = tables.append(rows.where("id % 2 = 0").drop("id"), path, table, order)
+    tables.append(rows.where("id % 2 <> 0").drop("id"), path, table, order)
+    return tables.read(rows.sparkSession, path, table).withColumn("first_append", F.col("id") <= first[1]), first
+
+
+def _stamped(spark, sf) -> DataFrame:
+    """Posts of the view with a time that Spark's tables keep."""
+    return view(spark, sf, "v_post").withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
+def _plain_time(name: str = "created_at") -> Column:
+    return F.col(name).cast("timestamp_ntz").alias(name)
+
+
+@query("""
+    select case when id % 2 = 0 then 0 else (select count(*) from v_post where id % 2 = 0) end + row_number() over (partition by id % 2 order by created_at, content, symbol) as id,
+      created_at, symbol as coin_symbol, content, id % 2 = 0 as first_append, strftime(created_at, '%Y-%m-%d') as day from v_post""")
+def table_posts(spark, sf):
+    """Ids in the order of time within each append."""
+    rows = _stamped(spark, sf).select("id", "created_at", F.col("symbol").alias("coin_symbol"), "content")
+    out, _ = _two_appends(rows, "posts", ("created_at", "content", "coin_symbol"))
+    return out.select("id", _plain_time(), "coin_symbol", "content", "first_append", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("select id as post_id, created_at, coalesce(views, 0) as views, coalesce(traders, 0) as traders, id % 2 = 0 as first_append from v_post")
+def table_metrics(spark, sf):
+    rows = _stamped(spark, sf).select("id", F.col("id").alias("post_id"), "created_at", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("traders", F.lit(0)).alias("traders"))
+    return _two_appends(rows, "metrics")[0].select("post_id", _plain_time(), "views", "traders", "first_append")
+
+
+@query("select created_at, catalyst_type as status, concat('{\"posts\":', cast(id as varchar), '}') as summary, id % 2 = 0 as first_append from v_post")
+def table_runs(spark, sf):
+    rows = _stamped(spark, sf).select("id", "created_at", F.col("catalyst_type").alias("status"), F.to_json(F.struct(F.col("id").alias("posts"))).alias("summary"))
+    return _two_appends(rows, "runs")[0].select(_plain_time(), "status", "summary", "first_append")
+
+
+def _analytics(spark, sf) -> DataFrame:
+    i = F.col("id")
+    rows = reports.post_features(_stamped(spark, sf)).withColumns({
+        "post_id": i, "coin_symbol": F.col("symbol"), "trade_setup_style": F.col("setup_style"), "eligible_traders": F.col("traders"), "likes": i % 50,
+        "comments": F.when(i % 5 != 0, i % 9), "reward_earned": F.when(i % 6 != 0, (i % 1000).cast("double") / 8),
+    })
+    return rows
+
+
+@query("""
+    select id as post_id, symbol as coin_symbol, created_at, catalyst_type, narrative, hook_style, setup_style as trade_setup_style, word_count, hashtags, views, traders as eligible_traders, 0 as is_analyzed, id % 2 = 0 as first_append
+    from $featured""")
+def table_analytics(spark, sf):
+    out = _two_appends(_analytics(spark, sf), "post_analytics")[0]
+    return out.select(
+        "post_id", "coin_symbol", _plain_time(), "catalyst_type", "narrative", "hook_style", "trade_setup_style", "word_count", "hashtags", "views", "eligible_traders", "is_analyzed", "first_append"
+    )
+
+
+@query("""
+    with n as (select count_if(id % 2 = 0) as a, count(*) as b from v_post), t as (select unnest(['metrics', 'post_analytics', 'posts', 'runs']) as table_name)
+    select table_name, true as first_append, a as n, a as n_ids, 1 as first_id, a as last_id from t, n union all select table_name, false, b - a, b - a, a + 1, b from t, n""")
+def table_ids(spark, sf):
+    """Ids of all four tables: dense, each once, and going on from the largest one."""
+    posts = _stamped(spark, sf)
+    rows = {
+        "posts": posts.select("id", "created_at", "content"), "metrics": posts.select("id", "created_at", F.lit(1).alias("views"), F.lit(2).alias("traders")),
+        "runs": posts.select("id", "created_at", F.lit("done").alias("status")), "post_analytics": posts.select("id", "created_at", F.col("symbol").alias("coin_symbol")),
+    }
+    out = None
+    for table, frame in rows.items():
+        found = _two_appends(frame, table)[0].groupBy("first_append").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        found = found.withColumn("table_name", F.lit(table))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("""
+    with b as (select *, id % 50 as likes, case when id % 5 <> 0 then id % 9 end as comments, case when id % 6 <> 0 then cast(id % 1000 as double) / 8 end as reward from v_post),
+    t as (select symbol, arg_max(id, (created_at, id)) as id from v_post where views is null group by symbol),
+    u as (select t.id, c.pk * 10 as v, case when c.pk % 2 = 0 then c.pk end as tr, case when c.pk % 3 = 0 then c.pk + 1 end as co, c.pk % 4 as sh, case when c.pk % 5 = 0 then c.change_24h end as re from t join v_coin c on c.symbol = t.symbol)
+    select b.id as post_id, b.symbol as coin_symbol, coalesce(u.v, b.views) as views, coalesce(u.tr, b.traders) as eligible_traders, b.likes, coalesce(u.co, b.comments) as comments, u.sh as shares, coalesce(u.re, b.reward) as reward_earned,
+      case when u.id is not null then timestamp '2024-02-01 00:00:00' end as metrics_updated_at, strftime(b.created_at, '%Y-%m-%d') as day
+    from b left join u on u.id = b.id""")
+def metrics_written(spark, sf):
+    """Updates written into the table, and the table read again."""
+    path, pk = f"{landing.landing_dir(spark)}/post_analytics", F.col("pk")
+    tables.append(_analytics(spark, sf).drop("id"), path, "post_analytics", ("created_at", "post_id"))
+    updates = view(spark, sf, "v_coin").select(
+        F.lower("symbol").alias("coin_symbol"), (pk * 10).alias("views"), F.when(pk % 2 == 0, pk).alias("eligible_traders"), F.when(pk % 3 == 0, pk + 1).alias("comments"), (pk % 4).alias("shares"),
+        F.when(pk % 5 == 0, F.col("change_24h")).alias("reward_earned"),
+    )
+    tables.update_measures(spark, path, updates, F.lit("2024-02-01").cast("timestamp"))
+    return tables.read(spark, path, "post_analytics").select(
+        "post_id", "coin_symbol", "views", "eligible_traders", "likes", "comments", "shares", "reward_earned", _plain_time("metrics_updated_at"), F.date_format("day", "yyyy-MM-dd").alias("day")
+    )
+
+
+@query("select id as post_id, symbol as coin_symbol, created_at from v_post order by created_at desc, id desc limit 100")
+def newest_posts(spark, sf):
+    """The end of a table, read from its newest days."""
+    path = f"{landing.landing_dir(spark)}/post_analytics"
+    tables.append(_stamped(spark, sf).select("created_at", F.col("id").alias("post_id"), F.col("symbol").alias("coin_symbol")), path, "post_analytics", ("created_at", "post_id"))
+    return tables.newest(spark, path, "post_analytics", 100).select("post_id", "coin_symbol", _plain_time())
+
+
+# Streams over landed rows: each run takes what has landed and stops; the next one goes on from its checkpoint.
+
+
+def _beat(posts: DataFrame, schema: str, hours: int) -> DataFrame:
+    """A row without an id that moves the watermark on, so long after the last post."""
+    row = posts.agg((F.max("created_at") + F.make_dt_interval(hours=F.lit(hours))).alias("created_at"))
+    return row.select(*[F.col(c) if c == "created_at" else F.lit(None).cast(kind).alias(c) for c, kind in (x.split(" ") for x in schema.split(", "))])
+
+
+_POSTS = "id long, symbol string, created_at timestamp, signature string"
+_DELAY_HOURS = 24 * 366
+
+
+def _post_stream(spark, sf, rule) -> DataFrame:
+    """Posts land in files that overlap in time and go through a rule in several batches; a second run ends it."""
+    base = landing.landing_dir(spark)
+    posts = _stamped(spark, sf).select("id", "symbol", "created_at", F.lit(None).cast("string").alias("signature"))
+    for rows in (posts.repartition(6), _beat(posts, _POSTS, 3 * _DELAY_HOURS).coalesce(1)):
+        rows.write.mode("append").parquet(f"{base}/landed")
+        streams.run_to_table(rule(streams.landed(spark, f"{base}/landed", _POSTS, files_per_batch=3), f"{_DELAY_HOURS} hours"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("id long, symbol string, created_at timestamp").parquet(f"{base}/out").select("id", "symbol")
+
+
+@query("""
+    with recursive p as (select id, symbol, created_at from v_post), a as (
+      select id, symbol, created_at from (select *, row_number() over (partition by symbol order by created_at, id) as i from p) where i = 1
+      union all select id, symbol, created_at from (
+        select p.*, row_number() over (partition by p.symbol order by p.created_at, p.id) as i from a join p on p.symbol = a.symbol and p.created_at >= a.created_at + interval 24 hour) where i = 1)
+    select id, symbol from a""")
+def stream_cooldown(spark, sf):
+    return _post_stream(spark, sf, lambda rows, delay: streams.cooldown(rows, delay=delay))
+
+
+@query("select id, symbol from (select *, row_number() over (partition by cast(created_at as date) order by created_at, id) as i from v_post) where i <= 8")
+def stream_daily_cap(spark, sf):
+    return _post_stream(spark, sf, lambda rows, delay: streams.daily_cap(rows, delay=delay))
+
+
+@query("""
+    with s as (select distinct left(sha256(concat_ws('|', symbol, content)), 16) as signature from v_post)
+    select signature, i as run from s, (select unnest([0, 2]) as i)""")
+def stream_signatures(spark, sf):
+    """All posts land three times: the second time within the watermark of the first, so that nothing comes out, the third
+    time when the first ones have been forgotten."""
+    base, shift = landing.landing_dir(spark), lambda hours: (F.col("created_at") + F.make_dt_interval(hours=F.lit(hours))).alias("created_at")
+    posts = _stamped(spark, sf).select("id", "symbol", "created_at", text.signature("symbol", "content").alias("signature"))
+    delay = 24 * 40
+    for run, rows in enumerate((posts, posts.select("id", "symbol", shift(1), "signature"), _beat(posts, _POSTS, 3 * delay), posts.select("id", "symbol", shift(4 * delay), "signature"))):
+        rows.repartition(2 if run != 2 else 1).write.mode("append").parquet(f"{base}/landed")
+        streams.run_to_table(streams.first_signatures(streams.landed(spark, f"{base}/landed", _POSTS), f"{delay} hours"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = spark.read.schema(_POSTS).parquet(f"{base}/out").where("signature is not null")
+    return out.select("signature", F.when(F.col("created_at") > F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=F.lit(delay)), 2).otherwise(F.when(F.col("created_at").isNull(), 1).otherwise(0)).alias("run"))
+
+
+@query("select symbol, arg_max(id, (created_at, id)) as id from v_post group by symbol")
+def stream_latest(spark, sf):
+    """The newest row of each symbol, kept over batches and merged on the way."""
+    base = landing.landing_dir(spark)
+    _stamped(spark, sf).select("symbol", F.struct("created_at", "id").alias("ts"), "id").repartition(5).write.parquet(f"{base}/landed")
+    rows = streams.landed(spark, f"{base}/landed", "symbol string, ts struct<created_at:timestamp,id:long>, id long", files_per_batch=1)
+    streams.keep_latest(rows, f"{base}/latest", f"{base}/checkpoint", merge_every=2).awaitTermination()
+    return streams.read_latest(spark, f"{base}/latest").select("symbol", "id")
+
+
+@query(f"select case when {_BROKEN} then 'quarantine' else 'clean' end as kind, count(*) as n, min(case when not {_BROKEN} then created_at end) as first_at from v_post group by 1")
+def stream_history(spark, sf):
+    """Lines of a history as a stream to two sinks."""
+    base = landing.landing_dir(spark)
+    lines = streams.landed(spark, _history_path(spark, sf), feeds.HISTORY, "json", files_per_batch=3)
+    streams.split_history(lines, f"{base}/sinks", f"{base}/checkpoint").awaitTermination()
+    clean = history.clean_history(streams.read_history_sink(spark, f"{base}/sinks", "clean"))
+    kept = clean.agg(F.lit("clean").alias("kind"), F.count("*").alias("n"), F.min("created_at").cast("timestamp_ntz").alias("first_at"))
+    bad = streams.read_history_sink(spark, f"{base}/sinks", "quarantine")
+    return kept.unionByName(bad.agg(F.lit("quarantine").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("timestamp_ntz").alias("first_at")))

@@ -25,3 +25,17 @@ def land(lines: DataFrame, name: str) -> str:
     path = f"{landing_dir(lines.sparkSession)}/{name}"
     lines.write.text(path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back: lineage ends here, and what chance has decided stays as it is."""
+    path = f"{landing_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system; none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []

@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from signalmill.operators.history import DAILY_CAP, SOFT_HOURS, admit, micros
+from signalmill.operators.history import DAILY_CAP, SOFT_HOURS, admit, is_valid, micros
+from signalmill.sources.feeds import HISTORY
+from signalmill.sources.landing import folder_names
 
 
 def landed(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -173,6 +175,25 @@ def first_signatures(posts: DataFrame, delay: str = "48 hours") -> DataFrame:
     return posts.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["signature"])
 
 
+def split_history(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A stream of history lines to two sinks below ``path``: valid ones to kind=clean, others to kind=quarantine. A batch writes
+    both in one job under its number, and a repeated batch writes its number again, so neither has a line twice."""
+
+    def split(batch: DataFrame, number: int) -> None:
+        kind = F.when(is_valid(), "clean").otherwise("quarantine")
+        batch.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={number}")
+
+    return lines.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_history_sink(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The lines of one sink, from batches that are whole."""
+    batches = [f"{path}/batch={n}" for n in _numbers(spark, path, "batch")]
+    if not batches:
+        return spark.createDataFrame([], HISTORY)
+    return spark.read.schema(f"{HISTORY}, kind string").option("basePath", path).parquet(*batches).where(F.col("kind") == kind).drop("kind")
+
+
 def keep_latest(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, merge_every: int = 50) -> StreamingQuery:
     """Maintain the newest snapshot row of each symbol (symbol, ts, ...) below ``path``; ``read_latest`` reads it.
 
@@ -192,7 +213,7 @@ def keep_latest(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict
                 for kind in ("merged", "batch"):
                     for n in _numbers(spark, path, kind):
                         if n < before or (kind == "batch" and n == before):
-                            _folder(spark, f"{path}/{kind}={n}", delete=True)
+                            _delete(spark, f"{path}/{kind}={n}")
 
     return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -202,22 +223,15 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").agg(F.max_by(F.struct(*rows.columns), F.col("ts")).alias("row")).select("row.*")
 
 
-def _folder(spark: SparkSession, path: str, delete: bool = False) -> list[str]:
-    """Names in a folder of any file system; none if it isn't there. ``delete``: it goes."""
+def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(where):
-        return []
-    if delete:
-        system.delete(where, True)
-        return []
-    return [x.getPath().getName() for x in system.listStatus(where)]
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     """Of the finished tables of a kind."""
-    names = [n for n in _folder(spark, path) if n.startswith(f"{kind}=")]
-    return sorted(int(n.partition("=")[2]) for n in names if "_SUCCESS" in _folder(spark, f"{path}/{n}"))
+    names = [n for n in folder_names(spark, path) if n.startswith(f"{kind}=")]
+    return sorted(int(n.partition("=")[2]) for n in names if "_SUCCESS" in folder_names(spark, f"{path}/{n}"))
 
 
 def read_latest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
