@@ -12,11 +12,12 @@ reference that hold its own anchors; no other block can have a factor of it.
 2. The reference index holds each different phrase once, by anchor and hash, however often it occurs. A
    phrase that is in it at another place is a factor as it stands. Copies and long common passages are used
    up here.
-3. The different phrases of an anchor are dealt by it into blocks of bounded size, with their words. In its
-   block a phrase is parsed greedily: words from which no window occurs elsewhere are literals; from the
-   first other one the longest match is the factor, and parsing goes on behind it.
+3. The different phrases of an anchor are dealt by it into blocks of bounded size, with their words, and a suffix array
+   indexes all places of a block. A phrase is parsed greedily: the longest match of what comes next with any other
+   place of the block is the next factor if it is as long as a window, and parsing goes on behind it; else the
+   next word is a literal.
 4. Windows inside a factor repeat, those that begin at literals don't, and the windows that reach over the
-   end of a factor are looked up one by one, so none is missed at the boundaries.
+   end of a factor are looked up one by one in the suffix array, so none is missed at the boundaries.
 5. The words that a document's factors and boundary windows cover are removed.
 
 An anchor with over ``HOT`` different phrases isn't brought together: its phrases are cut into single
@@ -131,57 +132,90 @@ def once(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch if len(rows) == batch.num_rows else batch.take(pa.array(np.sort(rows)))
 
 
+def suffix_order(h: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a block: all places in the order of the words from there to the end of their phrase, and where each
+    place stands in it. By doubling: ranks of w words give those of 2w."""
+    at, width, found = np.arange(len(h)), 1, 0
+    distinct, rank = np.unique(h, return_inverse=True)
+    while len(distinct) > found and len(distinct) < len(h):
+        found = len(distinct)
+        after = np.zeros(len(h), dtype=np.int64)
+        inside = np.flatnonzero(at + width < end)
+        after[inside] = rank[inside + width] + 1
+        distinct, rank = np.unique(rank.astype(np.int64) * (len(h) + 1) + after, return_inverse=True)
+        width *= 2
+    order = np.argsort(rank, kind="stable")
+    place = np.empty(len(h), dtype=np.int64)
+    place[order] = at
+    return order, place
+
+
 def parse(h: np.ndarray, ptr: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(first window, windows) of what repeats in a block of phrases, phrase i having the words ptr[i]:ptr[i+1].
 
-    All phrases are parsed side by side: in every round each takes its next factor.
+    All phrases are parsed side by side: in every round each takes its next factor, the longest match of what comes next with
+    any other place of the block, or a literal.
     """
+    spans = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    phrase = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    a, b = (gram_hashes(h, window, lane) for lane in LANES)
-    at = np.flatnonzero(np.arange(len(a)) + window <= ptr[phrase[: len(a)] + 1])
-    # Each window's source: another place with the same words.
-    at = at[np.lexsort((at, b[at], a[at]))]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (a[at[1:]] != a[at[:-1]]) | (b[at[1:]] != b[at[:-1]])
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(at)))
-    source = np.full(len(a), -1)
-    source[at] = np.repeat(at[head], size)
-    source[at[head]] = np.where(size > 1, at[np.minimum(head + 1, len(at) - 1)], -1)
-    known = np.flatnonzero(source >= 0)
+        return spans[0]
+    end = np.repeat(ptr[1:], np.diff(ptr))
+    order, place = suffix_order(h, end)
     lanes = []
     for lane in LANES:
         up, down = powers(lane, len(h))
         sums = np.zeros(len(h) + 1, dtype=U64)
         np.cumsum(h * up[: len(h)], out=sums[1:])
         lanes.append((sums, down))
-    spans = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def equal(p: np.ndarray, q: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return np.logical_and(*((sums[p + n] - sums[p]) * down[p] == (sums[q + n] - sums[q]) * down[q] for sums, down in lanes))
+
+    def neighbours(p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The places before and after each p in the suffix array, of which one has the longest match with it: which of the p
+        have one, those, and the words that both have left."""
+        for step in (-1, 1):
+            at = place[p] + step
+            use = np.flatnonzero((at >= 0) & (at < len(order)))
+            q = order[at[use]]
+            yield use, q, np.minimum(end[p[use]] - p[use], end[q] - q)
+
+    def longest(p: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(p), np.int64)
+        for use, q, high in neighbours(p):
+            low = np.zeros(len(use), np.int64)
+            while (low < high).any():
+                mid = (low + high + 1) // 2
+                same = equal(p[use], q, mid)
+                low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+            out[use] = np.maximum(out[use], low)
+        return out
+
+    def repeats(p: np.ndarray) -> np.ndarray:
+        """Whether the window at p is found at another place."""
+        out = np.zeros(len(p), dtype=bool)
+        for use, q, both in neighbours(p):
+            enough = np.flatnonzero(both >= window)
+            out[use[enough]] |= equal(p[use[enough]], q[enough], window)
+        return out
+
     active, s = np.arange(len(ptr) - 1), ptr[:-1].copy()
-    while len(active) and len(known):
-        k = np.searchsorted(known, s[active])
-        p = known[np.minimum(k, len(known) - 1)]
-        fine = (k < len(known)) & (p + window <= ptr[active + 1])
-        active, p = active[fine], p[fine]
+    while True:
+        active = active[s[active] + window <= ptr[active + 1]]
         if not len(active):
-            break
-        q = source[p]
-        # The longest match, by bisection over hashes of what stands at both places.
-        low, high = np.full(len(p), window), np.minimum(ptr[active + 1] - p, ptr[phrase[q] + 1] - q)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = np.logical_and(*((sums[p + mid] - sums[p]) * down[p] == (sums[q + mid] - sums[q]) * down[q] for sums, down in lanes))
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        end = p + low
-        spans.append((p, low - window + 1))
-        # Windows over the end of the factor.
-        first, last = np.searchsorted(known, end - window + 1), np.searchsorted(known, np.minimum(end, ptr[active + 1] - window + 1))
-        n = np.maximum(last - first, 0)
-        over = known[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            return tuple(np.concatenate(x) for x in zip(*spans))
+        p = s[active]
+        n = longest(p)
+        hit = np.flatnonzero(n >= window)
+        spans.append((p[hit], n[hit] - window + 1))
+        # Windows over the end of a factor, which another factor may hold.
+        stop = p[hit] + n[hit]
+        first = stop - window + 1
+        many = np.maximum(np.minimum(stop, ptr[active[hit] + 1] - window + 1) - first, 0)
+        over = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        over = over[repeats(over)]
         spans.append((over, np.ones(len(over), np.int64)))
-        s[active] = end
-    return tuple(np.concatenate(x) for x in zip(*spans))
+        s[active] = np.where(n >= window, p + n, p + 1)
 
 
 def factored(texts: DataFrame, window: int) -> DataFrame:

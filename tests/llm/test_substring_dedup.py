@@ -73,6 +73,25 @@ def test_factors_are_the_longest_matches():
     assert {(65, 35), (109, 1), (10, 35)} <= set(zip(first.tolist(), count.tolist()))
 
 
+def test_the_best_of_several_sources_is_taken():
+    """Of phrases W+x, W+B, W+B the second has the third as its source, not the first; the parsing alone finds that."""
+    rng = np.random.default_rng(4)
+    w, x, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (10, 3, 15))
+    h, ptr = np.concatenate((w, x, w, b, w, b)), np.array([0, 13, 38, 63])
+    first, count = substring_dedup.parse(h, ptr, 10)
+    assert sorted(zip(first.tolist(), count.tolist())) == [(0, 1), (13, 16), (38, 16)]
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 3, 200).astype(np.uint64)
+    ptr = np.array([0, 40, 40, 90, 91, 200])
+    end = np.repeat(ptr[1:], np.diff(ptr))
+    order, place = substring_dedup.suffix_order(h, end)
+    suffixes = [h[p : end[p]].tolist() for p in order]
+    assert suffixes == sorted(suffixes) and place[order].tolist() == list(range(200))
+
+
 @pytest.mark.parametrize("hot", [0, 3, 10**6])
 def test_large_anchors_are_counted_by_windows(spark, hot):
     """Many versions of a passage, all with its anchors; dealt into blocks or by single windows."""
