@@ -8,12 +8,13 @@ bitsets finds how close to full the window can be filled from the lengths left,
 gives how many of each length do it. That multiset is used as often as its lengths last, so the plan
 has a bounded number of multisets however many documents there are. Every piece then finds its place
 from its rank among the pieces of its length, which is the sum of a rank inside a shard and the
-shard's offset: no length is ordered in one task.
+shard's offset. Whole windows have a shard for each task that made them, other lengths as many as their count
+asks for, so no length is ordered in one task and shards grow in number, not in size.
 
 A sequence is padded to ``window``, except where its length is a power of two.
 
 Repeated rows are documents of their own. Null ids stay null. Equal pieces tie for their places, which
-then go by id, start and checksum; any order gives the same padding. A very long text is cut like any
+go by shards and in them by id, start and checksum; any order gives the same padding. A very long text is cut like any
 other; a task holds the ids of one such text at a time. Columns other than doc_id and text are ignored,
 whatever their names. An empty table gives no rows.
 """
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from signalmill.llm.scratch import materialise
 from signalmill.llm.words import SEPARATORS, buffers, pieces
 
-WINDOW, END_ID, SHARDS = 4096, 2, 64
+WINDOW, END_ID = 4096, 2
+#: Pieces of a length that are ranked in one task, and into how many shards all pieces fall at least before such tasks grow.
+SHARD_ROWS, MOST_SHARDS = 4096, 1 << 16
 _PIECE = 2_000_000  # bytes of text at a time
 #: Bounds of what a task keeps of known units: their bytes and 128 for each.
 _CACHE_BYTES, _UNIT_BYTES = 48 << 20, 128
@@ -235,15 +238,27 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[dict[int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def sharded(cut: DataFrame, window: int, shard_rows: int) -> DataFrame:
+    """Pieces with the shard of their length that they are ranked in. Whole windows, which stand alone, are ranked within the
+    task that made them; other lengths have as many shards as their count asks for."""
+    counts = cut.where(F.col("length") < window).groupBy("length").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = max(shard_rows, -(-total // MOST_SHARDS))
+    shards = counts.select("length", F.ceil(F.col("n") / size).alias("shards"))  # a row for each length, a window's at most
+    by_hash = F.pmod(F.xxhash64("row"), F.coalesce("shards", F.lit(1)))
+    shard = F.when(F.col("length") == window, F.shiftright("row", 33)).otherwise(by_hash).cast("long")
+    return cut.join(F.broadcast(shards), "length", "left").select(*cut.columns, shard.alias("shard"))
+
+
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = materialise(token_pieces(docs, tokenizer_file, window, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SHARDS)).cast("int")), "pieces")
-    # At most window * SHARDS rows, however many documents there are.
+    cut = sharded(materialise(token_pieces(docs, tokenizer_file, window, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces"), window, shard_rows)
+    # A row for each task with whole windows, each length and each shard: no more than tasks + window + MOST_SHARDS.
     by_shard = cut.groupBy("length", "shard").agg(F.count("*").alias("n")).orderBy("length", "shard").collect()
     counts: dict[int, int] = {}
-    before = np.zeros((window + 1, SHARDS), np.int64)
-    for n, shard, c in by_shard:
-        before[n, shard] = counts.get(n, 0)
+    key, before = np.array([(r[0] << 40) + r[1] for r in by_shard], np.int64), np.zeros(len(by_shard), np.int64)
+    for i, (n, _, c) in enumerate(by_shard):
+        before[i] = counts.get(n, 0)
         counts[n] = counts.get(n, 0) + c
     # Of each length: from which rank on pieces go to which multiset, and where in its sequences.
     table: dict[int, list[tuple[int, int, int, int]]] = {n: [] for n in counts}
@@ -255,13 +270,13 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
             taken[n] += used[n] * times
             offset += n * used[n]
         sequences += times
-    places = docs.sparkSession.sparkContext.broadcast(({n: np.array(x, np.int64).T for n, x in table.items()}, before))
+    places = docs.sparkSession.sparkContext.broadcast(({n: np.array(x, np.int64).T for n, x in table.items()}, key, before))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, before = places.value
+        where, key, before = places.value
         for batch in batches:
             length, shard, rank = (batch.column(c).to_numpy() for c in (2, 5, 6))
-            rank = before[length, shard] + rank - 1
+            rank = before[np.searchsorted(key, (length << 40) + shard)] + rank - 1
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):

@@ -106,3 +106,22 @@ def test_plan_is_short_for_many_pieces():
 
 def test_empty(no_docs):
     assert packing.pack(no_docs, queries.tokenizer_file()).collect() == []
+
+
+def test_shards_follow_the_counts(spark, monkeypatch):
+    """Ranks in many shards are those of one: each piece has a place of its own and padding is the same."""
+    docs = spark.createDataFrame([(i % 40, "word " * (5 + i % 3) if i % 4 else "word " * 600) for i in range(400)], "doc_id long, text string").repartition(7)
+    padded = []
+    for rows in (5, 1 << 20):
+        cut = packing.sharded(packing.materialise(packing.token_pieces(docs, queries.tokenizer_file(), 256, packing.END_ID).withColumn("row", F.monotonically_increasing_id())), 256, rows)
+        sizes = {(r.length, r.shard): r["count"] for r in cut.groupBy("length", "shard").count().collect()}
+        assert (max(n for (length, _), n in sizes.items() if length < 256) < 40) == (rows == 5)
+        assert len([s for length, s in sizes if length == 256]) == 7
+        places = sorted((r.sequence_id, r.offset, r.length) for r in packing.pack(docs, queries.tokenizer_file(), window=256, shard_rows=rows).collect())
+        ends = {}
+        for sequence, offset, length in places:
+            assert ends.get(sequence, 0) == offset
+            ends[sequence] = offset + length
+        assert max(ends.values()) <= 256
+        padded.append(sorted(ends.values()))
+    assert padded[0] == padded[1]
