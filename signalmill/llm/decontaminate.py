@@ -17,7 +17,8 @@ fixed bound however many items there are; a single larger item makes a block of
 should fit a task's memory several times. A benchmark of many blocks means as many scans.
 
 Null and empty items are never found; null and empty texts contain nothing. Repeated items count once;
-items with one id and different texts are items of their own. Repeated documents give repeated rows. Very long
+items with one id and different texts are items of their own. Repeated documents give repeated rows. Items that tie,
+with equal containment in one document, are all found; at the threshold itself an item is found. Very long
 texts are searched whole; a task holds one of them at a time. Other columns are ignored, or go along in ``clean``,
 whatever their names. An empty table on either side gives no rows.
 """

@@ -11,8 +11,8 @@ winner on any stretch of words, and the largest gains on a text's beginning and
 no more than it either, which cumulative sums show at once; only other texts need the word by word pass.
 
 Trigram tables come from a bounded sample: whole texts of at most ``max_documents`` rows of each language,
-in the order of a hash of their ids, of the ``max_languages`` languages with most rows, so that what
-reaches the driver has a fixed bound, a table of counts for each language. Every whole text is labelled.
+in the order of a hash of their ids, so that what reaches the driver is a table of counts for each language
+that occurs. Every whole text is labelled.
 
 Null texts and texts without a letter: ``und``, score 0. Words in scripts that no learned language uses
 favour none. Ties go to the first language in alphabetical order. A very long text is labelled whole: a
@@ -97,16 +97,16 @@ def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64), first
 
 
-def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400, max_languages: int = 200) -> LanguageModel:
+def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400) -> LanguageModel:
     """``learn``: a condition for the rows to learn from. The languages are the distinct values of lang."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         known = known.where(learn)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     # A hash threshold first, so that the ranking sees a few times max_documents rows of a language.
     drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < F.greatest(F.lit(4.0 * max_documents) / F.col("n"), F.lit(0.0)) * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    ids = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(drawn).withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_documents)
+    ids = known.select("doc_id", "lang").join(counts, "lang").where(drawn).withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_documents)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

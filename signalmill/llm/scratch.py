@@ -1,27 +1,10 @@
-"""Shared scratch folders: where intermediate tables and written files go."""
+"""Intermediate tables in the shared folder of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, in a folder of the application's own.
-
-    The setting is read from the session. Where it is unset and Spark runs on one machine, as in tests, a
-    folder of this machine is set for the session; on a cluster that is an error, since executors would
-    not see each other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/signalmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+from signalmill.sources.landing import landing_dir as shared_dir
 
 
 def discard(spark: SparkSession, path: str) -> None:

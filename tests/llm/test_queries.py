@@ -26,6 +26,9 @@ TYPES = {
     "op7_lm_scoring": {"doc_id": "bigint", "pseudo_log_likelihood": "double"},
     "op8_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
     "op9_decontaminate": {"doc_id": "bigint", "item_id": "bigint"},
+    "op11_secret_scan": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op12_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op13_merkle": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
     "op10_url_filters": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
 }
 
@@ -143,3 +146,9 @@ def test_url_rules_and_verdicts(results, db):
         rule, verdict = test_url_filters.rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict or (verdict is None and r.verdict in ("allow", "block"))
+
+
+def test_rows_without_id_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (9,)], "doc_id long")
+    found = {r.doc_id: r.held_out for r in rows.select("doc_id", queries.held_out(5, 0)).collect()}
+    assert found[None] is False and all(found[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in (1, 2, 9))
