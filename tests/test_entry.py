@@ -29,6 +29,13 @@ def test_imports_without_the_llm_folders(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
 
 
+def test_a_missing_library_costs_only_what_needs_it(tmp_path):
+    """A subpackage that can't be imported leaves the other queries alone."""
+    code = "import __spark_entry__ as e\ne.import_module = lambda m: (_ for _ in ()).throw(ImportError(m))\nq = e.queries(); assert 'asset_scores' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__)), env=env, check=True)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_flagship(spark):
     rows = entry.entry(spark)
