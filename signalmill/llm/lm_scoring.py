@@ -39,6 +39,8 @@ CLASSES, WIDTH, REACH, UNKNOWN = 32, 24, 2, 64
 VOCABULARY, BLOCK = CLASSES * CLASSES, 8192
 #: The largest vocabulary: what is broadcast, 100 MB of parameters at most, must be bounded.
 LARGEST = 1 << 18
+#: The most words of a step.
+STEP = 8192
 #: Rows of outputs that fit a core's cache.
 CACHED = 1024
 #: Bound of every parameter: an output is within (WIDTH + 1) * LIMIT = 75, and its exponential is a float32.
@@ -103,9 +105,9 @@ class Network:
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order of the targets by class, and where each class begins in it."""
-        own = target // self.classes
+        own = (target // self.classes).astype(np.uint16)  # short keys are sorted by their digits
         order = np.argsort(own, kind="stable")
-        return order, np.searchsorted(own[order], np.arange(self.classes + 1))
+        return order, np.concatenate(([0], np.cumsum(np.bincount(own, minlength=self.classes))))
 
     # Parameters stay within LIMIT and hidden values within 1, so exponentials of the outputs can't overflow.
 
@@ -116,7 +118,7 @@ class Network:
             b = min(len(tokens), a + step)
             order, cut = self.by_class(tokens[a:b])
             y, x = tokens[a:b][order], self.hidden(around[:, a + order])
-            across, own, p = np.arange(b - a), y // self.classes, np.empty(b - a, np.float32)
+            across, own, within, p = np.arange(b - a), y // self.classes, y % self.classes, np.empty(b - a, np.float32)
             for i in range(0, b - a, CACHED):
                 j = min(b - a, i + CACHED)
                 z = x[i:j] @ self.w1
@@ -126,24 +128,24 @@ class Network:
             for c in np.flatnonzero(np.diff(cut)):
                 i, j = cut[c], cut[c + 1]
                 z = x[i:j] @ self.w2[c] + self.b2[c]
-                p[i:j] += z[across[: j - i], y[i:j] % self.classes]
+                p[i:j] += z[across[: j - i], within[i:j]]
                 p[i:j] -= np.log(np.exp(z, out=z) @ ones)
             out[a + order] = p
         return out
 
     def train(self, tokens: np.ndarray, doc_ptr: np.ndarray, rate: float) -> None:
-        """One pass of gradient descent, by steps of 256 words that grow to 8192: every word is predicted once from
+        """One pass of gradient descent, by steps of 256 words that grow to ``STEP``: every word is predicted once from
         all words around it."""
         b, across, ones, around = 0, np.arange(WIDTH), np.ones(self.classes, np.float32), self.contexts(tokens, doc_ptr)
         while b < len(tokens):
-            step = min(8192, max(256, self.seen // 32))
+            step = min(STEP, max(256, self.seen // 32))
             a, b = b, min(len(tokens), b + step)
             self.seen += b - a
             order, cut = self.by_class(tokens[a:b])
             at = a + order
             context, y, every = around[:, at], tokens[at], np.arange(b - a)
             x = self.hidden(context)
-            own, dx, dw1, db1 = y // self.classes, np.empty_like(x), 0, 0
+            own, within, dx, dw1, db1 = y // self.classes, y % self.classes, np.empty_like(x), 0, 0
             for i in range(0, b - a, CACHED):
                 j = min(b - a, i + CACHED)
                 z = x[i:j] @ self.w1
@@ -159,15 +161,20 @@ class Network:
                 z2 = x[i:j] @ self.w2[c] + self.b2[c]
                 np.exp(z2, out=z2)
                 z2 *= (1 / (z2 @ ones))[:, None]
-                z2[every[: j - i], y[i:j] % self.classes] -= 1
+                z2[every[: j - i], within[i:j]] -= 1
                 dx[i:j] += z2 @ self.w2[c].T
                 self.w2[c] -= grow * 8 * (x[i:j].T @ z2)
                 self.b2[c] -= grow * 8 * z2.sum(axis=0)
             self.w1 -= grow * dw1
             self.b1 -= grow * db1
             dx *= (1 - x * x) * (grow * 8)
-            for i in range(2 * REACH):
-                np.subtract.at(self.embed[i].reshape(-1), (context[i][:, None] * WIDTH + across).reshape(-1), dx.reshape(-1))
+            if b - a < STEP:
+                for i in range(2 * REACH):
+                    np.subtract.at(self.embed[i].reshape(-1), (context[i][:, None] * WIDTH + across).reshape(-1), dx.reshape(-1))
+            else:  # sums over all tokens are the cheaper way once a step has so many words
+                shares = dx.reshape(-1).astype(np.float64)
+                for i in range(2 * REACH):
+                    self.embed[i].reshape(-1)[:] -= np.bincount((context[i][:, None] * WIDTH + across).reshape(-1), shares, self.embed[i].size)
             np.clip(self.flat, -LIMIT, LIMIT, out=self.flat)
 
 
