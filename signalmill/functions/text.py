@@ -61,11 +61,15 @@ def limited_hashtags(text: Column, most: int = 5) -> Column:
     return F.when(F.size(tags) > most, F.concat(bare, F.lit("\n"), F.array_join(F.slice(tags, 1, most), " "))).otherwise(text)
 
 
+def title_words(title: Column) -> Column:
+    """Words without the punctuation around them."""
+    return F.transform(F.split(title, "(?U)\\s+"), lambda w: F.regexp_replace(w, "^[.,:;!?()\\[\\]{}]+|[.,:;!?()\\[\\]{}]+$", ""))
+
+
 def title_symbols(title: Column, known: Column) -> Column:
     """Known symbols in parentheses, repeats kept, then known words that weren't among them."""
     marked = F.filter(F.regexp_extract_all(title, F.lit("\\(([A-Z0-9]{2,10})\\)"), F.lit(1)), lambda s: F.array_contains(known, s))
-    words = F.transform(F.split(title, "(?U)\\s+"), lambda w: F.regexp_replace(w, "^[.,:;!?()\\[\\]{}]+|[.,:;!?()\\[\\]{}]+$", ""))
-    plain = F.array_distinct(F.filter(words, lambda w: F.array_contains(known, w)))
+    plain = F.array_distinct(F.filter(title_words(title), lambda w: F.array_contains(known, w)))
     return F.concat(marked, F.array_except(plain, marked))
 
 

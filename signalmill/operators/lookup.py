@@ -8,27 +8,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalmill.functions.text import title_symbols
+from signalmill.functions.text import title_symbols, title_words
 
 #: Strength of announcement types: fixed values.
 PRIORITIES = {"new_listing": 10, "launchpool": 9, "megadrop": 9, "airdrop": 8, "delisting": 6, "news": 3}
 #: Narratives looked for in titles: fixed values.
 NARRATIVES = ("AI", "AGENT", "MEME", "L1", "L2", "DeFi", "RWA", "GAMING", "DePIN", "INFRA", "EXCHANGE", "BTC", "ETF", "AIRDROP", "LISTING")
 
-def with_symbols(announcements: DataFrame, known: DataFrame) -> DataFrame:
-    """Announcements with the known symbols of their titles; those without any are left out.
 
-    Candidate words are joined with the known symbols, so that table may be of any size.
+def mentions(announcements: DataFrame, known: DataFrame) -> DataFrame:
+    """(ann_id, ann_type, title, symbol) for each known symbol of a title: those in parentheses as often as they occur,
+    then other words once.
+
+    A title's candidates are exploded once and joined once with the known symbols, so that table may be of any size.
     """
     marks = F.regexp_extract_all("title", F.lit("\\(([A-Z0-9]{2,10})\\)"), F.lit(1))
-    words = F.transform(F.split("title", "(?U)\\s+"), lambda w: F.regexp_replace(w, "^[.,:;!?()\\[\\]{}]+|[.,:;!?()\\[\\]{}]+$", ""))
-    candidates = announcements.select("ann_id", F.explode(F.array_distinct(F.concat(marks, words))).alias("symbol"))
-    hits = candidates.join(known.select("symbol").distinct(), "symbol").groupBy("ann_id").agg(F.collect_set("symbol").alias("known"))
-    return announcements.join(hits, "ann_id").withColumn("symbols", title_symbols(F.col("title"), F.col("known"))).drop("known")
+    candidates = F.concat(marks, F.array_except(title_words(F.col("title")), marks))
+    return announcements.select("ann_id", "ann_type", "title", F.explode(candidates).alias("symbol")).join(known.select("symbol").distinct(), "symbol")
 
 
-def exploded(announcements: DataFrame) -> DataFrame:
-    return announcements.select("ann_id", "ann_type", "title", F.explode("symbols").alias("symbol"))
+def with_symbols(announcements: DataFrame, known: DataFrame) -> DataFrame:
+    """Announcements with the known symbols of their titles; those without any are left out."""
+    hits = mentions(announcements, known).groupBy("ann_id").agg(F.collect_set("symbol").alias("known"))
+    return announcements.join(hits, "ann_id").withColumn("symbols", title_symbols(F.col("title"), F.col("known"))).drop("known")
 
 
 def first_announcement(assets: DataFrame, named: DataFrame) -> DataFrame:

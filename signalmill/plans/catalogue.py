@@ -80,10 +80,10 @@ PARTS = {
           case when regexp_matches(l, 'explod|surge|pump|blast|moon|🚀') then 'breakout_fomo' when regexp_matches(l, 'warning|crash|dump|plunge') then 'warning_alert' when regexp_matches(l, 'whale|smart money|accum|buying') then 'smart_money'
             when regexp_matches(l, 'listing|launchpool|airdrop|new on binance') then 'listing_news' when regexp_matches(l, 'ai|narrative|sector') then 'narrative_driven' when contains(l, '?') then 'question_hook'
             when regexp_matches(l, 'entry|target|setup') then 'trade_setup' else 'data_led' end as hook_style,
-          case when regexp_matches(l, 'entry|enter') and regexp_matches(l, 'target|tp|🎯') and regexp_matches(l, 'stop|🛑|sl') then 'full_setup' when regexp_matches(l, 'entry|enter') and regexp_matches(l, 'target|tp|🎯') then 'entry_target'
-            when regexp_matches(l, 'target|tp|🎯') then 'target_only' else 'analysis_only' end as setup_style,
+          case when regexp_matches(f, 'entry|enter') and regexp_matches(f, 'target|tp|🎯') and regexp_matches(f, 'stop|🛑|sl') then 'full_setup' when regexp_matches(f, 'entry|enter') and regexp_matches(f, 'target|tp|🎯') then 'entry_target'
+            when regexp_matches(f, 'target|tp|🎯') then 'target_only' else 'analysis_only' end as setup_style,
           cast(len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) as integer) as word_count, array_to_string(regexp_extract_all(content, '#[A-Za-z0-9_]+'), ',') as hashtags
-        from (select *, lower(content) as l from v_post)""",
+        from (select *, lower(content) as f, lower(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:3], chr(10))) as l from v_post)""",
     "titled": "select ann_id, unnest(list_filter(['AI', 'AGENT', 'MEME', 'L1', 'L2', 'DeFi', 'RWA', 'GAMING', 'DePIN', 'INFRA', 'EXCHANGE', 'BTC', 'ETF', 'AIRDROP', 'LISTING'], lambda n: contains(lower(title), lower(n)))) as narrative from v_ann",
     "mentions": """
         select topic, 'announcement' as source, cast(row_number() over (order by n desc, topic) as integer) as rank, least(1e1, n * 2.5::double) as trend_strength, least(1e1, 5 + n * 1.5::double) as hot_search_score
@@ -156,7 +156,7 @@ def assets(spark, sf) -> DataFrame:
 
 
 def named(spark, sf) -> DataFrame:
-    return lookup.exploded(lookup.with_symbols(view(spark, sf, "v_ann"), view(spark, sf, "v_coin")))
+    return lookup.mentions(view(spark, sf, "v_ann"), view(spark, sf, "v_symbol"))
 
 
 def firsts(spark, sf) -> DataFrame:
@@ -182,12 +182,25 @@ def scored(spark, sf) -> DataFrame:
     return s.withColumn("decision", scoring.decision(F.col("score")))
 
 
-def all_topics(spark, sf) -> DataFrame:
-    a = assets(spark, sf)
-    place = F.row_number().over(filters.Window.orderBy(F.desc("volume_24h"), "pk")) - 1
-    searches = a.orderBy(F.desc("volume_24h"), "pk").limit(15).select(place.alias("ord"), "symbol", (F.col("pk") % 15).alias("search_score"))
-    found = topics.from_announcements(lookup.narratives_in(view(spark, sf, "v_ann")), named(spark, sf))
-    return found.unionByName(topics.from_search(searches)).unionByName(topics.from_market(a)).unionByName(topics.standing(spark))
+def all_topics(spark, sf, *sources: str) -> DataFrame:
+    """Topics of the providers that are asked for, of all if none is."""
+    sources, out = sources or topics.PROVIDERS, []
+    if "announcement" in sources:
+        out.append(topics.from_announcements(lookup.narratives_in(view(spark, sf, "v_ann")), named(spark, sf)))
+    if "search" in sources or "market" in sources:
+        a = assets(spark, sf).select("pk", "ord", "symbol", "change_24h", "volume_24h", "volume_ratio")
+        a = landing.written(a, "assets") if "market" in sources else a  # read several times
+        place = F.row_number().over(filters.Window.orderBy(F.desc("volume_24h"), "pk")) - 1
+        if "search" in sources:
+            out.append(topics.from_search(a.orderBy(F.desc("volume_24h"), "pk").limit(15).select(place.alias("ord"), "symbol", (F.col("pk") % 15).alias("search_score"))))
+        if "market" in sources:
+            out.append(topics.from_market(a))
+    if "synthetic" in sources:
+        out.append(topics.standing(spark))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def featured(spark, sf) -> DataFrame:
@@ -545,17 +558,17 @@ def title_narratives(spark, sf):
 
 @query("select * from $mentions")
 def topics_announcement(spark, sf):
-    return all_topics(spark, sf).where("source = 'announcement'")
+    return all_topics(spark, sf, "announcement")
 
 
 @query("select * from $searched")
 def topics_search(spark, sf):
-    return all_topics(spark, sf).where("source = 'search'")
+    return all_topics(spark, sf, "search")
 
 
 @query("select * from $marketed")
 def topics_market(spark, sf):
-    return all_topics(spark, sf).where("source = 'market'")
+    return all_topics(spark, sf, "market")
 
 
 @query("select * from $merged")
@@ -707,17 +720,17 @@ def post_features(spark, sf):
 
 @query(r"""
     select id, array_to_string(list_filter([case when len(t) = 0 then 'no cashtag' end, case when len(t) > 0 and not list_contains(t, '$' || symbol) then 'own cashtag missing' end,
-      case when len(h) < 3 then 'too few hashtags' end, case when n < 5 then 'too short' end], lambda x: x is not null), ',') as issues
+      case when len(h) < 3 then 'too few hashtags' end, case when n < 50 then 'too short' end], lambda x: x is not null), ',') as issues
     from (select id, symbol, regexp_extract_all(content, '\$[A-Za-z0-9_]+') as t, regexp_extract_all(content, '#[A-Za-z0-9_]+') as h, len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) as n from v_post)""".replace("'$' ||", "chr(36) ||").replace(r"'\$[", r"'\x24["))
 def quality_issues(spark, sf):
-    return reports.quality_issues(view(spark, sf, "v_post"), least_words=5).select("id", F.array_join("issues", ",").alias("issues"))
+    return reports.quality_issues(view(spark, sf, "v_post")).select("id", F.array_join("issues", ",").alias("issues"))
 
 
 @query(r"""
-    select id, case when len(h) > 4 then concat(trim(regexp_replace(regexp_replace(content, '#[A-Za-z0-9_]+', '', 'g'), ' +', ' ', 'g')), chr(10), array_to_string(h[1:4], ' ')) else content end as content
+    select id, case when len(h) > 5 then concat(trim(regexp_replace(regexp_replace(content, '#[A-Za-z0-9_]+', '', 'g'), ' +', ' ', 'g')), chr(10), array_to_string(h[1:5], ' ')) else content end as content
     from (select id, content, regexp_extract_all(content, '#[A-Za-z0-9_]+') as h from v_post)""")
 def limit_hashtags(spark, sf):
-    return view(spark, sf, "v_post").select("id", text.limited_hashtags(F.col("content"), 4).alias("content"))
+    return view(spark, sf, "v_post").select("id", text.limited_hashtags(F.col("content")).alias("content"))
 
 
 @query("select substring(sha256(concat_ws('|', symbol, catalyst_type, coalesce(cast(views as varchar), ''))), 1, 16) as signature, min(id) as first_id, count(*) as n_posts from v_post group by 1")

@@ -34,7 +34,8 @@ VIEWS = {
           case when event_id % 4 = 0 then null else cast(floor(value * 1e2) as bigint) end as views,
           case when event_id % 3 = 0 then null else cast(floor(value) as bigint) end as traders,
           concat('$P', cast(user_id as string), ' ', case event_id % 8 when 0 then 'Price surge now' when 1 then 'Warning: crash risk' when 2 then 'Whale buying seen' when 3 then 'New listing soon' when 4 then 'The sector shifts' when 5 then 'Is it over?' when 6 then 'Entry zone, target up, stop low' else 'Flat numbers today' end,
-            ' #Write2Earn', case when event_id % 4 >= 1 then ' #Altcoins' else '' end, case when event_id % 4 >= 2 then ' #DeFi' else '' end, case when event_id % 4 >= 3 then ' #L1 #L2 #AI' else '' end) as content
+            ' #Write2Earn', case when event_id % 4 >= 1 then ' #Altcoins' else '' end, case when event_id % 4 >= 2 then ' #DeFi' else '' end, case when event_id % 4 >= 3 then ' #L1 #L2 #AI' else '' end,
+            case when event_id % 5 = 0 then concat(chr(10), chr(10), '  More on this', chr(10), 'Numbers follow', chr(10), 'whale airdrop setup ', repeat('and so on ', 16), 'target') else '' end) as content
         from {events}
     """,
     "v_ann": """
@@ -49,7 +50,8 @@ VIEWS = {
         select t.i as ord, p.p_type as topic, concat('P', cast(p_partkey as string)) as symbol from {part} p join t on t.p_type = p.p_type
         union all select 100 + b.i, p.p_brand, concat('P', cast(p_partkey as string)) from {part} p join b on b.p_brand = p.p_brand where p_size <= 30
     """,
-    "v_listed": "select symbol from {v_coin} where pk % 9 <> 0",
+    "v_symbol": "select p_partkey as pk, concat('P', cast(p_partkey as string)) as symbol from {part} where p_partkey in (select l_partkey from {lineitem})",
+    "v_listed": "select symbol from {v_symbol} where pk % 9 <> 0",
     "v_rank": """
         select s.rank_type, s.source, c.chain_id, v.pk, v.symbol from {v_coin} v
           cross join (select 10 as rank_type, 'trending' as source, 2 as m union all select 11, 'top_search', 3 union all select 20, 'alpha', 5
