@@ -106,7 +106,8 @@ def train(docs: DataFrame, learn: Column | None = None, max_documents: int = 400
     # A hash threshold first, so that the ranking sees a few times max_documents rows of a language.
     drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < F.greatest(F.lit(4.0 * max_documents) / F.col("n"), F.lit(0.0)) * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    ids = known.select("doc_id", "lang").join(counts, "lang").where(drawn).withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_documents)
+    # A count for each language is far less than the table of each that the model holds.
+    ids = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(drawn).withColumn("i", F.row_number().over(order)).where(F.col("i") <= max_documents)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
