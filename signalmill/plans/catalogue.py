@@ -13,6 +13,7 @@ from signalmill.operators import filters, history, lookup, reports, research, ro
 from signalmill.sources import feeds, landing, tables
 from signalmill.sources.fixtures import AS_OF, view, with_views
 from signalmill.streaming import posts as streams
+from signalmill.streaming import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1182,3 +1183,56 @@ def stream_history(spark, sf):
     kept = clean.agg(F.lit("clean").alias("kind"), F.count("*").alias("n"), F.min("created_at").cast("timestamp_ntz").alias("first_at"))
     bad = streams.read_history_sink(spark, f"{base}/sinks", "quarantine")
     return kept.unionByName(bad.agg(F.lit("quarantine").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("timestamp_ntz").alias("first_at")))
+
+
+_SCANS, _SCAN_STEP = 11, 2
+
+
+def _scan_assets(spark, sf) -> DataFrame:
+    """The scored assets with what the cascade asks for, in 20 feeds."""
+    s = scored(spark, sf).select("pk", "symbol", "price", "market_cap", "change_24h", "liquidity", "risk_level", "volume_ratio", "score")
+    joined = s.join(firsts(spark, sf), "symbol", "left").join(view(spark, sf, "v_listed").select("symbol", F.lit(True).alias("listed")), "symbol", "left")
+    return joined.select((F.col("pk") % 20).cast("string").alias("feed"), "*").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+@query(f"""
+    with recursive base as (select cast(s.pk % 20 as varchar) as feed, s.*, f.catalyst, l.symbol is not null as listed, coalesce(f.catalyst in ('new_listing', 'launchpool', 'megadrop', 'airdrop', 'delisting'), false) as ex
+      from $scored s left join $firsts f on f.symbol = s.symbol left join v_listed l on l.symbol = s.symbol),
+    snaps as (select feed, pk, symbol, price, market_cap, liquidity, risk_level, volume_ratio, catalyst, listed, ex, k, timestamp '{AS_OF}' + interval 4 hour + interval {_SCAN_STEP} hour * k as tm,
+        change_24h + k as change_24h, least(score + (pk * 31 + k * 17) % 30, 1e2) as score from base, (select unnest(range({_SCANS})) as k)),
+    fine as (select *, case when score >= 75 then 'direct' when score >= 60 then 'review' else 'reject' end as decision,
+        symbol <> '' and price > 0 and price >= 1e-4 and not (market_cap > 0 and market_cap < 1e5) and abs(change_24h) <= 150 and not (liquidity > 0 and liquidity < 1e4) and risk_level < 3
+          and (catalyst is not null or abs(change_24h) > 2.5 or volume_ratio > 1.5) and listed and not (pk <= 5 and (not ex or abs(change_24h) < 5)) as ok from snaps),
+    seeds as (select cast(cast(substr(symbol, 2) as bigint) % 20 as varchar) as feed, symbol, max(created_at) as last_at from v_post group by all),
+    seen as (select fine.*, s.last_at from fine left join seeds s on s.feed = fine.feed and s.symbol = fine.symbol),
+    st as (
+      select cast(-1 as bigint) as k, feed, cast([] as struct(symbol varchar, tm timestamp, score double)[]) as posted from (select distinct feed from base)
+      union all
+      select k, feed, case when pick is null or len(list_filter(posted, lambda p: cast(p.tm as date) = cast(now_at as date))) >= 8 then posted else list_append(posted, pick) end from (
+        select k, feed, posted, now_at, arg_min({{'symbol': symbol, 'tm': now_at, 'score': score}}, (case when decision = 'direct' then 0 else 1 end, place)) filter (
+            passed and ((decision = 'direct' and place = 1) or (decision = 'review' and place <= 5 and (hours_ago is null or hours_ago >= 24)))) as pick
+        from (select *, row_number() over (partition by feed, decision, passed order by score desc, symbol) as place from (
+          select *, ok and decision <> 'reject' and (ex or hours_ago is null or not (hours_ago < 24 or (hours_ago < 48 and abs(change_24h) < 5))) as passed from (
+            select seen.k, seen.feed, seen.symbol, seen.tm as now_at, seen.score, seen.decision, seen.ok, seen.ex, seen.change_24h, st.posted,
+              (epoch_us(seen.tm) - epoch_us(greatest(seen.last_at, list_max(list_transform(list_filter(st.posted, lambda p: p.symbol = seen.symbol), lambda p: p.tm))))) / 3.6e9 as hours_ago
+            from st join seen on seen.k = st.k + 1 and seen.feed = st.feed)))
+        group by k, feed, posted, now_at))
+    select feed, p.symbol as symbol, p.tm as created_at, p.score as score from (select feed, unnest(posted) as p from st where k = {_SCANS - 1})""")
+def stream_scan(spark, sf):
+    """Scans every two hours go on from the posts at hand, in two runs; each sees what those before it have posted."""
+    base, k = landing.landing_dir(spark), F.col("k")
+    scans.begin(_stamped(spark, sf).select((F.expr("cast(substring(symbol, 2) as bigint)") % 20).cast("string").alias("feed"), "symbol", "created_at", F.lit(0.0).alias("score"), F.col("catalyst_type").alias("catalyst")), f"{base}/posted")
+    at = lambda n: F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=(4 + n * _SCAN_STEP).cast("int"))
+    score = F.least(F.col("score") + (F.col("pk") * 31 + k * 17) % 30, F.lit(100.0))
+    changed = {"change_24h": F.col("change_24h") + k, "score": score, "scan": F.unix_micros(at(k))}
+    each = landing.written(_scan_assets(spark, sf), "assets").select("*", F.explode(F.sequence(F.lit(0), F.lit(_SCANS - 1))).alias("k")).withColumns(changed).withColumn("decision", scoring.decision(F.col("score")))
+    each.drop("pk", "k").hint("rebalance", "scan").write.partitionBy("scan").parquet(f"{base}/assets_by_scan")
+    fields = each.drop("pk", "k").schema
+
+    def assets_of(session, scan):
+        return session.read.schema(fields).parquet(f"{base}/assets_by_scan").where(F.col("scan") == scan).drop("scan")
+
+    for first, last in ((0, 5), (5, _SCANS)):
+        spark.range(first, last, 1, 1).select(at(F.col("id")).alias("at")).write.mode("append").parquet(f"{base}/notices")
+        scans.run_scans(streams.landed(spark, f"{base}/notices", scans.NOTICE), assets_of, f"{base}/posted", f"{base}/checkpoint", top=("P1", "P2", "P3", "P4", "P5")).awaitTermination()
+    return scans.read_posted(spark, f"{base}/posted").where("batch >= 0").select("feed", "symbol", _plain_time(), "score")
