@@ -995,6 +995,23 @@ def artifact_table(spark, sf):
     return kept.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+@query("""
+    select strftime(created_at, '%Y-%m-%d') as day, case when id % 10 = 0 then 'rejected' else 'published' end as status, count(*) as n, cast(sum(id) as bigint) as ids, count(distinct id) as n_ids, true as few_files
+    from v_post group by all""")
+def artifact_compacted(spark, sf):
+    """Artifacts of five appends, whose small files are brought together; a day and status has few files then."""
+    rows = view(spark, sf, "v_post").select("id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), F.when(F.col("id") % 10 == 0, "rejected").otherwise("published").alias("status"))
+    path = f"{landing.landing_dir(spark)}/artifacts"
+    kept = landing.written(rows, "rows")
+    for i in range(5):
+        feeds.write_artifacts(kept.where(F.col("id") % 5 == i), path)
+    feeds.compact_artifacts(spark, path)
+    named = F.date_format("day", "yyyy-MM-dd").alias("day")
+    found = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    files = F.count_distinct(F.when(F.col("size") < 32 << 20, F.col("file")))
+    return found.groupBy(named, "status").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_distinct("id").alias("n_ids"), (files < 4).alias("few_files"))
+
+
 @query("""select content, symbol as coin_symbol, concat('{"catalyst":"', catalyst_type, '"}') as metadata from v_post""")
 def post_records(spark, sf):
     named = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("content"), F.col("content"), F.lit("coin_symbol"), F.col("symbol"), F.lit("catalyst"), F.col("catalyst_type")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalmill.sources.landing import folder_names, landing_dir
+
 HISTORY = "symbol string, timestamp string, catalyst string, link string, image_url string, media_id string, _corrupt_record string"
 MARKET = "symbol string, name string, current_price double, price_change_percentage_24h double, total_volume double, market_cap double, sparkline_in_7d struct<price:array<double>>"
 EXCHANGE = "symbols array<struct<baseAsset:string,status:string,isSpotTradingAllowed:boolean>>"
@@ -20,6 +22,8 @@ RANKS = (
 )
 TRENDING = "coins array<struct<item:struct<symbol:string,name:string,score:int>>>"
 TICKER = "symbol string, lastPrice string, priceChangePercent string, quoteVolume string, count long"
+#: What a partition's folder is called where the value is null: a fixed value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 OK_CODE = "000000"
 #: Announcement catalogues and what they mean: fixed values.
 CATALOG_KINDS = {48: ("new_listing", "high"), 128: ("airdrop", "high"), 161: ("delisting", "high"), 49: ("news", "medium")}
@@ -125,9 +129,36 @@ def write_table(rows: DataFrame, path: str, at: str = "created_at") -> None:
     rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_artifacts(rows: DataFrame, path: str) -> None:
-    """Packages, posts and rejected drafts by day and status."""
-    rows.write.mode("append").partitionBy("day", "status").parquet(path)
+def write_artifacts(rows: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Packages, posts and rejected drafts by day and status. Rows are brought together by both first, and large parts are cut
+    again, so that the number of files follows the bytes (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) and not the tasks."""
+    rows.hint("rebalance", "day", "status").write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day", "status").parquet(path)
+
+
+def compact_artifacts(spark: SparkSession, path: str, small: int = 32 << 20, least: int = 4) -> list[tuple[str, str]]:
+    """Rewrite the days and statuses that have at least ``least`` files under ``small`` bytes; which ones those were.
+    Days are dates and statuses are words; nulls are parts of their own, shown as their folders' name for them.
+
+    Files are listed by Spark without being read. The rewritten parts are staged beside the table and then replace just their
+    partitions by dynamic overwrite; others keep their files. Nobody else may write meanwhile; a run that broke off can be
+    repeated. A table that has only large files, or no files, stays as it is.
+    """
+    if not folder_names(spark, path):
+        return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    part = lambda name: F.url_decode(F.replace(F.regexp_extract("path", f"/{name}=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    crowded = files.where(F.col("length") < small).groupBy(part("day").alias("day"), part("status").alias("status")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    chosen = sorted((r.day, r.status) for r in crowded.collect())  # days of the calendar times statuses
+    if not chosen:
+        return []
+    table = spark.read.parquet(path)
+    day, status = (F.coalesce(F.col(c).cast("string"), F.lit(NO_VALUE)) for c in ("day", "status"))
+    named = F.struct(day, status)
+    rows = table.where(day.isin(sorted({d for d, _ in chosen})) & named.isin(*[F.struct(F.lit(d), F.lit(s)) for d, s in chosen]))
+    staged = f"{landing_dir(spark)}/compacted"
+    rows.hint("rebalance", "day", "status").write.partitionBy("day", "status").parquet(staged)
+    spark.read.schema(table.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "status").parquet(path)
+    return chosen
 
 
 def post_record(raw: DataFrame) -> DataFrame:

@@ -156,3 +156,35 @@ def test_history_stream_has_no_line_twice(spark, tmp_path):
     streams.split_history(stream(), out, str(tmp_path / "check")).awaitTermination()
     assert kept() == want
     assert streams.read_history_sink(spark, str(tmp_path / "none"), "clean").count() == 0
+
+
+def parts(path):
+    return {f"{d}/{s}": {f for f in os.listdir(f"{path}/{d}/{s}") if f.startswith("part")} for d in os.listdir(path) if d.startswith("day=") for s in os.listdir(f"{path}/{d}")}
+
+
+def artifacts(spark, days, n=300):
+    """Rows of every day in all tasks; one status needs an escape in a folder's name, one is null."""
+    return spark.range(n).repartition(6).select("id", F.explode(F.array(*[F.lit(d) for d in days])).alias("day"), F.when(F.col("id") % 3 == 0, "held: 5%+").when(F.col("id") % 3 == 1, "published").alias("status"))
+
+
+def test_files_of_artifacts_follow_bytes(spark, tmp_path):
+    path = str(tmp_path / "a")
+    feeds.write_artifacts(artifacts(spark, ["2024-01-01", "2024-01-02"]), path)
+    assert all(len(f) == 1 for f in parts(path).values()) and len(parts(path)) == 6
+    feeds.write_artifacts(artifacts(spark, ["2024-01-03"], 100), path, rows_per_file=15)
+    assert len(parts(path)["day=2024-01-03/status=published"]) == 3
+
+
+def test_compaction_touches_only_crowded_parts(spark, tmp_path):
+    path = str(tmp_path / "a")
+    assert feeds.compact_artifacts(spark, path) == []
+    feeds.write_artifacts(artifacts(spark, ["2024-01-01", "2024-01-02"]), path)
+    assert feeds.compact_artifacts(spark, path) == []
+    for _ in range(3):
+        feeds.write_artifacts(artifacts(spark, ["2024-01-02"]), path)
+    before, rows = parts(path), Counter(spark.read.parquet(path).collect())
+    assert feeds.compact_artifacts(spark, path, small=1) == []
+    assert feeds.compact_artifacts(spark, path) == [("2024-01-02", s) for s in (feeds.NO_VALUE, "held: 5%+", "published")]
+    after = parts(path)
+    assert Counter(spark.read.parquet(path).collect()) == rows
+    assert {k for k in before if before[k] == after[k]} == {k for k in before if "2024-01-01" in k} and all(len(f) == 1 for f in after.values())
