@@ -5,10 +5,16 @@ Dimensions are tables (ord, topic or category, symbol); ``ord`` is the order in
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from signalmill.functions.text import title_symbols, title_words
+from signalmill.sources.landing import written
 
 #: Strength of announcement types: fixed values.
 PRIORITIES = {"new_listing": 10, "launchpool": 9, "megadrop": 9, "airdrop": 8, "delisting": 6, "news": 3}
@@ -62,11 +68,58 @@ def narratives_in(titles: DataFrame, names=NARRATIVES, whole_words: bool = False
     return titles.select("ann_id", F.explode(hit).alias("narrative"))
 
 
-def parts_of(name: str) -> Column:
-    """Every substring of a name, each once."""
-    n = F.length(name)
-    at = lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring(name, i, m))
-    return F.when(n > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).otherwise(F.array().cast("array<string>"))
+#: Names of one automaton, in bytes.
+BLOCK_BYTES = 8 << 20
+
+
+def found_in(texts: DataFrame, names: DataFrame, any_case: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, name) for each of ``names`` (name) that occurs anywhere in a text of ``texts`` (id, text), each pair once if ids and
+    names are distinct; with ``any_case`` case aside. Null and empty names are in no text, null and empty texts hold none.
+
+    Tasks run over their texts with an Aho-Corasick automaton, so that a text is read once whatever the number and the
+    length of names, and neither side is shuffled or cut into substrings. Names are dealt to blocks by hash until
+    no block has more than ``block_bytes`` (or just one name); each block is broadcast by itself and read against all texts.
+    """
+    spark = texts.sparkSession
+    own = F.lower if any_case else lambda c: F.col(c)
+    kept = written(names.select("name", own("name").alias("key")).where("key <> ''").distinct(), "names")
+    blocks = 1
+    while True:
+        block = F.pmod(F.xxhash64("key"), F.lit(blocks))
+        most = kept.groupBy(block.alias("b")).agg(F.sum(F.octet_length("key") + F.octet_length("name")).alias("size"), F.count_distinct("key").alias("n")).where("n > 1").agg(F.max("size")).first()[0]
+        if (most or 0) <= block_bytes:
+            break
+        blocks *= 2
+
+    def scan(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            under = defaultdict(list)
+            for key, name in held.value:
+                under[key].append(name)
+            tree = ahocorasick.Automaton()
+            for key, spellings in under.items():
+                tree.add_word(key, (key, spellings))
+            tree.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    for spellings in {key: spellings for _, (key, spellings) in tree.iter(text)}.values():
+                        found += spellings
+                        rows += [row] * len(spellings)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["id", "name"])
+
+        return run
+
+    read = texts.select("id", own("text").alias("text")).where("text <> ''")
+    schema = StructType([read.schema["id"], StructField("name", StringType())])
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        held = kept.where(block == b).select("key", "name").collect()  # at most block_bytes
+        if held:
+            out = out.unionByName(read.mapInArrow(scan(spark.sparkContext.broadcast([tuple(r) for r in held])), schema))
+    return out
 
 
 def assets_of_topics(topics: DataFrame, dim: DataFrame, strict_case: bool = False) -> DataFrame:
@@ -74,15 +127,17 @@ def assets_of_topics(topics: DataFrame, dim: DataFrame, strict_case: bool = Fals
     contained in it, else the topic itself if it looks like a symbol (2 to 10 letters), else none. Case and blanks
     around it aside; with ``strict_case`` entries count as they are written, which those in mixed case never match.
 
-    All three are joins by key: what is left after equality meets entries over the parts of its name,
-    and entries meet it over the parts of theirs. Names are short, so their parts are few.
+    What is left after a join by equality is searched for entries, and entries are searched for it.
     """
     entries = dim.groupBy((F.col("topic") if strict_case else F.upper("topic")).alias("entry")).agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set("symbol")).alias("assets"))
+    entries = written(entries, "entries")  # read several times, as what is left is
     keys = topics.select("topic").distinct().withColumn("key", F.upper(F.trim("topic")))
-    equal = keys.join(entries, F.col("key") == F.col("entry"), "left").select("topic", "key", "assets")
+    equal = written(keys.join(entries, F.col("key") == F.col("entry"), "left").select("topic", "key", "assets"), "equal")
     rest = equal.where("assets is null").select("topic", "key")
-    inside = rest.select("topic", F.explode(parts_of("key")).alias("entry")).join(entries, "entry")
-    around = entries.select("*", F.explode(parts_of("entry")).alias("key")).join(rest, "key")
+    as_text, as_name = (lambda df, c: df.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct()), (lambda df, c: df.select(F.col(c).alias("name")))
+    holding = found_in(as_text(rest, "key"), as_name(entries, "entry")).select(F.col("id").alias("key"), F.col("name").alias("entry"))
+    held = found_in(as_text(entries, "entry"), as_name(rest, "key")).select(F.col("name").alias("key"), F.col("id").alias("entry"))
+    inside, around = (pairs.join(rest, "key").join(entries, "entry") for pairs in (holding, held))
     near = inside.select("topic", "ord", "entry", "assets").unionByName(around.select("topic", "ord", "entry", "assets"))
     part = near.groupBy("topic").agg(F.min_by("assets", F.struct("ord", "entry")).alias("assets"))
     itself = F.when(F.col("key").rlike("^[A-Z]{2,10}$"), F.array("key")).otherwise(F.array().cast("array<string>"))

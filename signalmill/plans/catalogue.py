@@ -554,6 +554,13 @@ def title_narratives(spark, sf):
     return lookup.narratives_in(view(spark, sf, "v_ann"))
 
 
+@query("select p.id, s.symbol from v_post p join v_symbol s on contains(lower(p.content), lower(s.symbol))")
+def post_names(spark, sf):
+    """Which known names stand anywhere in a post, case aside; names are a table."""
+    found = lookup.found_in(view(spark, sf, "v_post").select("id", F.col("content").alias("text")), view(spark, sf, "v_symbol").select(F.col("symbol").alias("name")), any_case=True)
+    return found.select("id", F.col("name").alias("symbol"))
+
+
 # Topics.
 
 
