@@ -398,10 +398,10 @@ def top_losers(spark, sf):
     return filters.top_by(view(spark, sf, "v_coin"), "risk_level", 3, F.asc("change_24h"), F.col("pk")).select("risk_level", "symbol", "change_24h", "rank")
 
 
-@query("select pk, symbol, risk_level from v_coin where risk_level = 1 and liquidity > 0 union all select pk, symbol, risk_level from v_coin where risk_level > 1 and pk % 2 = 0")
+@query("select pk, symbol, risk_level from v_coin where risk_level = 1 and liquidity > 0 union all select pk, symbol, risk_level from v_coin where risk_level > 1 and market_cap > 0")
 def fallback_source(spark, sf):
     coins = view(spark, sf, "v_coin")
-    return feeds.else_fallback(coins.where("risk_level = 1 and liquidity > 0").select("pk", "symbol", "risk_level"), coins.where("risk_level = 1 or pk % 2 = 0").select("pk", "symbol", "risk_level"), "risk_level")
+    return feeds.else_fallback(coins.where("risk_level = 1 and liquidity > 0").select("pk", "symbol", "risk_level"), coins.where("risk_level = 1 or market_cap > 0").select("pk", "symbol", "risk_level"), "risk_level")
 
 
 # The reject cascade.
@@ -515,12 +515,12 @@ def rank_reasons(spark, sf):
 
 
 @query("""
-    with p as (select risk_level as g, symbol, pk as package_id from v_coin where pk % 2 = 0)
+    with p as (select risk_level as g, symbol, pk as package_id from v_coin where liquidity > 0)
     select c.risk_level as g, lower(c.symbol) as symbol, coalesce(p.package_id, f.package_id) as package_id from v_coin c
       left join p on p.g = c.risk_level and p.symbol = c.symbol left join (select g, min(package_id) as package_id from p group by g) f on f.g = c.risk_level""")
 def pick_match(spark, sf):
-    c = view(spark, sf, "v_coin").select(F.col("risk_level").alias("g"), "symbol", "pk")
-    return routing.match_pick(c.withColumn("symbol", F.lower("symbol")), c.where("pk % 2 = 0").withColumnRenamed("pk", "package_id"), "g")
+    c = view(spark, sf, "v_coin").select(F.col("risk_level").alias("g"), "symbol", "pk", "liquidity")
+    return routing.match_pick(c.withColumn("symbol", F.lower("symbol")), c.where("liquidity > 0").withColumnRenamed("pk", "package_id"), "g")
 
 
 # Announcements.
