@@ -12,8 +12,8 @@ from signalmill.functions import text
 from signalmill.operators import filters, history, lookup, reports, research, routing, scoring, topics
 from signalmill.sources import feeds, landing, tables
 from signalmill.sources.fixtures import AS_OF, view, with_views
+from signalmill.streaming import audits, scans
 from signalmill.streaming import posts as streams
-from signalmill.streaming import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1209,6 +1209,22 @@ def stream_history(spark, sf):
     return kept.unionByName(bad.agg(F.lit("quarantine").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("timestamp_ntz").alias("first_at")))
 
 
+@query(f"select count_if(not {_BROKEN}) as n_valid, count_if({_BROKEN}) as n_corrupt from v_post")
+def stream_audit(spark, sf):
+    """The counts that come with a history stream's batches, from the log that a listener keeps."""
+    base = landing.landing_dir(spark)
+    lines = streams.landed(spark, _history_path(spark, sf), feeds.HISTORY, "json", files_per_batch=3)
+    log = audits.AuditLog(spark, f"{base}/audit")
+    spark.streams.addListener(log)
+    try:
+        run = streams.split_history(audits.observed(lines), f"{base}/sinks", f"{base}/checkpoint")
+        run.awaitTermination()
+        log.wait(run)
+    finally:
+        spark.streams.removeListener(log)
+    return audits.totals(spark, f"{base}/audit", f"{base}/sinks", str(run.id))
+
+
 _SCANS, _SCAN_STEP = 11, 2
 
 

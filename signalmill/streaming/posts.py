@@ -188,7 +188,7 @@ def split_history(lines: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 def read_history_sink(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The lines of one sink, from batches that are whole."""
-    batches = [f"{path}/batch={n}" for n in _numbers(spark, path, "batch")]
+    batches = [f"{path}/batch={n}" for n in finished(spark, path, "batch")]
     if not batches:
         return spark.createDataFrame([], HISTORY)
     return spark.read.schema(f"{HISTORY}, kind string").option("basePath", path).parquet(*batches).where(F.col("kind") == kind).drop("kind")
@@ -206,12 +206,12 @@ def keep_latest(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict
         spark = batch.sparkSession
         newest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
         if number % merge_every == merge_every - 1:
-            had = _numbers(spark, path, "merged")
+            had = finished(spark, path, "merged")
             read_latest(spark, path, upto=number).write.mode("overwrite").parquet(f"{path}/merged={number}")
             before = max((n for n in had if n < number), default=None)
             if before is not None:
                 for kind in ("merged", "batch"):
-                    for n in _numbers(spark, path, kind):
+                    for n in finished(spark, path, kind):
                         if n < before or (kind == "batch" and n == before):
                             _delete(spark, f"{path}/{kind}={n}")
 
@@ -228,7 +228,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+def finished(spark: SparkSession, path: str, kind: str) -> list[int]:
     """Of the finished tables of a kind."""
     names = [n for n in folder_names(spark, path) if n.startswith(f"{kind}=")]
     return sorted(int(n.partition("=")[2]) for n in names if "_SUCCESS" in folder_names(spark, f"{path}/{n}"))
@@ -236,9 +236,9 @@ def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
 
 def read_latest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
     """The newest row of each symbol that ``keep_latest`` has written: the last merged table and later batches."""
-    merged = [n for n in _numbers(spark, path, "merged") if upto is None or n < upto]
+    merged = [n for n in finished(spark, path, "merged") if upto is None or n < upto]
     base = merged[-1] if merged else -1
-    batches = [n for n in _numbers(spark, path, "batch") if n > base and (upto is None or n <= upto)]
+    batches = [n for n in finished(spark, path, "batch") if n > base and (upto is None or n <= upto)]
     return newest(spark.read.parquet(*[f"{path}/merged={n}" for n in merged[-1:]], *[f"{path}/batch={n}" for n in batches]))
 
 
