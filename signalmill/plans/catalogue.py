@@ -1235,7 +1235,7 @@ def _scan_assets(spark, sf) -> DataFrame:
     return joined.select((F.col("pk") % 20).cast("string").alias("feed"), "*").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
-@query(f"""
+_SCANS_SQL = f"""
     with recursive base as (select cast(s.pk % 20 as varchar) as feed, s.*, f.catalyst, l.symbol is not null as listed, coalesce(f.catalyst in ('new_listing', 'launchpool', 'megadrop', 'airdrop', 'delisting'), false) as ex
       from $scored s left join $firsts f on f.symbol = s.symbol left join v_listed l on l.symbol = s.symbol),
     snaps as (select feed, pk, symbol, price, market_cap, liquidity, risk_level, volume_ratio, catalyst, listed, ex, k, timestamp '{AS_OF}' + interval 4 hour + interval {_SCAN_STEP} hour * k as tm,
@@ -1256,10 +1256,11 @@ def _scan_assets(spark, sf) -> DataFrame:
             select seen.k, seen.feed, seen.symbol, seen.tm as now_at, seen.score, seen.decision, seen.ok, seen.ex, seen.change_24h, st.posted,
               (epoch_us(seen.tm) - epoch_us(greatest(seen.last_at, list_max(list_transform(list_filter(st.posted, lambda p: p.symbol = seen.symbol), lambda p: p.tm))))) / 3.6e9 as hours_ago
             from st join seen on seen.k = st.k + 1 and seen.feed = st.feed)))
-        group by k, feed, posted, now_at))
-    select feed, p.symbol as symbol, p.tm as created_at, p.score as score from (select feed, unnest(posted) as p from st where k = {_SCANS - 1})""")
-def stream_scan(spark, sf):
-    """Scans every two hours go on from the posts at hand, in two runs; each sees what those before it have posted."""
+        group by k, feed, posted, now_at))"""
+
+
+def _scanned(spark, sf, runs: bool = False) -> str:
+    """Scans every two hours go on from the posts at hand, in two runs; the folder of what they wrote."""
     base, k = landing.landing_dir(spark), F.col("k")
     scans.begin(_stamped(spark, sf).select((F.expr("cast(substring(symbol, 2) as bigint)") % 20).cast("string").alias("feed"), "symbol", "created_at", F.lit(0.0).alias("score"), F.col("catalyst_type").alias("catalyst")), f"{base}/posted")
     at = lambda n: F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(hours=(4 + n * _SCAN_STEP).cast("int"))
@@ -1274,5 +1275,29 @@ def stream_scan(spark, sf):
 
     for first, last in ((0, 5), (5, _SCANS)):
         spark.range(first, last, 1, 1).select(at(F.col("id")).alias("at")).write.mode("append").parquet(f"{base}/notices")
-        scans.run_scans(streams.landed(spark, f"{base}/notices", scans.NOTICE), assets_of, f"{base}/posted", f"{base}/checkpoint", top=("P1", "P2", "P3", "P4", "P5")).awaitTermination()
-    return scans.read_posted(spark, f"{base}/posted").where("batch >= 0").select("feed", "symbol", _plain_time(), "score")
+        scans.run_scans(streams.landed(spark, f"{base}/notices", scans.NOTICE), assets_of, f"{base}/posted", f"{base}/checkpoint", top=("P1", "P2", "P3", "P4", "P5"), runs=f"{base}/runs" if runs else None).awaitTermination()
+    return base
+
+
+@query(f"""{_SCANS_SQL}
+    select feed, p.symbol as symbol, p.tm as created_at, p.score as score from (select feed, unnest(posted) as p from st where k = {_SCANS - 1})""")
+def stream_scan(spark, sf):
+    """Each scan sees what those before it have posted."""
+    return scans.read_posted(spark, f"{_scanned(spark, sf)}/posted").where("batch >= 0").select("feed", "symbol", _plain_time(), "score")
+
+
+@query(f"""{_SCANS_SQL},
+    judged as (
+      select k, feed, full_day, ok and (ex or hours_ago is null or not (hours_ago < 24 or (hours_ago < 48 and abs(change_24h) < 5))) as passed from (
+        select seen.k, seen.feed, seen.ok, seen.ex, seen.change_24h, len(list_filter(st.posted, lambda p: cast(p.tm as date) = cast(seen.tm as date))) + coalesce(early.n, 0) >= 8 as full_day,
+          (epoch_us(seen.tm) - epoch_us(greatest(seen.last_at, list_max(list_transform(list_filter(st.posted, lambda p: p.symbol = seen.symbol), lambda p: p.tm))))) / 3.6e9 as hours_ago
+        from st join seen on seen.k = st.k + 1 and seen.feed = st.feed
+          left join (select cast(cast(substr(symbol, 2) as bigint) % 20 as varchar) as feed, cast(created_at as date) as day, count(*) as n from v_post group by all) early on early.feed = seen.feed and early.day = cast(seen.tm as date)))
+    select timestamp '{AS_OF}' + interval 4 hour + interval {_SCAN_STEP} hour * k as at, feed, count(*) as n_assets, count_if(full_day) as n_capped, count_if(passed and not full_day) as n_passed from judged group by all""")
+def stream_scan_runs(spark, sf):
+    """The record of each scan: its assets by feed, how many a used-up cap held, how many no rule rejected."""
+    runs = scans.read_runs(spark, f"{_scanned(spark, sf, runs=True)}/runs")
+    n = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    return runs.groupBy(F.timestamp_micros("scan").cast("timestamp_ntz").alias("at"), "feed").agg(
+        F.sum("n").alias("n_assets"), n(F.col("outcome") == scans.CAPPED).alias("n_capped"), n(F.col("outcome") == "passed").alias("n_passed"),
+    )

@@ -22,6 +22,9 @@ from signalmill.sources.landing import folder_names
 POSTED = "feed string, symbol string, created_at timestamp, score double, catalyst string, day date, batch long, scan long"
 #: A notice of a scan.
 NOTICE = "at timestamp"
+#: The records of scans.
+RUNS = "feed string, outcome string, n long, batch long, scan long"
+CAPPED = "daily cap"
 
 
 def _write(posts: DataFrame, path: str, batch: int, scan: int) -> None:
@@ -43,26 +46,48 @@ def read_posted(spark: SparkSession, path: str, since: str = "") -> DataFrame:
     return spark.read.schema(POSTED).option("basePath", path).parquet(*[f"{path}/{d}" for d in days])
 
 
-def decide(assets: DataFrame, past: DataFrame, at: Column, cap: int = DAILY_CAP, top: tuple = filters.TOP_FIVE) -> DataFrame:
-    """What each feed posts at a time: nothing if the day's cap is used up, else of the assets that no rule rejects the
-    best direct one, or the best one for review that no cooldown holds.
+def read_runs(spark: SparkSession, runs: str) -> DataFrame:
+    """The records that ``run_scans`` has written. A scan that was noticed again in a later batch has a record of each."""
+    if not folder_names(spark, runs):
+        return spark.createDataFrame([], RUNS)
+    return spark.read.schema(RUNS).option("basePath", runs).parquet(runs)
+
+
+def judged(assets: DataFrame, past: DataFrame, at: Column, cap: int = DAILY_CAP, top: tuple = filters.TOP_FIVE) -> DataFrame:
+    """A scan's assets with ``outcome``: what holds them back (a feed's used-up cap before the rules), or "passed".
 
     ``assets``: feed and the columns of ``filters.reject_reason`` but hours_ago, with score and decision (direct, review,
-    reject). Rows without feed or symbol are left out, a symbol that comes twice counts as one, equal scores go by symbol.
-    Posts later than ``at``, of a scan that lands late, hold a symbol as if they were made just then. A feed's assets are cut
-    to a pool of a few before they are shuffled by feed, so that one feed may have most of the rows.
+    reject). Rows without feed or symbol are left out. Posts later than ``at``, of a scan that lands late, hold a symbol as
+    if they were made just then.
     """
     ages = past.groupBy("feed", "symbol").agg(F.max("created_at").alias("newest"))
     ages = ages.select("feed", "symbol", F.greatest(F.lit(0.0), hours_between(F.col("newest"), at)).alias("hours_ago"))
-    full = past.where(F.col("day") == F.to_date(at)).groupBy("feed").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("feed")
+    full = past.where(F.col("day") == F.to_date(at)).groupBy("feed").agg(F.count("*").alias("n")).where(F.col("n") >= cap).select("feed", F.lit(True).alias("full"))
     known = assets.withColumn("feed", F.col("feed").cast("string")).where("feed is not null and symbol is not null")
-    judged = known.join(full, "feed", "left_anti").join(ages, ["feed", "symbol"], "left")
-    best = routing.route(judged.where(filters.reject_reason(top=top).isNull()), "feed").where("rank = 1")
+    outcome = F.when(F.col("full"), CAPPED).otherwise(F.coalesce(filters.reject_reason(top=top), F.lit("passed")))
+    return known.join(full, "feed", "left").join(ages, ["feed", "symbol"], "left").withColumn("outcome", outcome).drop("full")
+
+
+def decide(assets: DataFrame, past: DataFrame, at: Column, cap: int = DAILY_CAP, top: tuple = filters.TOP_FIVE) -> DataFrame:
+    """What each feed posts at a time: nothing if the day's cap is used up, else of the assets that no rule rejects the
+    best direct one, or the best one for review that no cooldown holds.
+
+    A symbol that comes twice counts as one, equal scores go by symbol. A feed's assets are cut to a pool of a few before
+    they are shuffled by feed, so that one feed may have most of the rows.
+    """
+    best = routing.route(judged(assets, past, at, cap, top).where("outcome = 'passed'"), "feed").where("rank = 1")
     return best.select("feed", "symbol", at.alias("created_at"), "score", "catalyst")
 
 
+def funnel(assets: DataFrame, past: DataFrame, at: Column, cap: int = DAILY_CAP, top: tuple = filters.TOP_FIVE) -> DataFrame:
+    """A scan's record: how many assets of each feed came to which outcome. Rows are counted as they come, repeated ones too.
+    It reads the assets again: counts observed before a shuffle would count a task twice that is run again for a lost executor."""
+    return judged(assets, past, at, cap, top).groupBy("feed", "outcome").agg(F.count("*").alias("n"))
+
+
 def run_scans(
-    notices: DataFrame, assets_of: Callable[[SparkSession, int], DataFrame], path: str, checkpoint: str, cap: int = DAILY_CAP, top: tuple = filters.TOP_FIVE, trigger: dict | None = None
+    notices: DataFrame, assets_of: Callable[[SparkSession, int], DataFrame], path: str, checkpoint: str, cap: int = DAILY_CAP, top: tuple = filters.TOP_FIVE, trigger: dict | None = None,
+    runs: str | None = None,
 ) -> StreamingQuery:
     """Handle each scan that a stream of notices names, and keep the table of posts below ``path``; ``read_posted`` reads it.
 
@@ -70,7 +95,8 @@ def run_scans(
     as each hangs on the posts before it; the feeds of a scan are handled at once. A scan sees the posts of earlier
     batches and of its batch's earlier scans alone, so a batch that is repeated after a crash decides the same and replaces
     what it had written: nothing is posted twice. Notices without a time are left out, repeated ones of a batch count
-    once. Only the days that a cooldown can reach back to are read.
+    once. Only the days that a cooldown can reach back to are read. With ``runs`` each scan's ``funnel`` is written below
+    that folder, replaced likewise when a batch is repeated; ``read_runs`` reads it.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -80,6 +106,8 @@ def run_scans(
             reach = datetime.fromtimestamp(r.scan // 1_000_000, timezone.utc) - timedelta(hours=WEAK_HOURS + 24)  # a day more, for sessions of any time zone
             before = (F.col("batch") < number) | ((F.col("batch") == number) & (F.col("scan") < r.scan))
             past = read_posted(spark, path, f"{reach:%Y-%m-%d}").where(before)
+            if runs:
+                funnel(assets_of(spark, r.scan), past, at, cap, top).write.mode("overwrite").parquet(f"{runs}/batch={number}/scan={r.scan}")
             _write(decide(assets_of(spark, r.scan), past, at, cap, top), path, number, r.scan)
 
     return notices.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -128,3 +128,20 @@ def test_nothing_to_do(spark, tmp_path):
     notify(spark, [START], str(tmp_path / "notices"))
     assert run(spark, frame(spark, []), tmp_path).awaitTermination(100)
     assert posted(spark, tmp_path) == []
+
+
+def test_records_of_scans(spark, tmp_path):
+    """Each scan's outcomes by feed; a batch that is repeated replaces its record, repeated rows count."""
+    later = START + timedelta(hours=2)
+    rows = [asset(START, "a", "X", 90.0), asset(START, "a", "Y", 80.0), asset(START, "a", "Y", 80.0), asset(START, "b", "X", 50.0), asset(START, None, "X", 90.0)]
+    rows += [asset(later, "a", "X", 90.0), asset(later, "b", "X", 90.0), (*asset(later, "b", "Z", 90.0)[:3], 0.0, *asset(later, "b", "Z", 90.0)[4:])]
+    notify(spark, [START, later], str(tmp_path / "notices"))
+    runs, df, log = str(tmp_path / "runs"), frame(spark, rows), []
+    assert scans.read_runs(spark, runs).count() == 0
+    for _ in range(2):
+        notices = streams.landed(spark, str(tmp_path / "notices"), scans.NOTICE)
+        scans.run_scans(notices, lambda session, scan: df.where(F.col("scan") == scan).drop("scan"), str(tmp_path / "posted"), str(tmp_path / "check"), cap=1, runs=runs).awaitTermination(100)
+        log.append(sorted((r.scan, r.feed, r.outcome, r.n) for r in scans.read_runs(spark, runs).collect()))
+        for name in ("0", ".0.crc"):  # as after a crash before the commit
+            (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    assert log[0] == log[1] == [(micros(START), "a", "passed", 3), (micros(START), "b", "passed", 1), (micros(later), "a", scans.CAPPED, 1), (micros(later), "b", "passed", 1), (micros(later), "b", "price too low", 1)]
