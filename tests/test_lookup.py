@@ -23,6 +23,22 @@ def test_equals_looking_for_each_name(spark, any_case, block_bytes):
     assert pairs(found) == want and want
 
 
+def test_a_task_keeps_no_objects_of_names():
+    """Memory of a block of names, as Python counts it: the letters' nodes, not strings, tuples and lists for each name."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 50_000
+    held = pa.table({"key": [f"p{i}" for i in range(n)], "names": [[f"P{i}"] for i in range(n)]})
+    tracemalloc.start()
+    tree = lookup.automaton(held)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 150 * n
+    assert {held["names"][i].as_py()[0] for _, i in tree.iter("see p123")} == {"P1", "P12", "P123"}
+
+
 def test_nothing_on_either_side(spark):
     texts, names = spark.createDataFrame([(1, "x")], "id long, text string"), spark.createDataFrame([("x",)], "name string")
     assert pairs(lookup.found_in(texts.limit(0), names)) == [] and pairs(lookup.found_in(texts, names.limit(0))) == []
