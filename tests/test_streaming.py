@@ -103,6 +103,32 @@ def test_state_ends(spark, tmp_path, rule, held):
     assert got == ({*range(10), 51} if rule == "cooldown" else {0, 1, 51})
 
 
+def test_cooldown_packs_what_waits(spark, tmp_path):
+    """A batch adds its posts to a key's state as one value, so that calls to the state don't grow with the posts."""
+    path = str(tmp_path / "in")
+    for k in range(2):
+        land(spark, [(1000 * k + i, f"S{i % 3}", f"2024-01-01 00:{i % 60:02d}:{k:02d}") for i in range(900)], path)
+        collected(spark, streams.cooldown(streams.landed(spark, path, SCHEMA), 24, "9999 hours"), tmp_path)
+        assert 0 < state_rows(spark, tmp_path, "waiting") <= 3 * (k + 1)
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_symbols_that_share_a_key_are_apart(spark, tmp_path, buckets):
+    """Many symbols to a key, ids beyond those of doubles, rows without an id among them, and a watermark that cuts a key's posts."""
+    rng, path = random.Random(3), str(tmp_path / "in")
+    rows = [(2**53 + 1 + i, f"S{rng.randrange(40)}", f"2024-01-{1 + i // 100:02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00.000001") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, symbol string, at string").select("id", "symbol", F.col("at").cast("timestamp").alias("created_at"))
+    for k in range(0, 1000, 250):
+        part = rows[k : k + 250] + [(None, None, rows[k][2]), (None, "S1", rows[k][2])]
+        rng.shuffle(part)
+        land(spark, part, path)
+        collected(spark, streams.cooldown(streams.landed(spark, path, SCHEMA), 30, "25 hours", buckets), tmp_path)
+    land(spark, [HEARTBEAT], path)
+    got = collected(spark, streams.cooldown(streams.landed(spark, path, SCHEMA), 30, "25 hours", buckets), tmp_path)
+    assert got == {r.id for r in history.sequential_cooldown(df, 30).collect()}
+    assert [state_rows(spark, tmp_path, name) for name in ("waiting", "last", "timer")] == [0, 0, 0]
+
+
 def test_tasks_send_a_days_first_posts_only(spark):
     rows = spark.range(100_000).select(F.lit(3).cast("long").alias("day"), "id", F.lit("S").alias("symbol"), (F.lit(200_000) - F.col("id")).alias("at")).repartition(4)
     out = streams.first_of_days(rows, 8).collect()
