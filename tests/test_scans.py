@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 
@@ -145,3 +146,25 @@ def test_records_of_scans(spark, tmp_path):
         for name in ("0", ".0.crc"):  # as after a crash before the commit
             (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
     assert log[0] == log[1] == [(micros(START), "a", "passed", 3), (micros(START), "b", "passed", 1), (micros(later), "a", scans.CAPPED, 1), (micros(later), "b", "passed", 1), (micros(later), "b", "price too low", 1)]
+
+
+@pytest.mark.parametrize("step, want", [(scans.decide, [("b", "Y")]), (scans.funnel, [("a", scans.CAPPED, 41), ("b", "passed", 1), ("b", "price too low", 2)])])
+def test_no_feed_comes_to_one_task(spark, step, want):
+    """A feed with most of a scan's assets, and its cap used up: only what has been cut or counted is shuffled by feed."""
+    rows = [asset(START, "a", f"S{i}", 90.0) for i in range(40)] + [(*asset(START, f, "X", 99.0)[:3], 0.0, *asset(START, f, "X", 99.0)[4:]) for f in "abb"] + [asset(START, "b", "Y", 61.0)]
+    past = spark.createDataFrame([("a", "OLD", START, 1.0, "news", START.date(), -1, 0)] * 2 + [("b", "OLD", START, 1.0, "news", START.date(), -1, 0)], scans.POSTED)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = step(frame(spark, rows), past, F.lit(START), 2)
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = df.select("feed", *(["outcome", "n"] if "n" in df.columns else ["symbol"])).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(tuple(r) for r in got) == want
+    depth, found = [len(re.match(r"[ :+*|-]*", line)[0].replace("*", "").rstrip()) for line in plan], 0
+    for i, line in enumerate(plan):
+        if re.search(r"Exchange hashpartitioning\(feed#\d+, \d+\)", line):
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert re.search("Aggregate|WindowGroupLimit", "\n".join(plan[i:below])), "\n".join(plan)
+            found += 1
+    assert found
